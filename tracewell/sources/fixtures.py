@@ -55,6 +55,16 @@ SELECT CAST((table_id - 1) * 3 + ordinal AS INT) AS column_id, column_name, tabl
 FROM f_meta_table CROSS JOIN (SELECT 1 AS ordinal, 'k' AS column_name UNION ALL SELECT 2, 'v' UNION ALL SELECT 3, 'pt') c
 """
 
+# An older snapshot of the metadata: some tables and columns are missing, some
+# columns have gone since.
+FIXTURES["f_meta_column_old"] = """
+SELECT column_id, column_name, table_id, table_name, database_name, ordinal FROM f_meta_column
+WHERE table_id % 13 <> 0 AND NOT (table_id % 17 = 0 AND column_name = 'v')
+UNION ALL
+SELECT 1000000 + column_id, 'retired', table_id, table_name, database_name, 4 FROM f_meta_column
+WHERE table_id % 11 = 0 AND table_id % 13 <> 0 AND ordinal = 3
+"""
+
 FIXTURES["f_col_lines"] = """
 SELECT p_partkey AS stmt_id, 1 AS branch, 1 AS pos, 'k' AS to_name, concat('ods.src_', p_partkey % 50, '.k') AS expr,
        concat('ods.src_', p_partkey % 50, '.k') AS from_names, concat('dw.dst_', p_partkey % 30) AS to_table,
@@ -136,19 +146,23 @@ SELECT p_partkey AS stmt_id, 'a' AS alias, 'ods' AS database_name, concat('src_'
 UNION ALL SELECT p_partkey, 'b', CASE WHEN p_partkey % 2 = 0 THEN concat('db_', p_size % 6) ELSE 'tmp' END, concat('dim_', p_size % 10), 2 FROM part
 """
 
-# Nested query scopes: the lines of an order are nested into each other, the
-# innermost one reads a base table.
+# Nested query scopes, up to five levels; the innermost one reads a base table
+# and the second one joins another.
 FIXTURES["f_scopes"] = """
-SELECT l_orderkey AS stmt_id, l_linenumber AS scope_id, l_linenumber - 1 AS parent_id,
-       CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('q', l_linenumber) END AS alias
-FROM lineitem
+SELECT o_orderkey AS stmt_id, lvl AS scope_id, lvl - 1 AS parent_id, CAST(o_orderkey % 5 + 1 AS INT) AS depth,
+       CASE WHEN lvl % 3 = 2 THEN '' ELSE concat('q', lvl) END AS alias, o_custkey AS custkey
+FROM orders CROSS JOIN (SELECT 1 AS lvl UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) n
+WHERE lvl <= o_orderkey % 5 + 1
 """
 
 FIXTURES["f_scope_columns"] = """
-SELECT l.l_orderkey AS stmt_id, l.l_linenumber AS scope_id, 'c' AS column_name,
-       n.l_linenumber AS child_scope_id, CASE WHEN n.l_linenumber IS NULL THEN concat('ods.part_', l.l_partkey % 40, '.c') END AS source,
-       CASE WHEN l.l_returnflag = 'R' THEN concat('WHERE:c > ', l.l_linenumber) END AS cond
-FROM lineitem l LEFT JOIN lineitem n ON n.l_orderkey = l.l_orderkey AND n.l_linenumber = l.l_linenumber + 1
+SELECT stmt_id, scope_id, 'c' AS column_name,
+       CASE WHEN scope_id < depth THEN scope_id + 1 END AS child_scope_id,
+       CASE WHEN scope_id = depth THEN concat('ods.part_', custkey % 40, '.c') END AS source,
+       CASE WHEN scope_id % 2 = 0 THEN concat('WHERE:c > ', scope_id) END AS cond
+FROM f_scopes
+UNION ALL
+SELECT stmt_id, 2, 'c', CAST(NULL AS INT), concat('dim.d_', custkey % 7, '.c'), 'JOIN:a.c = b.c' FROM f_scopes WHERE scope_id = 2
 """
 
 
