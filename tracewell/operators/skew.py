@@ -30,25 +30,19 @@ def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str
     return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def hashable_lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """``lookup_join`` with the salt taken from the named columns only."""
-    salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
-    copies = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def as_column(value: Column | str) -> Column:
+    """A column, or SQL text for one."""
+    return F.expr(value) if isinstance(value, str) else value
 
 
-def _attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join per-slice numbers back on, nulls in keys included."""
     renamed = stats.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in stats.columns if c not in keys])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return df.join(renamed, on).drop(*[f"_r_{k}" for k in keys])
 
 
-def running(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[Column],
+def running(df: DataFrame, keys: Sequence[str], slice_by: Column | str, order: Sequence[Column],
             sums: dict[str, Column], peers: bool = False) -> DataFrame:
     """Running totals per key in ``order``.
 
@@ -56,7 +50,7 @@ def running(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequenc
     rows with equal ordering values (the default window frame) instead of
     stopping at the current row.
     """
-    sliced = df.withColumn("_slice", slice_by)
+    sliced = df.withColumn("_slice", as_column(slice_by))
     for name, value in sums.items():
         sliced = sliced.withColumn(f"_v_{name}", value)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,21 +58,21 @@ def running(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequenc
     stats = stats.select(*keys, "_slice", *[F.sum(f"_s_{n}").over(before).alias(f"_b_{n}") for n in sums])
     frame = Window.partitionBy(*keys, "_slice").orderBy(*order)
     frame = (frame.rangeBetween if peers else frame.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
-    joined = _attach(sliced, stats, [*keys, "_slice"])
+    joined = attach(sliced, stats, [*keys, "_slice"])
     for name in sums:
         here = F.sum(f"_v_{name}").over(frame)
         joined = joined.withColumn(name, F.when(here.isNull(), F.col(f"_b_{name}")).otherwise(here + F.coalesce(f"_b_{name}", F.lit(0))))
     return joined.drop("_slice", *[f"_{p}_{n}" for n in sums for p in ("v", "b")])
 
 
-def ranked(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[Column], distinct_on: Sequence[str],
+def ranked(df: DataFrame, keys: Sequence[str], slice_by: Column | str, order: Sequence[Column], distinct_on: Sequence[str],
            slice_desc: bool = False, dense: bool = True) -> DataFrame:
     """Adds ``rn``, ``rk``, ``dr``, ``upto`` (rows up to the last peer) and ``n`` (rows of the key).
 
     ``order`` sorts, ``distinct_on`` names the columns that decide about ties
     (the leading ones of ``order``); equal values must fall into one slice.
     """
-    sliced = df.withColumn("_slice", slice_by)
+    sliced = df.withColumn("_slice", as_column(slice_by))
     distinct = F.count_distinct(F.struct(*distinct_on)) if dense else F.lit(0)
     stats = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"), distinct.alias("_d"))
     by = F.col("_slice").desc() if slice_desc else F.col("_slice").asc()
@@ -91,7 +85,7 @@ def ranked(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence
                          F.sum("_c").over(whole).alias("n"))
     local = Window.partitionBy(*keys, "_slice").orderBy(*order)
     ties = Window.partitionBy(*keys, "_slice").orderBy(*order[:len(distinct_on)])
-    out = (_attach(sliced, stats, [*keys, "_slice"])
+    out = (attach(sliced, stats, [*keys, "_slice"])
            .withColumn("rn", F.col("_cb") + F.row_number().over(local))
            .withColumn("rk", F.col("_cb") + F.rank().over(ties)))
     if dense:
