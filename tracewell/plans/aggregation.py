@@ -33,7 +33,7 @@ FROM lineitem GROUP BY 1
 def agg_distinct(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
         F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_suppkey", "l_linenumber").alias("pairs"),
-        F.sum_distinct("l_quantity").alias("qty"), F.expr("avg(DISTINCT l_quantity)").alias("mean"), F.count("*").alias("n"))
+        F.sum_distinct("l_quantity").alias("qty"), F.expr("avg(DISTINCT l_quantity)").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 @query("agg_group_expr", "SELECT CAST(year(o_orderdate) AS INT) AS y, o_orderpriority AS p, o_totalprice > 100000 AS big, count(*) AS n FROM orders GROUP BY ALL")
@@ -65,7 +65,7 @@ def agg_rollup(spark, d):
 def agg_grouping_id(spark, d):
     return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(
         F.grouping("l_returnflag").cast("int").alias("g1"), F.grouping("l_linestatus").cast("int").alias("g2"),
-        F.grouping_id("l_returnflag", "l_linestatus").alias("gid"), F.count("*").alias("n"))
+        F.grouping_id("l_returnflag", "l_linestatus").alias("gid"), F.count(F.lit(1)).alias("n"))
 
 
 @query("agg_first_last", """
@@ -156,7 +156,7 @@ SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS ty
 def agg_collect(spark, d):
     """Sets are bounded by the types and days there are; the list of days is taken after they were made distinct."""
     daily = table(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
-        F.collect_set("event_type").alias("types"), F.count("*").alias("n"))
+        F.collect_set("event_type").alias("types"), F.count(F.lit(1)).alias("n"))
     return daily.groupBy("user_id").agg(
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))), ";").alias("types"),
         F.array_join(F.sort_array(F.collect_list("day")), ";").alias("days"), F.sum("n").alias("n"))
@@ -184,7 +184,7 @@ SELECT l_returnflag, round(sum(l_quantity) FILTER (l_linestatus = 'O'), 4) AS "O
        round(sum(l_quantity) FILTER (l_linestatus = 'F'), 4) AS "F_qty", CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 END) AS BIGINT) AS "F_n" FROM lineitem GROUP BY 1
 """)
 def rsh_pivot(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.round(F.sum("l_quantity"), 4).alias("qty"), F.count("*").alias("n"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.round(F.sum("l_quantity"), 4).alias("qty"), F.count(F.lit(1)).alias("n"))
 
 
 @query("rsh_expand", """
