@@ -45,3 +45,17 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
     placed = right.withColumn("_step", step(right_ts))
     end = F.col(left_ts) + F.make_dt_interval(mins=F.lit(minutes))
     return lookup_join(placed, spread, [*keys, "_step"]).filter((F.col(right_ts) > F.col(left_ts)) & (F.col(right_ts) <= end)).drop("_step")
+
+
+def not_in(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """Rows whose key is NOT IN a one-column frame, with the rules for nulls.
+
+    A null among the values, or a null key against any value, makes the answer
+    unknown. Both are decided by one counted row, so the rest is a plain anti
+    join that never has to copy the values to every task.
+    """
+    name = values.columns[0]
+    facts = values.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(name).isNull()).alias("_nulls"))
+    wanted = values.filter(F.col(name).isNotNull()).select(F.col(name).alias(key)).distinct()
+    known = df.crossJoin(F.broadcast(facts)).filter("_nulls = 0").filter(F.col(key).isNotNull() | (F.col("_n") == 0))
+    return known.join(wanted, key, "left_anti").drop("_n", "_nulls")

@@ -1,6 +1,7 @@
 """Set operations, subqueries and generators."""
 from pyspark.sql import functions as F
 
+from tracewell.operators.joins import not_in
 from tracewell.registry import query
 from tracewell.sources import run_sql, table
 
@@ -68,7 +69,6 @@ def sub_scalar(spark, d):
 
 IN = "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)"
 NOT_IN = "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)"
-NOT_IN_NULL = " UNION ALL SELECT -1, 'never' FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 1) FROM lineitem)"
 
 
 @query("sub_in", IN)
@@ -78,14 +78,16 @@ def sub_in(spark, d):
 
 @query("sub_not_in", NOT_IN)
 def sub_not_in(spark, d):
-    """Keys are never null, so the null-aware form is a plain anti join."""
-    return run_sql(spark, d, NOT_IN.replace("p_partkey NOT IN", "p_partkey IS NOT NULL AND p_partkey NOT IN").replace("> 48", "> 48 AND l_partkey IS NOT NULL"), "part", "lineitem")
+    sold = table(spark, d, "lineitem").filter("l_quantity > 48").select("l_partkey")
+    return not_in(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", sold)
 
 
-@query("sub_not_in_null", "SELECT p_brand, count(*) AS n FROM part WHERE p_size NOT IN (SELECT nullif(s_nationkey, 3) FROM supplier) GROUP BY 1")
+@query("sub_not_in_null", "SELECT (SELECT count(*) FROM part WHERE p_size NOT IN (SELECT nullif(s_nationkey, 3) FROM supplier)) AS with_null, (SELECT count(*) FROM part WHERE p_size NOT IN (SELECT s_nationkey FROM supplier)) AS without_null")
 def sub_not_in_null(spark, d):
     """One null among the values makes NOT IN unknown for every row."""
-    return run_sql(spark, d, "SELECT p_brand, count(*) AS n FROM part WHERE p_size NOT IN (SELECT DISTINCT nullif(s_nationkey, 3) FROM supplier) GROUP BY 1", "part", "supplier")
+    parts, nations = table(spark, d, "part").select("p_size"), table(spark, d, "supplier")
+    some = not_in(parts, "p_size", nations.selectExpr("nullif(s_nationkey, 3) AS k")).agg(F.count(F.lit(1)).alias("with_null"))
+    return some.crossJoin(not_in(parts, "p_size", nations.select("s_nationkey")).agg(F.count(F.lit(1)).alias("without_null")))
 
 
 EXISTS = "SELECT c_custkey FROM customer c WHERE {no}EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * {factor})"
