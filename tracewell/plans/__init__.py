@@ -2,5 +2,6 @@
 import importlib
 import pkgutil
 
-for _module in sorted(m.name for m in pkgutil.iter_modules(__path__)):
-    importlib.import_module(f"{__name__}.{_module}")
+for _package in (__name__, "tracewell.functions", "tracewell.streaming"):
+    for _module in pkgutil.iter_modules(importlib.import_module(_package).__path__):
+        importlib.import_module(f"{_package}.{_module.name}")
