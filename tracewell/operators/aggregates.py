@@ -6,13 +6,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.skew import attach, running
+
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Interpolated percentiles per key from counted distinct values.
+    """Interpolated percentiles per key.
 
-    Equal values are counted before the shuffle by key, so the final step sees
-    each distinct value once, with its frequency.
+    Equal values are counted first; running counts over the distinct values
+    then tell which of them hold the two rows around each wanted place. No key
+    is gathered in one buffer.
     """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_freq"))
+    placed = running(counted, keys, [value], {"_upto": F.col("_freq")})
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    sized = attach(placed, sizes, keys)
+    first = F.col("_upto") - F.col("_freq")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((first <= place) & (place < F.col("_upto")), F.col(value)))
+
+    def point(p: float) -> list[Column]:
+        place = F.lit(p) * (F.col("_n") - 1)
+        return [at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))]
+
+    picked = sized.groupBy(*keys).agg(*[c.alias(f"_{part}_{n}") for n, p in points.items() for part, c in zip(("lo", "hi", "w"), point(p))])
+    return picked.select(*keys, *[(F.col(f"_lo_{n}") * (1 - F.col(f"_w_{n}")) + F.col(f"_hi_{n}") * F.col(f"_w_{n}")).alias(n) for n in points])
+
+
+def frequency_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Percentiles of a value with few distinct ones, by Spark's percentile with frequencies."""
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_freq"))
     return counted.groupBy(*keys).agg(*[F.percentile(value, p, F.col("_freq")).alias(n) for n, p in points.items()])
 

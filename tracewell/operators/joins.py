@@ -6,8 +6,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import lookup_join
-
 BROADCAST_ROWS = 100_000
 
 
@@ -27,7 +25,7 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     steps = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
     spread = ranges.filter(F.col(low) < F.col(high)).withColumn("_step", F.explode(steps))
     placed = points.withColumn("_step", F.floor(F.col(value) / width))
-    return lookup_join(placed, spread, ["_step"]).filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_step")
+    return placed.join(spread, "_step").filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_step")
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, minutes: int) -> DataFrame:
@@ -44,7 +42,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
     spread = left.withColumn("_step", F.explode(F.array(step(left_ts), step(left_ts) + 1)))
     placed = right.withColumn("_step", step(right_ts))
     end = F.col(left_ts) + F.make_dt_interval(mins=F.lit(minutes))
-    return lookup_join(placed, spread, [*keys, "_step"]).filter((F.col(right_ts) > F.col(left_ts)) & (F.col(right_ts) <= end)).drop("_step")
+    return placed.join(spread, [*keys, "_step"]).filter((F.col(right_ts) > F.col(left_ts)) & (F.col(right_ts) <= end)).drop("_step")
 
 
 def not_in(df: DataFrame, key: str, values: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import lookup_join, ranked
+from tracewell.operators.skew import lookup_join, numbered
 
 NUMBER = r"^[+-]?\d+(\.\d+)?$"
 
@@ -40,18 +40,9 @@ def used_tables(ends: DataFrame, meta_columns: DataFrame) -> DataFrame:
     return names.join(column_keys(meta_columns), "column_key").select("table_id").distinct()
 
 
-def even_slices(df: DataFrame, column: str, slices: int = 1024) -> Column:
-    """A step function of a numeric column with at most ``slices`` steps."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    if low is None or high == low:
-        return F.lit(0).cast("bigint")
-    return F.least(F.floor((F.col(column) - F.lit(low)) * F.lit(float(slices) / float(high - low))), F.lit(slices - 1)).cast("bigint")
-
-
-def assign_ids(df: DataFrame, name: str, by: str, *then: str) -> DataFrame:
-    """Stable ids 1..n in the order of ``by`` and ``then``, numbered slice by slice."""
-    numbered = ranked(df, [], even_slices(df, by), [F.col(by), *[F.col(c) for c in then]], [by], dense=False)
-    return numbered.withColumnRenamed("rn", name).drop("rk", "n")
+def assign_ids(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Stable ids 1..n in the given order, counted partition by partition."""
+    return numbered(df, [], order).withColumnRenamed("rn", name)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

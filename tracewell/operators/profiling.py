@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.metadata import even_slices
-from tracewell.operators.skew import ntile, ranked
+from tracewell.operators.skew import numbered
+from tracewell.operators.windows import ntile
 
 
 def column_stats(df: DataFrame) -> DataFrame:
@@ -28,10 +28,10 @@ def column_stats(df: DataFrame) -> DataFrame:
         F.max(F.when(F.col("number").isNull(), F.length("text"))).alias("max_length"))
 
 
-def equi_height_histogram(df: DataFrame, column: str, tie: str, bins: int) -> DataFrame:
+def equi_height_histogram(df: DataFrame, column: str, ties: list[str], bins: int) -> DataFrame:
     """(bin, lo, hi, ndv, height) with the same number of rows in every bin."""
-    values = df.select(column, tie).filter(F.col(column).isNotNull())
-    placed = ranked(values, [], even_slices(values, column), [F.col(column), F.col(tie)], [column], dense=False)
+    values = df.select(column, *ties).filter(F.col(column).isNotNull())
+    placed = numbered(values, [], [column, *ties]).crossJoin(values.agg(F.count(F.lit(1)).alias("n")))
     return placed.withColumn("bin", ntile(bins)).groupBy("bin").agg(
         F.min(column).alias("lo"), F.max(column).alias("hi"), F.count_distinct(column).alias("ndv"), F.count(F.lit(1)).alias("height"))
 

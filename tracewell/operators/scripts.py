@@ -193,7 +193,7 @@ def inline_sources(scripts: DataFrame, files: DataFrame) -> DataFrame:
     """
     shell = scripts.filter(F.col("path").endswith("sh"))
     calls = shell.select("script_id", F.posexplode(called_paths()).alias("call_no", "called"))
-    found = lookup_join(calls, files.select(F.col("path").alias("called"), F.col("content").alias("included")), ["called"], how="left")
+    found = calls.join(files.select(F.col("path").alias("called"), F.col("content").alias("included")), "called", "left")
     merged = found.groupBy("script_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("call_no", "included"))), lambda c: c["included"]), "").alias("included"),
         F.count_if(F.col("included").isNull()).alias("n_missing"))

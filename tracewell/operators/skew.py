@@ -1,23 +1,28 @@
-"""Joins and windows that hold when one key owns a large share of the rows.
+"""Joins and prefix sums that hold when one key owns a large share of the rows.
 
-Windows work on slices: a slice is a coarse bucket of the ordering column (a
-day, a price step), so a hot key is spread over many tasks. One small row per
-(key, slice) carries what earlier slices add. Results equal the plain window.
+Windows run natively for all ordinary keys. Keys with very many rows are found
+by a count first (``split_hot``); their rows are dealt over range partitions of
+(key, ordering), numbered inside each, and shifted by what the partitions before
+them hold. That needs one small row per key and partition.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.storage import cut
+
 SALTS = 8
-CHUNK = 4096
+HOT_ROWS = 500_000
+MAX_HOT_KEYS = 2_000
+CHUNK = 65_536
 
 
 def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join rows with a lookup that has few rows per key.
+    """Join rows with a lookup much smaller than they are (metadata, settings, graph frontiers).
 
     Rows of one key are dealt over ``salts`` tasks by a hash of the whole row,
     the lookup is copied once per salt. No side is forced into a broadcast;
@@ -25,101 +30,165 @@ def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"the rows must be the preserved side, not {how}")
-    salt = F.pmod(F.xxhash64(*[c for c in big.columns]), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
     copies = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def as_column(value: Column | str) -> Column:
-    """A column, or SQL text for one."""
-    return F.expr(value) if isinstance(value, str) else value
+def ordering(order: Sequence[str]) -> list[Column]:
+    """Sort columns from names; a leading ``-`` means descending."""
+    return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
+
+
+def plain(order: Sequence[str]) -> list[str]:
+    return [c.lstrip("-") for c in order]
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join per-slice numbers back on, nulls in keys included."""
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
+    """Join numbers per key back on, nulls in keys included."""
     renamed = stats.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in stats.columns if c not in keys])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return df.join(renamed, on).drop(*[f"_r_{k}" for k in keys])
+    return df.join(F.broadcast(renamed) if small else renamed, on).drop(*[f"_r_{k}" for k in keys])
 
 
-def running(df: DataFrame, keys: Sequence[str], slice_by: Column | str, order: Sequence[Column],
-            sums: dict[str, Column], peers: bool = False) -> DataFrame:
-    """Running totals per key in ``order``.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys with more than ``hot_rows`` rows, the largest 2000 at most; None when there are none.
 
-    ``slice_by`` must rise with the first ordering column. ``peers`` takes in
-    rows with equal ordering values (the default window frame) instead of
-    stopping at the current row.
+    Further ones stay with the ordinary keys, where the result is the same.
     """
-    sliced = df.withColumn("_slice", as_column(slice_by))
-    for name, value in sums.items():
-        sliced = sliced.withColumn(f"_v_{name}", value)
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    stats = sliced.groupBy(*keys, "_slice").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
-    stats = stats.select(*keys, "_slice", *[F.sum(f"_s_{n}").over(before).alias(f"_b_{n}") for n in sums])
-    frame = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    frame = (frame.rangeBetween if peers else frame.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
-    joined = attach(sliced, stats, [*keys, "_slice"])
-    for name in sums:
-        here = F.sum(f"_v_{name}").over(frame)
-        joined = joined.withColumn(name, F.when(here.isNull(), F.col(f"_b_{name}")).otherwise(here + F.coalesce(f"_b_{name}", F.lit(0))))
-    return joined.drop("_slice", *[f"_{p}_{n}" for n in sums for p in ("v", "b")])
-
-
-def ranked(df: DataFrame, keys: Sequence[str], slice_by: Column | str, order: Sequence[Column], distinct_on: Sequence[str],
-           slice_desc: bool = False, dense: bool = True) -> DataFrame:
-    """Adds ``rn``, ``rk``, ``dr``, ``upto`` (rows up to the last peer) and ``n`` (rows of the key).
-
-    ``order`` sorts, ``distinct_on`` names the columns that decide about ties
-    (the leading ones of ``order``); equal values must fall into one slice.
-    """
-    sliced = df.withColumn("_slice", as_column(slice_by))
-    distinct = F.count_distinct(F.struct(*distinct_on)) if dense else F.lit(0)
-    stats = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"), distinct.alias("_d"))
-    by = F.col("_slice").desc() if slice_desc else F.col("_slice").asc()
-    before = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    zero = F.lit(0).cast("bigint")
-    stats = stats.select(*keys, "_slice",
-                         F.coalesce(F.sum("_c").over(before), zero).alias("_cb"),
-                         F.coalesce(F.sum("_d").over(before), zero).alias("_db"),
-                         F.sum("_c").over(whole).alias("n"))
-    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    ties = Window.partitionBy(*keys, "_slice").orderBy(*order[:len(distinct_on)])
-    out = (attach(sliced, stats, [*keys, "_slice"])
-           .withColumn("rn", F.col("_cb") + F.row_number().over(local))
-           .withColumn("rk", F.col("_cb") + F.rank().over(ties)))
-    if dense:
-        out = (out.withColumn("dr", F.col("_db") + F.dense_rank().over(ties))
-               .withColumn("upto", F.col("_cb") + F.count(F.lit(1)).over(ties.rangeBetween(Window.unboundedPreceding, 0))))
-    return out.drop("_slice", "_cb", "_db")
-
-
-def row_frames(numbered: DataFrame, keys: Sequence[str], before: int, after: int, columns: dict[str, "callable"], chunk: int = CHUNK) -> DataFrame:
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    found = counted.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).drop("_n").collect()
+    return df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], native: Callable[[DataFrame], DataFrame],
+              spread: Callable[[DataFrame], DataFrame], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``native`` for ordinary keys, ``spread`` for hot ones; without keys everything is spread."""
+    if not keys:
+        return spread(df)
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return native(df)
+    named = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
+    listed = F.broadcast(named)  # at most MAX_HOT_KEYS rows
+    cold = native(df.join(listed, on, "left_anti"))
+    return cold.unionByName(spread(df.join(listed, on, "left_semi")))
+
+
+def _range_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows in range partitions of (keys, order), each row with the number of its partition."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *ordering(order))
+    return cut(ranged.withColumn("_part", F.spark_partition_id()))
+
+
+def _before(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column],
+            peers: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Running totals per key up to the current row, or with ``peers`` up to its last equal one."""
+    if peers:
+        return _running_peers(df, keys, order, sums, hot_rows)
+
+    def native(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *[F.sum(v).over(w).alias(n) for n, v in sums.items()])
+
+    def spread(rows: DataFrame) -> DataFrame:
+        placed = _range_parts(rows.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()]), keys, order)
+        stats = placed.groupBy(*keys, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
+        stats = stats.select(*keys, "_part", *[F.sum(f"_s_{n}").over(_before(keys)).alias(f"_b_{n}") for n in sums])
+        joined = attach(placed, stats, [*keys, "_part"], small=True)  # a row per hot key and partition
+        w = Window.partitionBy(*keys, "_part").orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
+        for name in sums:
+            here = F.sum(f"_v_{name}").over(w)
+            joined = joined.withColumn(name, F.when(here.isNull(), F.col(f"_b_{name}")).otherwise(here + F.coalesce(f"_b_{name}", F.lit(0))))
+        return joined.drop("_part", *[f"_{p}_{n}" for n in sums for p in ("v", "b")])
+
+    return split_hot(df, keys, native, spread, hot_rows)
+
+
+def _running_peers(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], hot_rows: int) -> DataFrame:
+    def native(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*ordering(order)).rangeBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *[F.sum(v).over(w).alias(n) for n, v in sums.items()])
+
+    def spread(rows: DataFrame) -> DataFrame:
+        values = rows.groupBy(*keys, *plain(order)).agg(*[F.sum(v).alias(f"_p_{n}") for n, v in sums.items()])
+        totals = running(values, keys, order, {n: F.col(f"_p_{n}") for n in sums}, hot_rows=0).drop(*[f"_p_{n}" for n in sums])
+        return attach(rows, totals, [*keys, *plain(order)])
+
+    return split_hot(df, keys, native, spread, hot_rows)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds ``rn``, the place of a row in its key. ``order`` should tell all rows apart."""
+    return running(df, keys, order, {"rn": F.lit(1).cast("bigint")}, hot_rows=hot_rows)
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds ``rk`` (rank), ``dr`` (dense rank), ``upto`` (rows up to the last equal one) and ``n`` (rows of the key)."""
+    def native(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*ordering(order))
+        return rows.select(
+            "*", F.rank().over(w).cast("bigint").alias("rk"), F.dense_rank().over(w).cast("bigint").alias("dr"),
+            F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("upto"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        values = rows.groupBy(*keys, *plain(order)).agg(F.count(F.lit(1)).alias("_c"))
+        placed = running(values, keys, order, {"upto": F.col("_c"), "dr": F.lit(1).cast("bigint")}, hot_rows=0)
+        placed = placed.withColumn("rk", F.col("upto") - F.col("_c") + 1).drop("_c")
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        full = attach(placed, sizes, keys) if keys else placed.crossJoin(sizes)
+        return attach(rows, full, [*keys, *plain(order)]).select(*rows.columns, "rk", "dr", "upto", "n")
+
+    return split_hot(df, keys, native, spread, hot_rows)
+
+
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The last non-null value up to and including the current row, in ascending order."""
+    def native(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        placed = _range_parts(rows, keys, order)
+        known = F.when(F.col(value).isNotNull(), F.struct(*order))
+        stats = placed.groupBy(*keys, "_part").agg(F.max_by(value, known).alias("_l"))
+        stats = stats.select(*keys, "_part", F.last("_l", ignorenulls=True).over(_before(keys)).alias("_carry"))
+        joined = attach(placed, stats, [*keys, "_part"], small=True)
+        w = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), F.col("_carry"))).drop("_part", "_carry")
+
+    return split_hot(df, keys, native, spread, hot_rows)
+
+
+def row_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int,
+               columns: dict[str, Callable], chunk: int = CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Windows that look ``before`` rows back and ``after`` rows ahead.
 
-    ``numbered`` carries ``rn``. Rows of a key are cut into chunks of fixed
-    length; rows near a border are copied into the neighbouring chunk, used
-    there as context and dropped again. ``columns`` maps a name to a function
-    of the window ordered by ``rn``.
+    ``columns`` maps a name to a function of the ordered window. Rows of a hot
+    key are cut into chunks of fixed length; rows near a border are copied into
+    the neighbouring chunk, used there as context and dropped again.
     """
     if max(before, after) >= chunk:
         raise ValueError("a frame must be shorter than a chunk")
-    home = F.floor((F.col("rn") - 1) / chunk).cast("bigint")
-    place = (F.col("rn") - 1) % chunk
-    targets = F.filter(F.array(F.lit(0), F.when(place >= chunk - before, F.lit(1)), F.when(place < after, F.lit(-1))), lambda x: x.isNotNull())
-    spread = (numbered.withColumn("_home", home).withColumn("_shift", F.explode(targets))
-              .withColumn("_chunk", F.col("_home") + F.col("_shift")))
-    w = Window.partitionBy(*keys, "_chunk").orderBy("rn")
-    for name, make in columns.items():
-        spread = spread.withColumn(name, make(w))
-    return spread.filter("_shift = 0").drop("_home", "_shift", "_chunk")
-
-
-def ntile(n: int) -> Column:
-    """The n-tile of a row from ``rn`` and the group size ``n``."""
-    small = F.floor(F.col("n") / n)
-    rest = F.col("n") % n
-    wide = rest * (small + 1)
-    first = F.floor((F.col("rn") - 1) / (small + 1)) + 1
-    later = rest + F.floor((F.col("rn") - 1 - wide) / F.greatest(small, F.lit(1))) + 1
-    return F.when(F.col("rn") <= wide, first).otherwise(later).cast("int")
+
+    def native(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*ordering(order))
+        return rows.select("*", *[make(w).alias(n) for n, make in columns.items()])
+
+    def spread(rows: DataFrame) -> DataFrame:
+        placed = numbered(rows, keys, order, hot_rows=0)
+        place = (F.col("rn") - 1) % chunk
+        targets = F.filter(F.array(F.lit(0), F.when(place >= chunk - before, F.lit(1)), F.when(place < after, F.lit(-1))), lambda x: x.isNotNull())
+        copied = (placed.withColumn("_shift", F.explode(targets))
+                  .withColumn("_chunk", F.floor((F.col("rn") - 1) / chunk) + F.col("_shift")))
+        w = Window.partitionBy(*keys, "_chunk").orderBy("rn")
+        framed = copied.select("*", *[make(w).alias(n) for n, make in columns.items()])
+        return framed.filter("_shift = 0").drop("_shift", "_chunk", "rn")
+
+    return split_hot(df, keys, native, spread, hot_rows)

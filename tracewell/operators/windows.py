@@ -1,4 +1,4 @@
-"""Window shapes that stay exact when one key owns a large share of the rows."""
+"""Window shapes built on the skew-proof primitives."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -6,15 +6,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import as_column, attach, lookup_join, ranked, row_frames
+from tracewell.operators.skew import HOT_ROWS, attach, row_frames
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], slice_by: Column | str, order: Sequence[str], columns: dict[str, tuple], keep_rank: bool = False) -> DataFrame:
+def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, tuple], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Values of rows before (negative offset) or after the current one.
 
     ``columns`` maps a new name to (column, offset) or (column, offset, default).
     """
-    numbered = ranked(df, keys, slice_by, [F.col(c) for c in order], [order[0]], dense=False).drop("rk", "n")
     offsets = [spec[1] for spec in columns.values()]
 
     def maker(spec):
@@ -22,69 +21,71 @@ def neighbours(df: DataFrame, keys: Sequence[str], slice_by: Column | str, order
         fill = default[0] if default else None
         return (lambda w: F.lead(column, offset, fill).over(w)) if offset >= 0 else (lambda w: F.lag(column, -offset, fill).over(w))
 
-    out = row_frames(numbered, keys, max(0, *[-o for o in offsets]), max(0, *offsets), {n: maker(s) for n, s in columns.items()})
-    return out if keep_rank else out.drop("rn")
+    return row_frames(df, keys, order, max(0, *[-o for o in offsets]), max(0, *offsets), {n: maker(s) for n, s in columns.items()}, hot_rows=hot_rows)
 
 
-def share_of_total(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """A value as a share of its group's total: totals are aggregated first, then looked up."""
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
-    return lookup_join(df, totals, keys).withColumn(name, F.col(value) / F.col("_total")).drop("_total")
+def ntile(n: int) -> Column:
+    """The n-tile of a row from its place ``rn`` and the group size ``n``."""
+    small = F.floor(F.col("n") / n)
+    rest = F.col("n") % n
+    wide = rest * (small + 1)
+    first = F.floor((F.col("rn") - 1) / (small + 1)) + 1
+    later = rest + F.floor((F.col("rn") - 1 - wide) / F.greatest(small, F.lit(1))) + 1
+    return F.when(F.col("rn") <= wide, first).otherwise(later).cast("int")
 
 
-def last_known(df: DataFrame, keys: Sequence[str], slice_by: Column | str, order: Sequence[str], value: str, name: str) -> DataFrame:
-    """The last non-null value up to and including the current row."""
-    sliced = df.withColumn("_slice", as_column(slice_by))
-    at = F.struct(*order)
-    known = F.when(F.col(value).isNotNull(), at)
-    stats = sliced.groupBy(*keys, "_slice").agg(F.max_by(value, known).alias("_l"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.select(*keys, "_slice", F.last("_l", ignorenulls=True).over(before).alias("_carry"))
-    here = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = attach(sliced, stats, [*keys, "_slice"])
-    return joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(here), F.col("_carry"))).drop("_slice", "_carry")
+def share_of_total(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """A value as a share of its group's total: totals are aggregated, then joined back."""
+    totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
+    return attach(df, totals, keys).withColumn(name, F.col(value) / F.col("_total")).drop("_total")
 
 
-def range_frame(df: DataFrame, keys: Sequence[str], on: str, back: int, width: int, columns: dict[str, Column]) -> DataFrame:
-    """Aggregates over rows whose numeric ``on`` lies in [current - back, current].
+def range_frame(df: DataFrame, keys: Sequence[str], on: str, back: int, width: int, sums: dict[str, Column]) -> DataFrame:
+    """Sums over rows whose whole-number ``on`` lies in [current - back, current].
 
-    Values are cut into steps of ``width`` (at least ``back``); rows a later
-    step can still see are copied into it as context.
+    Equal values are added up first, so a window row stands for one value of a
+    key. Values are cut into steps of ``width`` (at least ``back``); those a
+    later step still sees are copied into it as context. A window therefore
+    holds at most ``back + width`` rows.
     """
     if width < back:
         raise ValueError("steps must be at least as wide as the frame")
+    values = df.groupBy(*keys, on).agg(*[F.sum(v).alias(f"_v_{n}") for n, v in sums.items()])
     step = F.floor(F.col(on) / width)
     seen_by = F.array_distinct(F.array(step, F.floor((F.col(on) + back) / width)))
-    spread = df.withColumn("_home", step).withColumn("_step", F.explode(seen_by))
+    spread = values.withColumn("_home", step).withColumn("_step", F.explode(seen_by))
     w = Window.partitionBy(*keys, "_step").orderBy(on).rangeBetween(-back, 0)
-    for name, aggregate in columns.items():
-        spread = spread.withColumn(name, aggregate.over(w))
-    return spread.filter("_step = _home").drop("_home", "_step")
+    framed = spread.select(*keys, on, "_home", "_step", *[F.sum(f"_v_{n}").over(w).alias(n) for n in sums])
+    return attach(df, framed.filter("_step = _home").drop("_home", "_step"), [*keys, on])
 
 
-def sessions(df: DataFrame, key: str, ts: str, gap: str, measures: dict[str, Column]) -> DataFrame:
+def sessions(df: DataFrame, key: str, ts: str, gap_minutes: int, measures: dict[str, Column]) -> DataFrame:
     """Gap sessions per key, built per day and then joined over the day borders.
 
-    Sessions inside a day are final; only a day's first and last one can go on
-    into its neighbour, so at most two rows per key and day are ordered again.
-    ``measures`` are sums. Result: (key, session_start, session_end, n, ..),
-    the end being the last event.
+    Events of one minute are added up before the first shuffle, so a key has at
+    most 1440 rows per day. Sessions inside a day are final; only a day's first
+    and last one can go on into its neighbour, so two rows per key and day at
+    most are ordered again. ``measures`` are sums. Result: (key, session_start,
+    session_end, n, ..), the end being the last event.
     """
-    daily = df.groupBy(key, F.to_date(ts).alias("_day"), F.session_window(ts, gap).alias("_w")).agg(
-        F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), F.count(F.lit(1)).alias("n"),
-        *[F.sum(v).alias(m) for m, v in measures.items()])
+    if gap_minutes < 2:
+        raise ValueError("the gap must be longer than a minute")
+    columns = [key, "session_start", "session_end", "n", *measures]
+    minutes = df.groupBy(key, F.date_trunc("minute", F.col(ts)).alias("_minute")).agg(
+        F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(m) for m, v in measures.items()])
+    gap = F.make_dt_interval(mins=F.lit(gap_minutes))
+    span = F.unix_micros(F.col("session_end").cast("timestamp")) - F.unix_micros(F.col("session_start").cast("timestamp"))
+    reach = F.make_interval(mins=F.lit(gap_minutes), secs=(span / 1e6).cast("decimal(18,6)"))
+    daily = minutes.groupBy(key, F.to_date("_minute").alias("_day"), F.session_window("session_start", reach)).agg(
+        F.min("session_start").alias("_s"), F.max("session_end").alias("session_end"), F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in measures])
+    daily = daily.select(key, "_day", F.col("_s").alias("session_start"), "session_end", "n", *measures)
     edge = daily.groupBy(key, "_day").agg(F.min("session_start").alias("_first"), F.max("session_start").alias("_last"))
     marked = attach(daily, edge, [key, "_day"]).withColumn(
         "_border", (F.col("session_start") == F.col("_first")) | (F.col("session_start") == F.col("_last")))
-    columns = [key, "session_start", "session_end", "n", *measures]
-    inner = marked.filter("not _border").select(*columns)
     w = Window.partitionBy(key).orderBy("session_start")
-    fresh = F.coalesce((F.col("session_start") >= F.lag("session_end").over(w) + F.expr(f"interval {gap}")).cast("int"), F.lit(1))
-    # Inner sessions lie between two border sessions of one day, which they keep apart.
-    between = F.coalesce((F.lag("_day").over(w) == F.col("_day")).cast("int"), F.lit(0))
-    numbered = (marked.filter("_border").withColumn("_new", F.greatest(fresh, between))
-                .withColumn("_no", F.sum("_new").over(w)))
-    joined = numbered.groupBy(key, "_no").agg(
-        F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"), F.sum("n").alias("n"),
-        *[F.sum(m).alias(m) for m in measures])
-    return inner.unionByName(joined.select(*columns))
+    far = F.coalesce(F.col("session_start") > F.lag("session_end").over(w) + gap, F.lit(True))
+    same_day = F.coalesce(F.lag("_day").over(w) == F.col("_day"), F.lit(False))  # the day's first and last session
+    marked_border = marked.filter("_border").withColumn("_new", (far | same_day).cast("int"))
+    joined = marked_border.withColumn("_no", F.sum("_new").over(w)).groupBy(key, "_no").agg(
+        F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"), F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in measures])
+    return marked.filter("not _border").select(*columns).unionByName(joined.select(*columns))

@@ -1,7 +1,7 @@
 """Aggregation and reshaping queries."""
 from pyspark.sql import functions as F
 
-from tracewell.operators.aggregates import exact_percentiles, interval_of, one_per_key
+from tracewell.operators.aggregates import exact_percentiles, frequency_percentiles, interval_of, one_per_key
 from tracewell.registry import query
 from tracewell.sources import run_sql, table
 
@@ -116,7 +116,15 @@ def agg_bivariate(spark, d):
 SELECT l_returnflag, quantile_cont(l_quantity, 0.25) AS p25, quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.99) AS p99 FROM lineitem GROUP BY 1
 """)
 def agg_percentile(spark, d):
-    return exact_percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", {"p25": 0.25, "median": 0.5, "p99": 0.99})
+    """Fifty distinct quantities, each with its frequency."""
+    return frequency_percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", {"p25": 0.25, "median": 0.5, "p99": 0.99})
+
+
+@query("agg_percentile_many", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS median FROM lineitem GROUP BY 1")
+def agg_percentile_many(spark, d):
+    """Almost every price is distinct, so the places are found by running counts."""
+    out = exact_percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "median": 0.5})
+    return out.select("l_returnflag", F.round("p10", 6).alias("p10"), F.round("median", 6).alias("median"))
 
 
 @query("agg_percentile_approx", "SELECT l_returnflag, count(*) AS n, TRUE AS within FROM lineitem GROUP BY 1")

@@ -1,9 +1,12 @@
-"""Join queries. Fact sides are reduced before a shuffle where the result allows it."""
+"""Join queries.
+
+Fact sides are reduced before a shuffle where the result allows it; what is left
+of a hot key is split at run time by adaptive execution.
+"""
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tracewell.operators.joins import broadcast_if_small, interval_join, range_join
-from tracewell.operators.skew import lookup_join
 from tracewell.registry import query
 from tracewell.sources import run_sql, table
 
@@ -22,7 +25,7 @@ SELECT l_orderkey, l_linenumber, o_orderpriority, o_totalprice FROM lineitem JOI
 def join_inner(spark, d):
     lines = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber")
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_totalprice")
-    return lookup_join(lines, orders, ["l_orderkey"])
+    return lines.join(orders, "l_orderkey")
 
 
 @query("join_left", f"SELECT c_custkey, n_orders, top FROM customer LEFT JOIN {PER_CUSTOMER} p ON p.o_custkey = c_custkey AND c_acctbal > 0")
@@ -152,7 +155,7 @@ def join_nested_relation(spark, d):
     """A joined pair of relations as the right side; the inner product pairs each nation with the grand maximum."""
     top = table(spark, d, "orders").agg(F.max("o_totalprice").alias("top"))
     inner = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).crossJoin(top)
-    return lookup_join(table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), inner, ["n_nationkey"]).select("c_custkey", "n_name", "r_name", "top")
+    return table(spark, d, "customer").join(inner, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name", "top")
 
 
 @query("join_multiway", """

@@ -25,7 +25,7 @@ def layered_edges(spark, d):
 def event_flow(spark, d):
     """Event types that follow each other for a user: a graph with cycles."""
     events = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
-    following = neighbours(events, ["user_id"], F.to_date("ts"), ["ts", "event_id"], {"nxt": ("event_type", 1)})
+    following = neighbours(events, ["user_id"], ["ts", "event_id"], {"nxt": ("event_type", 1)})
     return (following.filter("nxt is not null and nxt <> event_type")
             .select(F.concat(F.lit("app."), "event_type").alias("src"), F.concat(F.lit("app."), "nxt").alias("dst")).distinct())
 

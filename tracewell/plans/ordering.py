@@ -1,8 +1,7 @@
 """Sort, limit, sample and partitioning queries."""
 from pyspark.sql import functions as F
 
-from tracewell.operators.metadata import even_slices
-from tracewell.operators.skew import ranked
+from tracewell.operators.skew import numbered
 from tracewell.registry import query
 from tracewell.sources import run_sql, table
 from tracewell.storage import scratch_path
@@ -14,7 +13,7 @@ SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, o_or
 def srt_global(spark, d):
     """A total order with its places; the sort itself is a range-partitioned ORDER BY."""
     orders = table(spark, d, "orders").selectExpr("o_orderkey", "nullif(o_orderstatus, 'P') AS status", "o_totalprice")
-    placed = ranked(orders, [], even_slices(orders, "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], ["o_totalprice"], slice_desc=True, dense=False)
+    placed = numbered(orders, [], ["-o_totalprice", "o_orderkey"])
     return placed.orderBy(F.desc("o_totalprice"), "o_orderkey").select(F.col("rn").alias("place"), "o_orderkey", "status")
 
 

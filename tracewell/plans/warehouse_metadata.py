@@ -67,7 +67,7 @@ def src_tasks_scan(spark, d):
         (F.col("state") == 1) & F.col("type").isin("SHELL", "HIVE") & (F.col("id") >= 10)
         & (F.col("update_date") >= F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")))
     path = F.substring_index(F.concat_ws("/", "app_path", "main_class"), " ", 1)
-    return lookup_join(due.select("id", "name", path.alias("path"), "user_id"), users, ["user_id"]).drop("user_id").orderBy("id")
+    return due.select("id", "name", path.alias("path"), "user_id").join(users, "user_id").drop("user_id").orderBy("id")
 
 
 @query("meta_table_lookup", """

@@ -1,19 +1,19 @@
-"""Window queries. Partitions that may be large run slice by slice (operators.skew)."""
+"""Window queries. Keys with very many rows are spread over tasks (operators.skew)."""
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.operators import windows as WN
-from tracewell.operators.skew import ntile, ranked, running
+from tracewell.operators.skew import attach, last_known, numbered, ranked, row_frames, running
 from tracewell.registry import query
 from tracewell.sources import run_sql, table
 
-PRICE_STEP = "floor(o_totalprice / 2000)"
+PRIORITY = ["o_orderpriority"]
 
 
 def by_price(spark, d):
     """Orders ranked by price within their priority."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return ranked(orders, ["o_orderpriority"], PRICE_STEP, [F.col("o_totalprice").desc(), F.col("o_orderkey")], ["o_totalprice"], slice_desc=True)
+    return ranked(numbered(orders, PRIORITY, ["-o_totalprice", "o_orderkey"]), PRIORITY, ["-o_totalprice"])
 
 
 @query("win_ranking", """
@@ -30,14 +30,13 @@ FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC
 """)
 def win_distribution(spark, d):
     pr = F.when(F.col("n") == 1, 0.0).otherwise((F.col("rk") - 1) / (F.col("n") - 1))
-    return by_price(spark, d).select("o_orderkey", F.round(pr, 9).alias("pr"), F.round(F.col("upto") / F.col("n"), 9).alias("cd"), ntile(7).alias("nt"))
+    return by_price(spark, d).select("o_orderkey", F.round(pr, 9).alias("pr"), F.round(F.col("upto") / F.col("n"), 9).alias("cd"), WN.ntile(7).alias("nt"))
 
 
 def user_events(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
 
 
-DAY = "to_date(ts)"
 ORDER = ["ts", "event_id"]
 
 
@@ -46,14 +45,14 @@ SELECT event_id, lag(event_type, 1, 'none') OVER w AS before, lead(value, 2) OVE
 """)
 def win_lag_lead(spark, d):
     columns = {"before": ("event_type", -1, "none"), "after": ("value", 2)}
-    return WN.neighbours(user_events(spark, d), ["user_id"], DAY, ORDER, columns).select("event_id", "before", "after")
+    return WN.neighbours(user_events(spark, d), ["user_id"], ORDER, columns).select("event_id", "before", "after")
 
 
 @query("win_agg_running", """
 SELECT event_id, round(sum(value) OVER w, 6) AS total, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
 """)
 def win_agg_running(spark, d):
-    out = running(user_events(spark, d), ["user_id"], DAY, [F.col(c) for c in ORDER], {"total": F.col("value"), "n": F.lit(1)})
+    out = running(user_events(spark, d), ["user_id"], ORDER, {"total": F.col("value"), "n": F.lit(1)})
     return out.select("event_id", F.round("total", 6).alias("total"), "n")
 
 
@@ -61,8 +60,7 @@ def win_agg_running(spark, d):
 SELECT event_id, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS top FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING)
 """)
 def win_agg_rows(spark, d):
-    numbered = ranked(user_events(spark, d), ["user_id"], DAY, [F.col(c) for c in ORDER], ["ts"], dense=False)
-    out = WN.row_frames(numbered, ["user_id"], 3, 1, {
+    out = row_frames(user_events(spark, d), ["user_id"], ORDER, 3, 1, {
         "mean": lambda w: F.avg("value").over(w.rowsBetween(-3, 1)), "top": lambda w: F.max("value").over(w.rowsBetween(-3, 1))})
     return out.select("event_id", F.round("mean", 6).alias("mean"), "top")
 
@@ -73,7 +71,7 @@ FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events) WINDOW w AS
 """)
 def win_agg_range(spark, d):
     events = user_events(spark, d).withColumn("sec", F.unix_timestamp(F.col("ts").cast("timestamp")))
-    out = WN.range_frame(events, ["user_id"], "sec", 21600, 43200, {"total": F.sum("value"), "n": F.count(F.lit(1))})
+    out = WN.range_frame(events, ["user_id"], "sec", 21600, 43200, {"total": F.col("value"), "n": F.lit(1)})
     return out.select("event_id", F.round("total", 6).alias("total"), "n")
 
 
@@ -88,10 +86,8 @@ SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority OR
 def win_default_frame(spark, d):
     """Rows of one date are peers: the default frame takes them all in, a rank its own frame."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
-    month = F.date_format("o_orderdate", "yyyy-MM")
-    summed = running(orders, ["o_orderpriority"], month, [F.col("o_orderdate")], {"total": F.col("o_totalprice")}, peers=True)
-    return (ranked(summed, ["o_orderpriority"], month, [F.col("o_orderdate")], ["o_orderdate"], dense=False)
-            .select("o_orderkey", F.round("total", 4).alias("total"), "rk"))
+    summed = running(orders, PRIORITY, ["o_orderdate"], {"total": F.col("o_totalprice")}, peers=True)
+    return ranked(summed, PRIORITY, ["o_orderdate"]).select("o_orderkey", F.round("total", 4).alias("total"), "rk")
 
 
 NAMED = """
@@ -125,8 +121,8 @@ SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGN
 def win_first_last(spark, d):
     events = user_events(spark, d).withColumn("paid", F.when(F.col("event_type") == "purchase", F.col("value")))
     firsts = events.groupBy("user_id").agg(F.min_by("event_type", F.struct(*ORDER)).alias("first_type"))
-    carried = WN.last_known(events, ["user_id"], DAY, ORDER, "paid", "last_purchase")
-    return WN.lookup_join(carried, firsts, ["user_id"]).select("event_id", "last_purchase", "first_type")
+    carried = last_known(events, ["user_id"], ORDER, "paid", "last_purchase")
+    return attach(carried, firsts, ["user_id"]).select("event_id", "last_purchase", "first_type")
 
 
 @query("win_topk_group", """
@@ -140,11 +136,11 @@ def win_topk_group(spark, d):
 
 
 @query("win_time_session", """
-WITH marked AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+WITH marked AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM marked)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n, round(sum(value), 6) AS total FROM numbered GROUP BY user_id, no
 """)
 def win_time_session(spark, d):
-    out = WN.sessions(table(spark, d, "events"), "user_id", "ts", "30 minutes", {"total": F.col("value")})
+    out = WN.sessions(table(spark, d, "events"), "user_id", "ts", 30, {"total": F.col("value")})
     text = "yyyy-MM-dd HH:mm:ss"
     return out.select("user_id", F.date_format("session_start", text).alias("started"), F.date_format("session_end", text).alias("ended"), "n", F.round("total", 6).alias("total"))
