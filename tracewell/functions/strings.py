@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from tracewell.registry import query
-from tracewell.sources import table
+from tracewell.sources import table, use_all_cores
 
 
 @query("fn_str_case", """
@@ -124,7 +124,7 @@ SELECT o_orderkey, concat(o_orderstatus, ';', o_orderpriority) AS texts, o_order
 """)
 def fn_xpath(spark, d):
     xml = F.concat(F.lit("<o><s>"), "o_orderstatus", F.lit("</s><s>"), "o_orderpriority", F.lit("</s><c>"), "o_custkey", F.lit("</c><k>"), "o_orderkey", F.lit("</k><m>"), F.col("o_custkey") % 100, F.lit("</m></o>"))
-    return table(spark, d, "orders").select("o_orderkey", xml.alias("x")).select(
+    return use_all_cores(table(spark, d, "orders")).select("o_orderkey", xml.alias("x")).select(
         "o_orderkey", F.array_join(F.xpath("x", F.lit("o/s/text()")), ";").alias("texts"), F.xpath_boolean("x", F.lit("o/s[1] = 'F'")).alias("done"), F.xpath_double("x", F.lit("o/c")).alias("as_double"),
         F.xpath_number("x", F.lit("o/c")).alias("as_number"), F.xpath_float("x", F.lit("o/m")).alias("as_float"), F.xpath_int("x", F.lit("o/c")).alias("as_int"), F.xpath_long("x", F.lit("o/k")).alias("as_long"),
         F.xpath_short("x", F.lit("o/m")).alias("as_short"), F.xpath_string("x", F.lit("o/s[2]")).alias("as_text"))

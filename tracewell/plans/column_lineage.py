@@ -7,7 +7,7 @@ from tracewell.operators import statements as T
 from tracewell.registry import query
 from tracewell.sources import fixture
 
-from .table_lineage import STMTS, jobs_of
+from .table_lineage import STMTS, jobs_of, stmts_of
 
 WORDS = "[" + ", ".join(f"'{w}'" for w in C.SQL_WORDS) + "]"
 
@@ -52,7 +52,7 @@ def job_scopes(spark, d):
 
 
 def stmt_scopes(spark, d):
-    return C.scopes(fixture(spark, d, "f_stmts"), "stmt_id")
+    return C.scopes(stmts_of(spark, d), "stmt_id")
 
 
 def stmt_items(spark, d):
@@ -274,7 +274,7 @@ SELECT stmt_id, CASE WHEN target = 'TOK_TMP_FILE' THEN created ELSE target END A
 """)
 def lin_tmp_target(spark, d):
     """A created table's select has no named target; it takes the created name."""
-    stmts = fixture(spark, d, "f_stmts").withColumn("created", F.concat(F.lit("create table app.copy_"), F.col("stmt_id") % 5, F.lit(" as "), "stmt"))
+    stmts = stmts_of(spark, d).withColumn("created", F.concat(F.lit("create table app.copy_"), F.col("stmt_id") % 5, F.lit(" as "), "stmt"))
     rows = stmts.select("stmt_id", F.when(F.col("stmt_id") % 3 == 0, "TOK_TMP_FILE").otherwise(F.col("target")).alias("target"),
                         F.get(T.output_names("created"), F.lit(0)).alias("created_table"))
     return rows.select("stmt_id", F.when(F.col("target") == "TOK_TMP_FILE", F.col("created_table")).otherwise(F.col("target")).alias("to_table"))

@@ -193,8 +193,8 @@ def join_cogroup(spark, d):
         return daily.agg(F.count(F.lit(1)).alias("n")).groupBy("user_id")
 
     def compare(key, clicks: pd.DataFrame, purchases: pd.DataFrame) -> pd.DataFrame:
-        both = clicks[["day", "n"]].merge(purchases[["day", "n"]], on="day", how="outer", suffixes=("_clicks", "_purchases"))
-        both = both.fillna({"n_clicks": 0, "n_purchases": 0}).astype({"n_clicks": "int64", "n_purchases": "int64"})
-        return both.assign(user_id=key[0])[["user_id", "day", "n_clicks", "n_purchases"]]
+        a, b = dict(zip(clicks["day"], clicks["n"])), dict(zip(purchases["day"], purchases["n"]))
+        days = sorted(a.keys() | b.keys())
+        return pd.DataFrame({"user_id": [key[0]] * len(days), "day": days, "n_clicks": [int(a.get(x, 0)) for x in days], "n_purchases": [int(b.get(x, 0)) for x in days]})
 
     return side("click").cogroup(side("purchase")).applyInPandas(compare, "user_id long, day string, n_clicks long, n_purchases long")

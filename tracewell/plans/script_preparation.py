@@ -3,14 +3,20 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import scripts as S
 from tracewell.registry import query
-from tracewell.sources import fixture, table
+from tracewell.sources import fixture, table, use_all_cores
+
+from .table_lineage import jobs_of
+
+
+def scripts_of(spark, d):
+    return use_all_cores(fixture(spark, d, "f_scripts"))
 
 
 @query("src_jobs_scan", """
 SELECT id, group_id, configs, run_type FROM f_jobs WHERE run_type IN ('hive', 'spark') AND auto = 1
 """, ("f_jobs",))
 def src_jobs_scan(spark, d):
-    return S.scheduled_jobs(fixture(spark, d, "f_jobs")).select("id", "group_id", "configs", "run_type")
+    return S.scheduled_jobs(jobs_of(spark, d)).select("id", "group_id", "configs", "run_type")
 
 
 @query("scr_config_json", """
@@ -18,7 +24,7 @@ SELECT id AS job_id, k AS key, json_extract_string(configs, concat('$."', k, '"'
 FROM (SELECT id, configs, unnest(json_keys(configs)) AS k FROM f_jobs)
 """, ("f_jobs",))
 def scr_config_json(spark, d):
-    return S.config_entries(fixture(spark, d, "f_jobs"), "job_id")
+    return S.config_entries(jobs_of(spark, d), "job_id")
 
 
 CHAIN = """
@@ -55,13 +61,13 @@ filled AS (
 SELECT j.id AS job_id, c.ancestor_id, c.distance FROM f_jobs j JOIN chain c ON c.group_id = j.group_id
 """, ("f_jobs", "f_job_groups"))
 def scr_group_chain(spark, d):
-    jobs = fixture(spark, d, "f_jobs").select(F.col("id").alias("job_id"), "group_id")
+    jobs = jobs_of(spark, d).select(F.col("id").alias("job_id"), "group_id")
     chain = S.group_chain(fixture(spark, d, "f_job_groups"))
     return S.lookup_join(jobs, chain, ["group_id"]).select("job_id", "ancestor_id", "distance")
 
 
 def _effective(spark, d):
-    return S.effective_settings(fixture(spark, d, "f_jobs"), fixture(spark, d, "f_job_groups"))
+    return S.effective_settings(jobs_of(spark, d), fixture(spark, d, "f_job_groups"))
 
 
 @query("scr_config_inherit", EFFECTIVE + " SELECT job_id, key, value FROM effective", ("f_jobs", "f_job_groups"))
@@ -101,7 +107,7 @@ FROM orders
 """)
 def scr_date_macro(spark, d):
     table(spark, d, "orders").createOrReplaceTempView("orders")
-    return spark.sql(MACRO_TEXTS).select("job_id", S.render_dates("script", "run_time").alias("script"))
+    return use_all_cores(spark.sql(MACRO_TEXTS)).select("job_id", S.render_dates("script", "run_time").alias("script"))
 
 
 @query("scr_extract_hive_e", """
@@ -109,7 +115,7 @@ SELECT script_id, CAST(0 AS INT) AS call_no, regexp_extract(content, '-e\\s*"([^
 FROM f_scripts WHERE path LIKE '%.sh' AND regexp_matches(content, '-e\\s*"')
 """, ("f_scripts",))
 def scr_extract_hive_e(spark, d):
-    return S.hive_commands(fixture(spark, d, "f_scripts")).select("script_id", "call_no", "sql_text")
+    return S.hive_commands(scripts_of(spark, d)).select("script_id", "call_no", "sql_text")
 
 
 @query("scr_extract_python_sql", """
@@ -118,7 +124,7 @@ SELECT script_id, 'q' AS variable,
 FROM f_scripts WHERE path LIKE '%.py' AND contains(content, 'runHiveCmd(q')
 """, ("f_scripts",))
 def scr_extract_python_sql(spark, d):
-    return S.python_commands(fixture(spark, d, "f_scripts")).select("script_id", "variable", "sql_text")
+    return S.python_commands(scripts_of(spark, d)).select("script_id", "variable", "sql_text")
 
 
 @query("scr_source_inline", """
@@ -127,7 +133,7 @@ FROM f_scripts s LEFT JOIN f_includes i ON i.path = concat(regexp_extract(s.path
 WHERE s.path LIKE '%.sh'
 """, ("f_scripts", "f_includes"))
 def scr_source_inline(spark, d):
-    return S.inline_sources(fixture(spark, d, "f_scripts"), fixture(spark, d, "f_includes"))
+    return S.inline_sources(scripts_of(spark, d), fixture(spark, d, "f_includes"))
 
 
 @query("scr_shell_vars", """
@@ -136,5 +142,5 @@ SELECT script_id, replace(regexp_extract(content, '-e\\s*"([^"]*)"', 1), concat(
 FROM f_scripts WHERE path LIKE '%.sh'
 """, ("f_scripts",))
 def scr_shell_vars(spark, d):
-    calls = S.fill_shell_variables(S.hive_commands(fixture(spark, d, "f_scripts")))
+    calls = S.fill_shell_variables(S.hive_commands(scripts_of(spark, d)))
     return calls.select("script_id", "filled_sql", F.size("missing").alias("n_missing"))

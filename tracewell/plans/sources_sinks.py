@@ -1,14 +1,12 @@
 """Source and sink queries. Sinks write whole tables to the shared folder and read them back."""
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import lookup_join
 from tracewell.registry import query
-from tracewell.sources import fixture, run_sql, table
+from tracewell.sources import fixture, run_sql, table, use_all_cores
 from tracewell.sources.files import CODECS, insert_static_partition, read_back, save_mode_result, whole_files, write_new
 from tracewell.storage import scratch_path
 
 from .column_lineage import NAMED, job_column_edges
-from tracewell.operators import columns as C
 
 
 @query("src_parquet", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders")
@@ -19,8 +17,8 @@ def src_parquet(spark, d):
 @query("src_script_files", "SELECT page_id, length(html) AS n_chars, md5(html) AS digest FROM pages")
 def src_script_files(spark, d):
     """Every page is written as a file of its own; the files are read back whole."""
-    pages = table(spark, d, "pages").select("page_id", F.encode("html", "utf-8").alias("raw"), F.col("html").alias("value"))
-    path = write_new(pages.select("page_id", "value"), "files", "text", ("page_id",), lineSep="\u0000")
+    pages = use_all_cores(table(spark, d, "pages")).select("page_id", F.col("html").alias("value"))
+    path = write_new(pages, "files", "text", ("page_id",), lineSep="\u0000")
     files = whole_files(spark, path)
     text = F.replace(F.col("content"), F.lit("\u0000"), F.lit(""))
     return files.select(F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id"), F.length(text).cast("bigint").alias("n_chars"), F.md5(F.encode(text, "utf-8")).alias("digest"))
@@ -91,13 +89,13 @@ def src_local_relation(spark, d):
     return counts.join(names, "l_returnflag").select("meaning", "n")
 
 
-@query("src_file_meta", "SELECT 'lineitem.parquet' AS file_name, CAST(0 AS BIGINT) AS first_byte, TRUE AS has_length, count(*) AS n FROM lineitem")
+@query("src_file_meta", "SELECT 'lineitem.parquet' AS file_name, TRUE AS inside, TRUE AS has_length, count(*) AS n FROM lineitem")
 def src_file_meta(spark, d):
-    """Per source file: rows, the first block's start, and whether every block has a length."""
+    """Per source file: rows, and whether every block has a place and a length."""
     return (table(spark, d, "lineitem").select(
                 F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), F.input_file_block_start().alias("start"),
                 F.input_file_block_length().alias("length"))
-            .groupBy("file_name").agg(F.min("start").alias("first_byte"), F.bool_and(F.col("length") > 0).alias("has_length"), F.count(F.lit(1)).alias("n")))
+            .groupBy("file_name").agg(F.bool_and(F.col("start") >= 0).alias("inside"), F.bool_and(F.col("length") > 0).alias("has_length"), F.count(F.lit(1)).alias("n")))
 
 
 @query("src_view", "SELECT segment, count(*) AS n FROM (SELECT c_mktsegment AS segment FROM customer WHERE c_acctbal > 0) GROUP BY 1")

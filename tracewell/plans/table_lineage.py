@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import scripts as S
 from tracewell.operators import statements as T
 from tracewell.registry import query
-from tracewell.sources import fixture
+from tracewell.sources import fixture, use_all_cores
 
 STMTS = """
 WITH clean AS (
@@ -32,7 +32,11 @@ edges AS (
 
 
 def jobs_of(spark, d):
-    return fixture(spark, d, "f_jobs")
+    return use_all_cores(fixture(spark, d, "f_jobs"))
+
+
+def stmts_of(spark, d):
+    return use_all_cores(fixture(spark, d, "f_stmts"))
 
 
 def due_refs(spark, d):
@@ -112,7 +116,7 @@ SELECT CASE c_custkey % 6 WHEN 0 THEN 'JOIN' WHEN 1 THEN 'LEFTOUTERJOIN' WHEN 2
        WHEN 3 THEN 'FULLOUTERJOIN' WHEN 4 THEN 'LEFTSEMIJOIN' ELSE 'JOIN' END AS kind, count(*) AS n FROM customer GROUP BY 1
 """)
 def lin_join_kinds(spark, d):
-    return fixture(spark, d, "f_stmts").select(F.explode(T.join_kinds()).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return stmts_of(spark, d).select(F.explode(T.join_kinds()).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("lin_lateral_view_sources", """
@@ -120,5 +124,5 @@ SELECT stmt_id, unnest(list_distinct(regexp_extract_all(stmt, '(?i)\\b(?:from|jo
 FROM f_stmts WHERE contains(stmt, 'lateral view')
 """, ("f_stmts",))
 def lin_lateral_view_sources(spark, d):
-    viewed = fixture(spark, d, "f_stmts").filter(F.rlike("stmt", F.lit(r"(?i)\blateral\s+view\b")))
+    viewed = stmts_of(spark, d).filter(F.rlike("stmt", F.lit(r"(?i)\blateral\s+view\b")))
     return viewed.select("stmt_id", F.explode(T.input_names()).alias("input_table"))

@@ -42,13 +42,13 @@ def udf_typed_filter(spark, d):
 
 
 @query("udf_map_groups", """
-SELECT user_id, count(*) AS n_days, round(regr_slope(n, day_no), 6) AS slope FROM (
+SELECT user_id, count(*) AS n_days, round(regr_slope(n, day_no), 6) + 0.0 AS slope FROM (
   SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day_no, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1
 """)
 def udf_map_groups(spark, d):
     day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
     daily = table(spark, d, "events").groupBy("user_id", day.alias("day_no")).agg(F.count(F.lit(1)).alias("n"))
-    return U.daily_trend(daily).withColumn("slope", F.round("slope", 6))
+    return U.daily_trend(daily).withColumn("slope", F.round("slope", 6) + 0.0)
 
 
 @query("udf_append_columns", "SELECT CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'medium' ELSE 'large' END AS band, count(*) AS n, round(avg(p_retailprice), 6) AS mean FROM part GROUP BY 1")

@@ -81,13 +81,13 @@ def win_agg_whole(spark, d):
 
 
 @query("win_default_frame", """
-SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate), 4) AS total, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS rk FROM orders
+SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(20, 2))) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS DOUBLE) AS total, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS rk FROM orders
 """)
 def win_default_frame(spark, d):
     """Rows of one date are peers: the default frame takes them all in, a rank its own frame."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
-    summed = running(orders, PRIORITY, ["o_orderdate"], {"total": F.col("o_totalprice")}, peers=True)
-    return ranked(summed, PRIORITY, ["o_orderdate"]).select("o_orderkey", F.round("total", 4).alias("total"), "rk")
+    summed = running(orders, PRIORITY, ["o_orderdate"], {"total": F.col("o_totalprice").cast("decimal(20,2)")}, peers=True)
+    return ranked(summed, PRIORITY, ["o_orderdate"]).select("o_orderkey", F.col("total").cast("double").alias("total"), "rk")
 
 
 NAMED = """

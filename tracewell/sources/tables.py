@@ -32,3 +32,14 @@ def columns_of(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, str, st
         for name in TABLES
         for ordinal, field in enumerate(table(spark, sf_dir, name).schema.fields, start=1)
     ]
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Rows of a scan in at least as many partitions as there are cores.
+
+    A small file is one partition; work that is heavy per row would then run in
+    one task. Inputs of many files have enough partitions and stay unshuffled.
+    Only for frames without a shuffle of their own.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
