@@ -60,7 +60,7 @@ def fn_str_trim_pad(spark, d):
 SELECT doc_id, regexp_extract(text, '([0-9]+)', 1) AS first_number, regexp_extract(text, '([A-Za-z0-9._]+)@([A-Za-z0-9.]+)', 2) AS mail_host, md5(regexp_replace(text, '[0-9]', '#', 'g')) AS masked FROM documents
 """)
 def fn_str_regex(spark, d):
-    return table(spark, d, "documents").select(
+    return use_all_cores(table(spark, d, "documents")).select(
         "doc_id", F.regexp_extract("text", "([0-9]+)", 1).alias("first_number"), F.regexp_extract("text", "([A-Za-z0-9._]+)@([A-Za-z0-9.]+)", 2).alias("mail_host"),
         F.md5(F.regexp_replace("text", "[0-9]", "#")).alias("masked"))
 
@@ -69,7 +69,7 @@ def fn_str_regex(spark, d):
 SELECT w AS word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1
 """)
 def fn_str_tokens(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "[ \\n]+")).alias("word")).filter("word <> ''")
+    words = use_all_cores(table(spark, d, "documents")).select("doc_id", F.explode(F.split("text", "[ \\n]+")).alias("word")).filter("word <> ''")
     per_doc = words.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
@@ -78,7 +78,7 @@ def fn_str_tokens(spark, d):
 def fn_str_sentences(spark, d):
     """Sentences and words of every document by the language's own rules."""
     parts = F.sentences("text", "lang", F.lit(""))
-    return table(spark, d, "documents").select("doc_id", F.size(parts).alias("n_sentences"), F.size(F.flatten(parts)).alias("n_words"))
+    return use_all_cores(table(spark, d, "documents")).select("doc_id", F.size(parts).alias("n_sentences"), F.size(F.flatten(parts)).alias("n_words"))
 
 
 @query("fn_str_encode", """

@@ -78,13 +78,13 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 64) -> DataF
 
 
 def _walk(edges: DataFrame, start: str, depth: int, limit: int | None, forward: bool, inside: DataFrame | None = None) -> DataFrame:
-    """Walks of 1..depth edges from ``start`` that use no edge twice.
+    """Walks of 1..depth edges from ``start`` that use no edge twice; ``edges`` are distinct.
 
     With a limit only the first ``limit`` walks of a level (in text order) go
     on: whatever grows out of a later one sorts behind them all, so the first
     ``limit`` walks overall are still exact.
     """
-    steps = (edges if forward else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("src", "dst").distinct()
+    steps = edges if forward else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     frontier = edges.sparkSession.range(1).select(F.lit(start).alias("src"), F.lit(start).alias("walk"), F.array().cast("array<string>").alias("used"))
     levels = []
     for level in range(1, depth + 1):
@@ -111,6 +111,7 @@ def search(edges: DataFrame, source: str | None = None, target: str | None = Non
         raise ValueError("a search needs a source or a target table")
     if depth < 1:
         raise ValueError("depth must be at least 1")
+    edges = cut(edges.select("src", "dst").distinct())
     if source is not None and target is not None:
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         target_row = edges.sparkSession.range(1).select(F.lit(target).alias("start"))
@@ -132,6 +133,6 @@ def reachable_within(edges: DataFrame, starts: DataFrame, depth: int) -> DataFra
     out = cut(frontier.withColumn("distance", F.lit(0)))
     for distance in range(1, depth + 1):
         last = out.filter(F.col("distance") == distance - 1).select(F.col("name").alias("src"))
-        fresh = lookup_join(edges.select("src", "dst").distinct(), last, ["src"]).select(F.col("dst").alias("name")).distinct()
+        fresh = lookup_join(edges, last, ["src"]).select(F.col("dst").alias("name")).distinct()
         out = cut(out.unionByName(fresh.join(out, "name", "left_anti").withColumn("distance", F.lit(distance))))
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.skew import lookup_join, numbered
+from tracewell.storage import cut
 
 NUMBER = r"^[+-]?\d+(\.\d+)?$"
 
@@ -110,7 +111,8 @@ def column_count(lines: DataFrame, meta_columns: DataFrame) -> DataFrame:
 
 
 def report(refs: DataFrame, lines: DataFrame, meta_tables: DataFrame, meta_columns: DataFrame) -> DataFrame:
-    """All checks as one table."""
+    """All checks as one table. The statements are read once, their text work is kept."""
+    refs = cut(refs.select("stmt_id", "stmt_no", "inputs", "outputs"))
     return reduce(DataFrame.unionByName, [
         no_output(refs), no_input(refs), unknown_tables(refs, meta_tables), unmatched_output_column(lines),
         target_not_declared(lines, refs), unknown_source_column(lines, meta_columns), column_count(lines, meta_columns)])

@@ -84,13 +84,13 @@ def group_settings(groups: DataFrame) -> DataFrame:
 
 def effective_settings(jobs: DataFrame, groups: DataFrame) -> DataFrame:
     """Jobs with ``settings``: own entries first, then those of the nearest groups."""
-    with_groups = lookup_join(jobs, group_settings(groups), ["group_id"], how="left")
-    own = settings_map()
+    with_groups = lookup_join(jobs, group_settings(groups), ["group_id"], how="left").withColumn("own", F.map_entries(settings_map()))
+    own_keys = F.transform("own", lambda e: e["key"])
     inherited = F.transform(
         F.filter(F.coalesce(F.col("inherited"), F.array().cast("array<struct<distance:int,key:string,value:string>>")),
-                 lambda e: ~F.map_contains_key(own, e["key"])),
+                 lambda e: ~F.array_contains(own_keys, e["key"])),
         lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    return with_groups.withColumn("settings", F.concat(F.map_entries(own), inherited)).drop("inherited")
+    return with_groups.withColumn("settings", F.concat("own", inherited)).drop("inherited", "own")
 
 
 def substitute(script: str = "script", settings: str = "settings") -> Column:
