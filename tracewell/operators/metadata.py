@@ -89,7 +89,7 @@ def unmatched_output_column(lines: DataFrame) -> DataFrame:
 
 def target_not_declared(lines: DataFrame, refs: DataFrame) -> DataFrame:
     """Column lines whose target no statement of the script declares as output."""
-    declared = refs.select("stmt_id", F.explode("outputs").alias("to_table")).distinct()
+    declared = refs.select("stmt_id", F.explode_outer("outputs").alias("to_table")).filter("to_table is not null").distinct()
     stray = lines.join(declared, ["stmt_id", "to_table"], "left_anti")
     return _finding(stray, "target_not_declared", F.concat_ws(":", "to_table", "to_name"))
 

@@ -3,6 +3,10 @@
 All text work is row-local, so a script never leaves its task before the edges
 are made distinct. The patterns cover flat statements; what they cannot read is
 kept as a row with a reason (``with_status``).
+
+Computed arrays are unfolded with the outer generators and a null filter
+behind them: from the plain ones Spark infers a size filter, which it pushes
+below by repeating the whole expression.
 """
 from __future__ import annotations
 
@@ -68,7 +72,7 @@ def scoped_statements(jobs: DataFrame, *keep: str) -> DataFrame:
             p["stmt_no"].alias("at"), F.regexp_extract(p["stmt"], USE_DATABASE, 1).alias("db"))), lambda u: u["db"] != "")
 
     split = jobs.select(F.col("id").alias("job_id"), *keep, split_script(strip_comments()).alias("parts"))
-    rows = split.withColumn("uses", places(F.col("parts"))).select("job_id", *keep, "uses", F.inline("parts"))
+    rows = split.withColumn("uses", places(F.col("parts"))).select("job_id", *keep, "uses", F.inline_outer("parts"))
     current = F.expr("try_element_at(filter(uses, u -> u.at <= stmt_no), -1).db")
     return (rows.filter(is_query(F.col("stmt")))
             .withColumn("database_name", F.coalesce(current, F.lit(DEFAULT_DATABASE))).drop("uses"))
@@ -111,7 +115,8 @@ def name_list(names: Column) -> Column:
 
 def table_edges(refs: DataFrame) -> DataFrame:
     """Distinct (src_db, src_table, dst_db, dst_table) over all statements."""
-    pairs = refs.select(F.explode("inputs").alias("src"), "outputs").select("src", F.explode("outputs").alias("dst")).distinct()
+    sources = refs.select(F.explode_outer("inputs").alias("src"), "outputs").filter("src is not null")
+    pairs = sources.select("src", F.explode_outer("outputs").alias("dst")).filter("dst is not null").distinct()
     return pairs.select(
         F.substring_index("src", ".", 1).alias("src_db"), F.substring_index("src", ".", -1).alias("src_table"),
         F.substring_index("dst", ".", 1).alias("dst_db"), F.substring_index("dst", ".", -1).alias("dst_table"))

@@ -113,7 +113,7 @@ SELECT i.key AS stmt_id, i.name, c.cond FROM items i JOIN conds c ON c.stmt_id =
 def lin_conditions(spark, d):
     scoped = stmt_scopes(spark, d).withColumn("conds", C.conditions())
     named = C.select_items(scoped, "stmt_id", "conds")
-    return named.select("stmt_id", "name", F.explode("conds").alias("cond"))
+    return named.select("stmt_id", "name", F.explode_outer("conds").alias("cond")).filter("cond is not null")
 
 
 @query("lin_colfun", STMT_ITEMS + """

@@ -72,7 +72,7 @@ def _effective(spark, d):
 
 @query("scr_config_inherit", EFFECTIVE + " SELECT job_id, key, value FROM effective", ("f_jobs", "f_job_groups"))
 def scr_config_inherit(spark, d):
-    return _effective(spark, d).select(F.col("id").alias("job_id"), F.inline("settings"))
+    return _effective(spark, d).select(F.col("id").alias("job_id"), F.inline_outer("settings")).filter("key is not null")
 
 
 @query("scr_substitute", FILLED + " SELECT job_id, script FROM filled", ("f_jobs", "f_job_groups"))

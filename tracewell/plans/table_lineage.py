@@ -86,7 +86,7 @@ def lin_cte_tables(spark, d):
 
 @query("lin_real_inputs", STMTS + "SELECT job_id, stmt_no, unnest(inputs) AS input_table FROM refs", ("f_jobs",))
 def lin_real_inputs(spark, d):
-    return T.table_refs(jobs_of(spark, d)).select("job_id", "stmt_no", F.explode("inputs").alias("input_table"))
+    return T.table_refs(jobs_of(spark, d)).select("job_id", "stmt_no", F.explode_outer("inputs").alias("input_table")).filter("input_table is not null")
 
 
 @query("lin_table_list_text", STMTS + """
