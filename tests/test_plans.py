@@ -93,7 +93,7 @@ def test_assertions_stop_the_job(spark):
         spark.range(3).select(F.assert_true(F.col("id") < 2, "out of range")).collect()
 
 
-def test_reference_semantics_of_lenient_forms(spark):
+def test_lenient_forms(spark):
     row = spark.range(1).selectExpr(
         "try_divide(1, 0) AS a", "try_cast('x' AS int) AS b", "get(array(1), 5) AS c", "coalesce(size(CAST(NULL AS array<int>)), -1) AS d").first()
     assert tuple(row) == (None, None, None, -1)

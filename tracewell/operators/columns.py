@@ -300,3 +300,63 @@ def relation_rows(edges: DataFrame, meta_columns: DataFrame) -> DataFrame:
     ids = meta_columns.select(F.lower(F.concat_ws(".", "database_name", "table_name", "column_name")).alias("key"), "column_id", "table_id")
     src = lookup_join(edges.withColumn("key", F.lower("src")), ids.withColumnsRenamed({"column_id": "from_column_id", "table_id": "from_table_id"}), ["key"], "left").drop("key")
     return lookup_join(src.withColumn("key", F.lower("dst")), ids, ["key"], "left").drop("key")
+
+
+def trace_columns(refs: DataFrame, meta_columns: DataFrame, max_depth: int = 64) -> DataFrame:
+    """Column lineage from statement text: (job_id, stmt_no, to_table, pos, to_name, source).
+
+    ``refs`` comes from ``statements.table_refs``. A reference is bound in the
+    row of its scope: an alias names its table, a bare column belongs to the
+    only table there; with several tables the ones that have such a column
+    count. Columns of WITH queries are then replaced by their own sources,
+    one level per round. ``table.*`` stays a source of that name.
+    """
+    keys = ["job_id", "stmt_no"]
+    scoped = scopes(refs.select(*keys, "database_name", "stmt"), *keys, "database_name")
+    names = F.regexp_extract_all("text", F.lit(SOURCE_WITH_ALIAS), F.lit(1))
+    aliases = F.regexp_extract_all("text", F.lit(SOURCE_WITH_ALIAS), F.lit(2))
+    sources = F.zip_with(names, aliases, lambda n, a: F.struct(
+        n.alias("source"), F.when((a == "") | F.array_contains(_words(), F.lower(a)), F.substring_index(n, ".", -1)).otherwise(a).alias("alias")))
+    items = select_items(scoped.withColumn("sources", sources), *keys, "database_name", "sources")
+    named = items.select(*keys, "database_name", "sources", "scope", "branch", "pos", "name", F.explode_outer(column_refs()).alias("ref"))
+    named = named.filter("ref is not null").withColumn("column", F.substring_index("ref", ".", -1)).withColumn(
+        "alias", F.when(F.contains("ref", F.lit(".")), F.lower(F.substring_index("ref", ".", 1))))
+    fitting = F.expr("CASE WHEN alias IS NULL THEN sources ELSE filter(sources, s -> lower(s.alias) = alias) END")
+    bound = (named.withColumn("fitting", fitting)
+             .select(*keys, "database_name", "scope", "branch", "pos", "name", "column", (F.size("fitting") > 1).alias("open"), F.explode_outer("fitting").alias("s"))
+             .filter("s is not null"))
+
+    with_names = refs.select(*keys, F.explode_outer(F.regexp_extract_all("stmt", F.lit(CTE_QUERY), F.lit(1))).alias("source")).filter("source is not null").distinct()
+    bound = bound.withColumn("source", F.col("s.source")).join(with_names.withColumn("inner", F.lit(True)), [*keys, "source"], "left")
+    table = F.when(F.contains("source", F.lit(".")), F.col("source")).otherwise(F.concat_ws(".", "database_name", "source"))
+    edges = cut(bound.select(*keys, "scope", "branch", "pos", "name", "open", "column", F.when(F.col("inner"), F.col("source")).alias("child"),
+                             F.when(F.col("inner").isNull(), F.concat_ws(".", table, "column")).alias("base")))
+
+    outputs = edges.select(*keys, F.col("scope").alias("child"), F.col("name").alias("column")).distinct()
+    known = meta_columns.select(F.lower(F.concat_ws(".", "database_name", "table_name", "column_name")).alias("_key"))
+    guesses = edges.filter("open")
+    sure = (edges.filter("not open")
+            .unionByName(guesses.filter("child is not null").join(outputs, [*keys, "child", "column"], "left_semi"))
+            .unionByName(lookup_join(guesses.filter("child is null").withColumn("_key", F.lower("base")), known, ["_key"], "left_semi").drop("_key")))
+
+    lines = sure.select(*keys, "scope", "branch", "pos", "name", "column", "child", "base")
+    inner = lines.filter("scope <> ''").select(*keys, F.col("scope").alias("child"), F.col("name").alias("column"), F.col("column").alias("n_column"), F.col("child").alias("n_child"), F.col("base").alias("n_base"))
+    frontier = lines.filter("scope = ''").drop("scope", "name")
+    found = [frontier.filter("base is not null")]
+    for _ in range(max_depth):
+        frontier = cut(frontier.filter("child is not null").join(inner, [*keys, "child", "column"])
+                       .select(*keys, "branch", "pos", F.col("n_column").alias("column"), F.col("n_child").alias("child"), F.col("n_base").alias("base")))
+        if frontier.isEmpty():
+            break
+        found.append(frontier.filter("base is not null"))
+    else:
+        raise ValueError(f"WITH queries nested deeper than {max_depth}")
+    traced = found[0]
+    for part in found[1:]:
+        traced = traced.unionByName(part)
+
+    usable = F.when(F.col("name") != "", F.col("branch"))
+    to_names = items.filter("scope = ''").groupBy(*keys, "pos").agg(F.coalesce(F.min_by("name", usable), F.lit("")).alias("to_name"))
+    targets = refs.select(*keys, F.explode_outer("outputs").alias("to_table")).filter("to_table is not null")
+    return (traced.select(*keys, "pos", F.col("base").alias("source")).distinct()
+            .join(to_names, [*keys, "pos"]).join(targets, keys).select(*keys, "to_table", "pos", "to_name", "source"))

@@ -97,18 +97,20 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict
         w = Window.partitionBy(*keys).orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
         return rows.select("*", *[F.sum(v).over(w).alias(n) for n, v in sums.items()])
 
-    def spread(rows: DataFrame) -> DataFrame:
-        placed = _range_parts(rows.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()]), keys, order)
-        stats = placed.groupBy(*keys, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
-        stats = stats.select(*keys, "_part", *[F.sum(f"_s_{n}").over(_before(keys)).alias(f"_b_{n}") for n in sums])
-        joined = attach(placed, stats, [*keys, "_part"], small=True)  # a row per hot key and partition
-        w = Window.partitionBy(*keys, "_part").orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
-        for name in sums:
-            here = F.sum(f"_v_{name}").over(w)
-            joined = joined.withColumn(name, F.when(here.isNull(), F.col(f"_b_{name}")).otherwise(here + F.coalesce(f"_b_{name}", F.lit(0))))
-        return joined.drop("_part", *[f"_{p}_{n}" for n in sums for p in ("v", "b")])
+    return split_hot(df, keys, native, lambda rows: _spread_running(rows, keys, order, sums), hot_rows)
 
-    return split_hot(df, keys, native, spread, hot_rows)
+
+def _spread_running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Running totals inside range partitions, shifted by the totals of the partitions before."""
+    placed = _range_parts(rows.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()]), keys, order)
+    stats = placed.groupBy(*keys, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
+    stats = stats.select(*keys, "_part", *[F.sum(f"_s_{n}").over(_before(keys)).alias(f"_b_{n}") for n in sums])
+    joined = attach(placed, stats, [*keys, "_part"], small=True)  # a row per hot key and partition
+    w = Window.partitionBy(*keys, "_part").orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
+    for name in sums:
+        here = F.sum(f"_v_{name}").over(w)
+        joined = joined.withColumn(name, F.when(here.isNull(), F.col(f"_b_{name}")).otherwise(here + F.coalesce(f"_b_{name}", F.lit(0))))
+    return joined.drop("_part", *[f"_{p}_{n}" for n in sums for p in ("v", "b")])
 
 
 def _running_peers(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], hot_rows: int) -> DataFrame:
@@ -118,7 +120,7 @@ def _running_peers(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
 
     def spread(rows: DataFrame) -> DataFrame:
         values = rows.groupBy(*keys, *plain(order)).agg(*[F.sum(v).alias(f"_p_{n}") for n, v in sums.items()])
-        totals = running(values, keys, order, {n: F.col(f"_p_{n}") for n in sums}, hot_rows=0).drop(*[f"_p_{n}" for n in sums])
+        totals = _spread_running(values, keys, order, {n: F.col(f"_p_{n}") for n in sums}).drop(*[f"_p_{n}" for n in sums])
         return attach(rows, totals, [*keys, *plain(order)])
 
     return split_hot(df, keys, native, spread, hot_rows)
@@ -139,7 +141,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: i
 
     def spread(rows: DataFrame) -> DataFrame:
         values = rows.groupBy(*keys, *plain(order)).agg(F.count(F.lit(1)).alias("_c"))
-        placed = running(values, keys, order, {"upto": F.col("_c"), "dr": F.lit(1).cast("bigint")}, hot_rows=0)
+        placed = _spread_running(values, keys, order, {"upto": F.col("_c"), "dr": F.lit(1).cast("bigint")})
         placed = placed.withColumn("rk", F.col("upto") - F.col("_c") + 1).drop("_c")
         sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         full = attach(placed, sizes, keys) if keys else placed.crossJoin(sizes)
@@ -182,7 +184,7 @@ def row_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], before:
         return rows.select("*", *[make(w).alias(n) for n, make in columns.items()])
 
     def spread(rows: DataFrame) -> DataFrame:
-        placed = numbered(rows, keys, order, hot_rows=0)
+        placed = _spread_running(rows, keys, order, {"rn": F.lit(1).cast("bigint")})
         place = (F.col("rn") - 1) % chunk
         targets = F.filter(F.array(F.lit(0), F.when(place >= chunk - before, F.lit(1)), F.when(place < after, F.lit(-1))), lambda x: x.isNotNull())
         copied = (placed.withColumn("_shift", F.explode(targets))

@@ -7,7 +7,7 @@ from tracewell.operators import statements as T
 from tracewell.registry import query
 from tracewell.sources import fixture
 
-from .table_lineage import STMTS, jobs_of, stmts_of
+from .table_lineage import STMTS, due_refs, jobs_of, stmts_of
 
 WORDS = "[" + ", ".join(f"'{w}'" for w in C.SQL_WORDS) + "]"
 
@@ -322,3 +322,16 @@ def lin_problem_jobs(spark, d):
     """Jobs with an end that metadata does not know: the table, or only its column."""
     old = fixture(spark, d, "f_meta_column_old")
     return M.unknown_ends(edge_ends(spark, d), old).groupBy(F.col("stmt_id").alias("job_id"), "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("lin_column_trace", """
+SELECT p_partkey AS job_id, CAST(n AS INT) AS stmt_no, to_table, CAST(pos AS INT) AS pos, to_name, source FROM (
+  SELECT p_partkey, 2 AS n, concat('dw.dst_', p_partkey % 30) AS to_table, 0 AS pos, 'k' AS to_name, concat('ods.src_', p_partkey % 50, '.k') AS source FROM part
+  UNION ALL SELECT p_partkey, 2, concat('dw.dst_', p_partkey % 30), 1, 'v', concat('db_', p_size % 6, '.dim_', p_size % 10, '.v') FROM part
+  UNION ALL SELECT p_partkey, 3, concat('db_', p_size % 6, '.rpt_', p_partkey % 12), pos, c, concat(t, '.', c)
+  FROM part, (SELECT 0 AS pos, 'k' AS c UNION ALL SELECT 1, 'v') cs, LATERAL (SELECT concat('dw.dst_', p_partkey % 30) AS t UNION ALL SELECT concat('ods.src_', (p_partkey + 1) % 53)) ts)
+WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0
+""")
+def lin_column_trace(spark, d):
+    """Column lineage of the scheduled jobs from their texts: scopes, aliases, bare columns, WITH queries, unions."""
+    return C.trace_columns(due_refs(spark, d), fixture(spark, d, "f_meta_column"))

@@ -44,15 +44,12 @@ def src_table_columns(spark, d):
 
 
 @query("src_jdbc_scan", """
-SELECT database_name, count(*) AS n_tables, sum(n_columns)::BIGINT AS n_columns FROM (
-  SELECT t.database_name, t.table_id, count(c.column_id) AS n_columns FROM f_meta_table t LEFT JOIN f_meta_column c ON c.table_id = t.table_id GROUP BY ALL) GROUP BY 1
-""", ("f_meta_table", "f_meta_column"))
+SELECT database_name, count(DISTINCT table_name) AS n_tables, count(*) AS n_columns FROM f_wide_columns GROUP BY 1
+""", ("f_wide_columns",))
 def src_jdbc_scan(spark, d):
     """The metadata query of the relational store over the same tables in Parquet form."""
-    per_table = (fixture(spark, d, "f_meta_table").select("database_name", "table_id")
-                 .join(fixture(spark, d, "f_meta_column").select("table_id", "column_id"), "table_id", "left")
-                 .groupBy("database_name", "table_id").agg(F.count("column_id").alias("n_columns")))
-    return per_table.groupBy("database_name").agg(F.count(F.lit(1)).alias("n_tables"), F.sum("n_columns").alias("n_columns"))
+    per_table = fixture(spark, d, "f_wide_columns").groupBy("database_name", "table_name").agg(F.count(F.lit(1)).alias("n"))
+    return per_table.groupBy("database_name").agg(F.count(F.lit(1)).alias("n_tables"), F.sum("n").alias("n_columns"))
 
 
 @query("src_tasks_scan", """
@@ -108,23 +105,15 @@ def meta_assign_ids(spark, d):
     return M.assign_ids(fixture(spark, d, "f_col_lines").select("stmt_id", "branch", "pos"), "relation_id", "stmt_id", "branch", "pos")
 
 
-TYPED = "SELECT database_name, table_name, column_name, CASE WHEN column_name = 'v' AND table_id % 5 = 0 THEN '{odd}' WHEN column_name = 'v' THEN 'double' ELSE 'string' END AS data_type FROM {view}"
-
-
-@query("meta_snapshot_diff", f"""
+@query("meta_snapshot_diff", """
 SELECT coalesce(o.database_name, n.database_name) AS database_name, coalesce(o.table_name, n.table_name) AS table_name,
        coalesce(o.column_name, n.column_name) AS column_name, o.data_type AS old_type, n.data_type AS new_type,
        CASE WHEN o.data_type IS NULL THEN 'added' WHEN n.data_type IS NULL THEN 'dropped' ELSE 'retyped' END AS change
-FROM ({TYPED.format(odd='int', view='f_meta_column_old')}) o FULL JOIN ({TYPED.format(odd='bigint', view='f_meta_column')}) n
-  ON o.database_name = n.database_name AND o.table_name = n.table_name AND o.column_name = n.column_name
+FROM f_wide_columns_old o FULL JOIN f_wide_columns n ON o.database_name = n.database_name AND o.table_name = n.table_name AND o.column_name = n.column_name
 WHERE o.data_type IS DISTINCT FROM n.data_type
-""", ("f_meta_column", "f_meta_column_old"))
+""", ("f_wide_columns", "f_wide_columns_old"))
 def meta_snapshot_diff(spark, d):
-    frames = []
-    for view, odd in (("f_meta_column_old", "int"), ("f_meta_column", "bigint")):
-        fixture(spark, d, view).createOrReplaceTempView(view)
-        frames.append(spark.sql(TYPED.format(odd=odd, view=view)))
-    return M.snapshot_diff(*frames)
+    return M.snapshot_diff(fixture(spark, d, "f_wide_columns_old"), fixture(spark, d, "f_wide_columns"))
 
 
 def stmt_refs(spark, d):

@@ -65,6 +65,20 @@ SELECT 1000000 + column_id, 'retired', table_id, table_name, database_name, 4 FR
 WHERE table_id % 11 = 0 AND table_id % 13 <> 0 AND ordinal = 3
 """
 
+# A warehouse that grows with the parts, and how it looked before: tables of ten
+# columns, some missing on either side, some of another type.
+FIXTURES["f_wide_columns"] = """
+SELECT concat('db_', CAST(floor(p_partkey / 10) AS BIGINT) % 6) AS database_name, concat('t_', CAST(floor(p_partkey / 10) AS BIGINT)) AS table_name,
+       concat('c_', p_partkey % 10) AS column_name, CASE WHEN p_size % 7 = 0 THEN 'bigint' WHEN p_size % 2 = 0 THEN 'double' ELSE 'string' END AS data_type
+FROM part WHERE p_partkey % 11 <> 0
+"""
+
+FIXTURES["f_wide_columns_old"] = """
+SELECT concat('db_', CAST(floor(p_partkey / 10) AS BIGINT) % 6) AS database_name, concat('t_', CAST(floor(p_partkey / 10) AS BIGINT)) AS table_name,
+       concat('c_', p_partkey % 10) AS column_name, CASE WHEN p_size % 7 = 0 THEN 'int' WHEN p_size % 2 = 0 THEN 'double' ELSE 'string' END AS data_type
+FROM part WHERE p_partkey % 13 <> 0
+"""
+
 FIXTURES["f_col_lines"] = """
 SELECT p_partkey AS stmt_id, 1 AS branch, 1 AS pos, 'k' AS to_name, concat('ods.src_', p_partkey % 50, '.k') AS expr,
        concat('ods.src_', p_partkey % 50, '.k') AS from_names, concat('dw.dst_', p_partkey % 30) AS to_table,
