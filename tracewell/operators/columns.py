@@ -312,12 +312,13 @@ def trace_columns(refs: DataFrame, meta_columns: DataFrame, max_depth: int = 64)
     one level per round. ``table.*`` stays a source of that name.
     """
     keys = ["job_id", "stmt_no"]
-    scoped = scopes(refs.select(*keys, "database_name", "stmt"), *keys, "database_name")
+    refs = cut(refs.select(*keys, "database_name", "stmt", "outputs"))
+    scoped = scopes(refs, *keys, "database_name")
     names = F.regexp_extract_all("text", F.lit(SOURCE_WITH_ALIAS), F.lit(1))
     aliases = F.regexp_extract_all("text", F.lit(SOURCE_WITH_ALIAS), F.lit(2))
     sources = F.zip_with(names, aliases, lambda n, a: F.struct(
         n.alias("source"), F.when((a == "") | F.array_contains(_words(), F.lower(a)), F.substring_index(n, ".", -1)).otherwise(a).alias("alias")))
-    items = select_items(scoped.withColumn("sources", sources), *keys, "database_name", "sources")
+    items = cut(select_items(scoped.withColumn("sources", sources), *keys, "database_name", "sources"))
     named = items.select(*keys, "database_name", "sources", "scope", "branch", "pos", "name", F.explode_outer(column_refs()).alias("ref"))
     named = named.filter("ref is not null").withColumn("column", F.substring_index("ref", ".", -1)).withColumn(
         "alias", F.when(F.contains("ref", F.lit(".")), F.lower(F.substring_index("ref", ".", 1))))

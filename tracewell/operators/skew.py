@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.storage import cut
+from tracewell.storage import keep
 
 SALTS = 8
 HOT_ROWS = 500_000
@@ -80,7 +80,7 @@ def _range_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     """Rows in range partitions of (keys, order), each row with the number of its partition."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *ordering(order))
-    return cut(ranged.withColumn("_part", F.spark_partition_id()))
+    return keep(ranged.withColumn("_part", F.spark_partition_id()))
 
 
 def _before(keys: Sequence[str]):
