@@ -31,7 +31,7 @@ def test_use_set_add_and_comments(spark):
 
 
 def test_an_escaped_semicolon_does_not_cut(spark):
-    script = "insert into table t select split(x, '\;') from s; insert into table t2 select 1 from s2"
+    script = r"insert into table t select split(x, '\;') from s; insert into table t2 select 1 from s2"
     assert refs(spark, script) == [(["default.s"], ["default.t"]), (["default.s2"], ["default.t2"])]
 
 
