@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, quality, simhash
+from tracewell.llm import bpe, chat, decontaminate, pii, quality, secrets, simhash
 from tracewell.llm.registry import query
 from tracewell.sources.tables import table
 
@@ -48,6 +48,40 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.restored(output))
 
 
+@query("op6_secrets")
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan_all(table(spark, sf_dir, "documents")))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op8_decontaminate", oracle=r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM documents),
+i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM benchmark),
+dw AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS p FROM d),
+iw AS (SELECT item_id, len(words) AS n, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS j FROM i),
+eq AS (SELECT doc_id, item_id, n, p - j AS off, j FROM dw JOIN iw USING (w)),
+lines AS (SELECT doc_id, item_id, off FROM eq GROUP BY doc_id, item_id, off HAVING count(*) >= least(any_value(n), 12)),
+win AS (
+  SELECT doc_id, item_id, n, off, count(*) OVER (PARTITION BY doc_id, item_id, off ORDER BY j RANGE BETWEEN CURRENT ROW AND least(n, 20) - 1 FOLLOWING) AS c
+  FROM eq JOIN (SELECT doc_id, item_id, off FROM lines) USING (doc_id, item_id, off)),
+best AS (
+  SELECT doc_id, item_id, n, off, max(c) AS c FROM win GROUP BY ALL
+  HAVING max(c) >= CASE WHEN n < 15 THEN n ELSE ceil(least(n, 20) * 0.8) END)
+SELECT doc_id, item_id, CAST(max(c) AS INTEGER) AS n_equal, CAST(n AS INTEGER) AS n_words,
+       CAST(min(off) FILTER (c = top) AS INTEGER) AS at_word
+FROM (SELECT *, max(c) OVER (PARTITION BY doc_id, item_id) AS top FROM best) t GROUP BY doc_id, item_id, n
+""")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_equal", "n_words", F.col("at").alias("at_word"))
+
+
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
