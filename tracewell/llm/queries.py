@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, decontaminate, pii, quality, secrets, simhash
+from tracewell.llm import bpe, chat, decontaminate, licenses, lines, pii, quality, secrets, simhash
+from tracewell.llm.license_templates import TEMPLATES
 from tracewell.llm.registry import query
 from tracewell.sources.tables import table
 
@@ -91,3 +92,38 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def template_values() -> str:
+    quoted = ((key, licence.replace("'", "''"), text.replace("'", "''")) for key, licence, text in TEMPLATES)
+    return ", ".join(f"({key}, '{licence}', '{text}')" for key, licence, text in quoted)
+
+
+@query("op2_licenses", oracle=rf"""
+WITH t AS (SELECT * FROM (VALUES {template_values()}) v(template_id, license, text)),
+tw AS (SELECT template_id, license, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '') AS words FROM t),
+ts AS (
+  SELECT DISTINCT template_id, license, CAST(greatest(8, pow(2, ceil(log2(len(words))))) AS BIGINT) AS size,
+         array_to_string(words[p:p + 4], ' ') AS shingle
+  FROM tw, LATERAL (SELECT unnest(range(1, len(words) - 3)) AS p)),
+tn AS (SELECT template_id, count(*) AS n_shingles FROM ts GROUP BY template_id),
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '') AS words FROM documents),
+ds AS (
+  SELECT doc_id, p - 1 AS pos, array_to_string(words[p:p + 4], ' ') AS shingle
+  FROM dw, LATERAL (SELECT unnest(range(1, len(words) - 3)) AS p)),
+hits AS (SELECT doc_id, template_id, license, size, pos, shingle FROM ds JOIN ts USING (shingle)),
+win AS (
+  SELECT doc_id, template_id, license, (pos // size - k) * size AS start, shingle
+  FROM hits, (VALUES (0), (1)) b(k) WHERE pos // size - k >= 0 AND pos + 5 <= (pos // size - k) * size + 2 * size),
+shares AS (SELECT doc_id, template_id, license, start, count(DISTINCT shingle) AS n_shared FROM win GROUP BY ALL)
+SELECT doc_id, CAST(template_id AS BIGINT) AS template_id, license, CAST(max(n_shared) AS INTEGER) AS n_shared,
+       CAST(any_value(n_shingles) AS INTEGER) AS n_shingles, CAST(min(start) AS INTEGER) AS first_word
+FROM shares JOIN tn USING (template_id) WHERE n_shared >= 0.8 * n_shingles GROUP BY doc_id, template_id, license
+""")
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), TEMPLATES).drop("tag")
+
+
+@query("op4_lines")
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
