@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, decontaminate, licenses, lines, pii, quality, secrets, simhash
+from tracewell.llm import bpe, chat, decontaminate, licenses, lines, pii, quality, secrets, simhash, suffixes
 from tracewell.llm.license_templates import TEMPLATES
 from tracewell.llm.registry import query
 from tracewell.sources.tables import table
@@ -124,6 +124,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), TEMPLATES).drop("tag")
 
 
+@query("op3_substrings")
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 @query("op4_lines")
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
