@@ -29,8 +29,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
-from tracewell.llm.common import texts
+from tracewell.llm.common import texts, with_columns
 
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the tokenizer's own pattern
 BLOCK = 1 << 16  # characters that are split at a time
@@ -177,38 +178,35 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids): the token ids of every text. ``path`` is a tokenizer file that every executor has."""
+def encode(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
+    """(doc_id, ids), and text if asked: the token ids of every text. ``path`` is a tokenizer file that every executor has."""
+    rows = texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
-            keys, found, size = [], [], 0
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            first, found, size = 0, [], 0
+            for at, text in enumerate(batch.column("text")):
                 ids = pa.array(own.encode(text.as_py()), pa.int32())
-                keys.append(key)
                 found.append(ids)
                 size += len(ids)
                 if size >= OUT_TOKENS:
-                    yield packed(keys, found)
-                    keys, found, size = [], [], 0
-            if keys:
-                yield packed(keys, found)
+                    yield packed(batch.slice(first, at + 1 - first), found)
+                    first, found, size = at + 1, [], 0
+            if found:
+                yield packed(batch.slice(first), found)
 
-    def packed(keys: list, found: list) -> pa.RecordBatch:
+    def packed(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
         ends = list(itertools.accumulate((len(i) for i in found), initial=0))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(found))], names=["doc_id", "ids"])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(found))
+        columns = {"doc_id": part.column("doc_id"), "text": part.column("text")} if keep_text else {"doc_id": part.column("doc_id")}
+        return pa.RecordBatch.from_arrays([*columns.values(), ids], names=[*columns, "ids"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>" if keep_text else "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the text of ``ids``."""
-    from pyspark.sql.types import StringType, StructField
-
-    from tracewell.llm.common import with_columns
-
     def compute(batch: pa.RecordBatch) -> list:
         own = tokenizer(path)
         return [[own.decode(ids.values.to_pylist()) for ids in batch.column("ids")]]

@@ -107,3 +107,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     best = checked.filter(F.col("n_equal") >= wanted).groupBy("doc_id", "tag", "item_id", "n_words").agg(
         F.max(F.struct("n_equal", (-F.col("at")).alias("_at"))).alias("b"))
     return best.select("doc_id", "tag", "item_id", (-F.col("b._at")).alias("at"), "b.n_equal", "n_words")
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that overlap no item, with their own columns."""
+    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_llm_id"), F.col("tag").alias("_llm_tag")).distinct()
+    tag = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_llm_id"]) & (tag == found["_llm_tag"]), "left_anti")
