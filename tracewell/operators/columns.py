@@ -10,18 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.skew import lookup_join
-from tracewell.operators.statements import trimmed
+from tracewell.operators.statements import CTE_QUERY, LITERAL, trimmed
 from tracewell.storage import cut
 
 # Fixed patterns.
-CTE_QUERY = r"(?is)(?:\bwith|,)\s*(\w+)\s+as\s*\(((?:[^()]|\([^()]*\))*)\)"
 BRANCH_BORDER = r"(?i)\bunion(?:\s+all|\s+distinct)?\b"
 SELECT_LIST = r"(?is)\bselect\s+(?:distinct\s+)?(.*?)\s+from\s"
 FROM_CLAUSE = r"(?is)\sfrom\s+(.*)$"
 SOURCE_WITH_ALIAS = r"(?i)\b(?:from|join)\s+([A-Za-z_][\w.]*)(?:\s+(?:as\s+)?([A-Za-z_]\w*))?"
 ITEM_WITH_AS = r"(?is)^(.*\S)\s+as\s+(\w+)$"
 ITEM_WITH_ALIAS = r"(?is)^(.*[\w)\]'])\s+(\w+)$"
-QUOTED = r"'[^']*'"
+NO_COLUMNS = (  # what an expression names besides columns, and what stays of it
+    (LITERAL, "''"),
+    (r"`", ""),
+    (r"(?i)\b(?:date|timestamp)\s*''", "''"),
+    (r"(?i)\binterval\s+(?:''|\d+)\s+\w+", "''"),
+    (r"(?i)\bextract\s*\(\s*\w+\s+from\b", "extract("),
+    (r"(?i)\bas\s+\w+(?:\s*\([^()]*\)|\s*<[^()]*>)?\s*\)", ")"),
+    (r"(?i)\b(?:rows|range)\s+(?:between\s+)?(?:unbounded|current|\d+)\b[^()]*", ""),
+    (r"(?<![\w.])\d(?:[\w.]*[eE][+-]\d+|[\w.]*)", "0"),
+)
 IDENTIFIER = r"([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)(?:\s*(\())?"
 WHERE_TEXT = r"(?is)\bwhere\s+(.*?)(?:\s+(?:group|order|sort|cluster|distribute)\s+by\b.*|\s+having\b.*|\s+limit\b.*)?$"
 JOIN_TEXT = r"(?is)\b((?:(?:left|right|full)\s+(?:outer\s+|semi\s+)?|inner\s+|cross\s+)?join)\s+[\w.]+(?:\s+(?:as\s+)?\w+)?\s+on\s+(.*?)(?=\s+(?:(?:left|right|full|inner|cross)\s+(?:outer\s+|semi\s+)?)?join\s|\s+lateral\s+view\s|\s+where\s|\s+group\s+by\s|\s+order\s+by\s|$)"
@@ -57,7 +65,7 @@ def scopes(statements: DataFrame, *keys: str) -> DataFrame:
 
 
 def _depth_change(piece: Column) -> Column:
-    bare = F.regexp_replace(piece, QUOTED, "")
+    bare = F.regexp_replace(piece, LITERAL, "")
     opened = F.length(bare) - F.length(F.translate(bare, "(", ""))
     closed = F.length(bare) - F.length(F.translate(bare, ")", ""))
     return opened - closed
@@ -105,10 +113,12 @@ def select_items(scoped: DataFrame, *keys: str) -> DataFrame:
 def column_refs(expr: str = "expr") -> Column:
     """Columns an expression names, in order of first use.
 
-    Quoted text, numbers, SQL words and function names are left out; the name
-    in front of ``[..]`` stays. ``*`` and ``a.*`` come through as they are.
+    Literals, numbers, types of casts, window frames, SQL words and function
+    names are left out; the name in front of ``[..]`` stays. ``*`` and ``a.*`` come through as they are.
     """
-    bare = F.regexp_replace(F.col(expr), QUOTED, "''")
+    bare = F.col(expr)
+    for pattern, left in NO_COLUMNS:
+        bare = F.regexp_replace(bare, pattern, left)
     names = F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(1))
     calls = F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(2))
     kept = F.filter(F.arrays_zip(names.alias("name"), calls.alias("call")),
@@ -185,34 +195,31 @@ def expand_stars(refs: DataFrame, sources: DataFrame, meta_columns: DataFrame) -
         "stmt_id", "pos", "place", "ordinal", "database_name", "table_name", "column_name")
 
 
-def collapse_scopes(scope_columns: DataFrame, max_depth: int = 64) -> DataFrame:
+def collapse_scopes(scope_columns: DataFrame) -> DataFrame:
     """Output columns of the outermost scopes with their base sources.
 
     ``scope_columns(stmt_id, scope_id, column_name, child_scope_id, source,
     cond)``: a column reads a child scope's column of the same name or a base
     source. Conditions met on the way are carried along. Each round replaces
-    one level of references by what they stand for.
+    one level of references by what they stand for. A scope that turns up again
+    on its own way ends it.
     """
     inner = scope_columns.select("stmt_id", F.col("scope_id").alias("child_scope_id"), "column_name",
                                  F.col("child_scope_id").alias("n_child"), F.col("source").alias("n_source"), F.col("cond").alias("n_cond"))
     frontier = (scope_columns.filter("scope_id = 1")
-                .select("stmt_id", "column_name", "child_scope_id", "source",
+                .select("stmt_id", "column_name", "child_scope_id", "source", F.array(F.lit(1)).alias("seen"),
                         F.filter(F.array("cond"), lambda c: c.isNotNull()).alias("conds")))
-    done = frontier.filter("child_scope_id is null")
-    rounds = [done]
-    for _ in range(max_depth):
+    out = frontier.filter("child_scope_id is null")
+    while True:
         frontier = cut(
-            frontier.filter("child_scope_id is not null").join(inner, ["stmt_id", "child_scope_id", "column_name"])
+            frontier.filter("child_scope_id is not null and not array_contains(seen, child_scope_id)")
+            .join(inner, ["stmt_id", "child_scope_id", "column_name"])
             .select("stmt_id", "column_name", F.col("n_child").alias("child_scope_id"), F.col("n_source").alias("source"),
+                    F.array_append("seen", F.col("child_scope_id")).alias("seen"),
                     F.concat("conds", F.filter(F.array("n_cond"), lambda c: c.isNotNull())).alias("conds")))
         if frontier.isEmpty():
             break
-        rounds.append(frontier.filter("child_scope_id is null"))
-    else:
-        raise ValueError(f"scopes nested deeper than {max_depth}")
-    out = rounds[0]
-    for part in rounds[1:]:
-        out = out.unionByName(part)
+        out = out.unionByName(frontier.filter("child_scope_id is null"))
     return out.select("stmt_id", "column_name", "source", F.array_sort(F.array_distinct("conds")).alias("conds"))
 
 
@@ -302,7 +309,7 @@ def relation_rows(edges: DataFrame, meta_columns: DataFrame) -> DataFrame:
     return lookup_join(src.withColumn("key", F.lower("dst")), ids, ["key"], "left").drop("key")
 
 
-def trace_columns(refs: DataFrame, meta_columns: DataFrame, max_depth: int = 64) -> DataFrame:
+def trace_columns(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
     """Column lineage from statement text: (job_id, stmt_no, to_table, pos, to_name, source).
 
     ``refs`` comes from ``statements.table_refs``. A reference is bound in the
@@ -342,19 +349,15 @@ def trace_columns(refs: DataFrame, meta_columns: DataFrame, max_depth: int = 64)
 
     lines = sure.select(*keys, "scope", "branch", "pos", "name", "column", "child", "base")
     inner = lines.filter("scope <> ''").select(*keys, F.col("scope").alias("child"), F.col("name").alias("column"), F.col("column").alias("n_column"), F.col("child").alias("n_child"), F.col("base").alias("n_base"))
-    frontier = lines.filter("scope = ''").drop("scope", "name")
-    found = [frontier.filter("base is not null")]
-    for _ in range(max_depth):
-        frontier = cut(frontier.filter("child is not null").join(inner, [*keys, "child", "column"])
-                       .select(*keys, "branch", "pos", F.col("n_column").alias("column"), F.col("n_child").alias("child"), F.col("n_base").alias("base")))
+    frontier = lines.filter("scope = ''").drop("scope", "name").withColumn("seen", F.array().cast("array<string>"))
+    traced = frontier.filter("base is not null").drop("seen")
+    while True:  # a WITH query that turns up again on its own way ends it
+        frontier = cut(frontier.filter("child is not null and not array_contains(seen, child)").join(inner, [*keys, "child", "column"])
+                       .select(*keys, "branch", "pos", F.col("n_column").alias("column"), F.col("n_child").alias("child"), F.col("n_base").alias("base"),
+                               F.array_append("seen", F.col("child")).alias("seen")))
         if frontier.isEmpty():
             break
-        found.append(frontier.filter("base is not null"))
-    else:
-        raise ValueError(f"WITH queries nested deeper than {max_depth}")
-    traced = found[0]
-    for part in found[1:]:
-        traced = traced.unionByName(part)
+        traced = traced.unionByName(frontier.filter("base is not null").drop("seen"))
 
     usable = F.when(F.col("name") != "", F.col("branch"))
     to_names = items.filter("scope = ''").groupBy(*keys, "pos").agg(F.coalesce(F.min_by("name", usable), F.lit("")).alias("to_name"))

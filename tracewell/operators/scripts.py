@@ -40,7 +40,7 @@ def config_entries(df: DataFrame, owner: str) -> DataFrame:
     return df.select(F.col("id").alias(owner), F.explode(settings_map()).alias("key", "value"))
 
 
-def group_chain(groups: DataFrame, max_depth: int = 64) -> DataFrame:
+def group_chain(groups: DataFrame) -> DataFrame:
     """(group_id, ancestor_id, distance) up to the root, the group itself at 0.
 
     Walks the groups only. Groups that were deleted end a chain, a group that
@@ -53,7 +53,7 @@ def group_chain(groups: DataFrame, max_depth: int = 64) -> DataFrame:
         F.array("id").alias("seen"), F.col("parent").alias("next_id"),
     )
     levels = [frontier]
-    for _ in range(max_depth):
+    while True:
         frontier = cut(
             frontier.filter("next_id <> 0 and not array_contains(seen, next_id)")
             .select("group_id", F.col("next_id").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"), "seen")
@@ -63,8 +63,6 @@ def group_chain(groups: DataFrame, max_depth: int = 64) -> DataFrame:
         if frontier.isEmpty():
             break
         levels.append(frontier)
-    else:
-        raise ValueError(f"group chain deeper than {max_depth}")
     chain = levels[0]
     for level in levels[1:]:
         chain = chain.unionByName(level)

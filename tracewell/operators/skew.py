@@ -17,7 +17,6 @@ from tracewell.storage import keep
 
 SALTS = 8
 HOT_ROWS = 500_000
-MAX_HOT_KEYS = 2_000
 CHUNK = 65_536
 
 
@@ -52,13 +51,10 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool = F
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The keys with more than ``hot_rows`` rows, the largest 2000 at most; None when there are none.
-
-    Further ones stay with the ordinary keys, where the result is the same.
-    """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    found = counted.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).drop("_n").collect()
-    return df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
+    """All keys with more than ``hot_rows`` rows, as a kept table; None when there are none."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")
+    found = keep(counted)
+    return None if found.isEmpty() else found
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], native: Callable[[DataFrame], DataFrame],
@@ -71,9 +67,8 @@ def split_hot(df: DataFrame, keys: Sequence[str], native: Callable[[DataFrame],
         return native(df)
     named = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
-    listed = F.broadcast(named)  # at most MAX_HOT_KEYS rows
-    cold = native(df.join(listed, on, "left_anti"))
-    return cold.unionByName(spread(df.join(listed, on, "left_semi")))
+    cold = native(df.join(named, on, "left_anti"))
+    return cold.unionByName(spread(df.join(named, on, "left_semi")))
 
 
 def _range_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -13,11 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed patterns.
-INPUT_TABLE = r"(?i)\b(?:from|join)\s+([A-Za-z_][\w.]*)"
-OUTPUT_TABLE = r"(?i)\b(?:insert\s+(?:into|overwrite)\s+table|create\s+table(?:\s+if\s+not\s+exists)?)\s+([A-Za-z_][\w.]*)"
-CTE_NAME = r"(?i)(?:\bwith|,)\s+(\w+)\s+as\s*\("
-USE_DATABASE = r"(?i)^use\s+(\w+)"
+# Patterns. Literals and comments are read as a whole, whatever stands inside.
+LITERAL = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+\""""
+COMMENT = r"(?m:^[ \t]*--[^\n]*(?:\n|\z))|--[^\n]*|/\*(?!\+)[\s\S]*?\*/"  # a hint is no comment
+FROM_IN_CALL = r"(?i)\b(?:extract|trim|substring|overlay|position)\s*\([^()]*\)"
+NO_ALIAS = r"(?:on|using|where|join|left|right|full|inner|cross|lateral|group|order|sort|cluster|distribute|having|limit|union|select|insert|window)"
+INPUT_TABLE = rf"(?i)(?:\b(?:from|join)\s+|(?!^)\G(?:\s+(?:as\s+)?(?!{NO_ALIAS}\b)\w+)?\s*,\s*)([A-Za-z_][\w.]*+)(?!\s*\()"
+OUTPUT_TABLE = r"(?i)\b(?:insert\s+(?:into|overwrite)(?:\s+table)?|create\s+(?:external\s+|temporary\s+)?table(?:\s+if\s+not\s+exists)?)\s+(?!(?:table|local|directory|if)\b)([A-Za-z_][\w.]*)"
+CTE_NAME = r"(?i)(?:\bwith\s+|,\s*)(\w+)\s+as\s*\("
+CTE_QUERY = r"(?is)(?:\bwith\s+|,\s*)(\w+)\s+as\s*\(((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\)"
+USE_DATABASE = r"(?i)^use\s+`?(\w+)"
 JOIN_WORDS = r"(?i)\b((?:(?:left|right|full)\s+(?:outer\s+|semi\s+)?|inner\s+|cross\s+|unique)?join)\b"
 
 # Fixed join names by their spelling.
@@ -38,17 +43,39 @@ def trimmed(text: Column) -> Column:
 
 
 def strip_comments(script: str = "script") -> Column:
-    """A script without the lines that start with ``--``."""
-    kept = F.filter(F.split(script, "\n"), lambda line: ~F.startswith(F.ltrim(F.replace(line, F.lit("\t"), F.lit(" "))), F.lit("--")))
-    return F.array_join(kept, "\n")
+    """A script without comments; a line that holds nothing else goes with its end. Literals stay as they are."""
+    return F.regexp_replace(script, f"({LITERAL})|{COMMENT}", "$1")
+
+
+def _open_literal(text: Column) -> Column:
+    return F.rlike(F.regexp_replace(text, rf"{LITERAL}|\\.", ""), F.lit("['\"]"))
 
 
 def split_script(script: Column) -> Column:
-    """Array of (stmt_no, stmt), cut at every ``;`` without a backslash before it."""
-    parts = F.split(script, r"(?<!\\);")
+    """Array of (stmt_no, stmt), cut at every ``;`` outside literals without a backslash before it.
+
+    Cut at every one first; pieces are glued together again while a literal is
+    open. A quote that is never closed ends with the script.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        text = F.concat(F.coalesce(F.concat(acc["open"], F.lit(";")), F.lit("")), piece)
+        going = _open_literal(text)
+        return F.struct(F.when(going, acc["done"]).otherwise(F.array_append(acc["done"], text)).alias("done"),
+                        F.when(going, text).alias("open"))
+
+    plain = F.split(script, r"(?<!\\);")
+    glued = F.aggregate(plain, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    parts = F.when(F.rlike(script, F.lit("['\"]")), glued).otherwise(plain)
     return F.transform(parts, lambda s, i: F.struct(i.alias("stmt_no"), trimmed(s).alias("stmt")))
 
 
+def bare(stmt: Column) -> Column:
+    """A statement as the table patterns read it: no literals, no back quotes, no FROM inside a call."""
+    return F.regexp_replace(F.replace(F.regexp_replace(stmt, LITERAL, "''"), F.lit("`"), F.lit("")), FROM_IN_CALL, "f()")
+
+
 def is_query(stmt: Column) -> Column:
     """Statements that can carry lineage; blank, ``set`` and ``add`` ones do not."""
     return (stmt != "") & ~F.rlike(stmt, F.lit(r"(?i)^(set|add)\b"))
@@ -78,16 +105,38 @@ def scoped_statements(jobs: DataFrame, *keep: str) -> DataFrame:
             .withColumn("database_name", F.coalesce(current, F.lit(DEFAULT_DATABASE))).drop("uses"))
 
 
+def _names(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
 def input_names(stmt: str = "stmt") -> Column:
-    return F.array_distinct(F.regexp_extract_all(stmt, F.lit(INPUT_TABLE), F.lit(1)))
+    """Names after FROM and JOIN, comma lists included; WITH names among them."""
+    return F.array_distinct(_names(bare(F.col(stmt)), INPUT_TABLE))
 
 
 def output_names(stmt: str = "stmt") -> Column:
-    return F.array_distinct(F.regexp_extract_all(stmt, F.lit(OUTPUT_TABLE), F.lit(1)))
+    return F.array_distinct(_names(bare(F.col(stmt)), OUTPUT_TABLE))
 
 
 def cte_names(stmt: str = "stmt") -> Column:
-    return F.array_distinct(F.regexp_extract_all(stmt, F.lit(CTE_NAME), F.lit(1)))
+    return F.array_distinct(_names(bare(F.col(stmt)), CTE_NAME))
+
+
+def real_input_names(stmt: str = "stmt") -> Column:
+    """Names of tables that are read. A WITH name stands for its query only after that query, whatever its case."""
+    text = bare(F.col(stmt))
+
+    def tables(body: Column, hidden: Column) -> Column:
+        return F.filter(_names(body, INPUT_TABLE), lambda n: ~F.array_contains(hidden, F.lower(n)))
+
+    names = F.transform(_names(text, CTE_QUERY), lambda n: F.lower(n))
+    bodies = F.zip_with(_names(text, CTE_QUERY), F.regexp_extract_all(text, F.lit(CTE_QUERY), F.lit(2)), lambda n, b: F.struct(F.lower(n).alias("name"), b.alias("body")))
+    start = F.struct(F.array().cast("array<string>").alias("known"), F.array().cast("array<string>").alias("read"))
+    inside = F.aggregate(bodies, start, lambda acc, c: F.struct(
+        F.array_append(acc["known"], c["name"]).alias("known"), F.concat(acc["read"], tables(c["body"], acc["known"])).alias("read")), lambda acc: acc["read"])
+    outside = tables(F.regexp_replace(text, CTE_QUERY, " "), names)
+    plain = F.array_distinct(_names(text, INPUT_TABLE))
+    return F.when(F.rlike(text, F.lit(CTE_NAME)), F.array_distinct(F.concat(inside, outside))).otherwise(plain)
 
 
 def qualify(name: Column, database: Column) -> Column:
@@ -104,7 +153,7 @@ def table_refs(jobs: DataFrame, *keep: str) -> DataFrame:
         return F.array_distinct(F.filter(F.transform(names, lambda n: qualify(n, F.col("database_name"))), lambda n: n.isNotNull()))
 
     scoped = scoped_statements(jobs, *keep)
-    return (scoped.withColumn("inputs", full(F.array_except(input_names(), cte_names())))
+    return (scoped.withColumn("inputs", full(real_input_names()))
             .withColumn("outputs", full(output_names())))
 
 

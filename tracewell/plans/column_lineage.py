@@ -125,6 +125,12 @@ def lin_colfun(spark, d):
     return items.select("stmt_id", "name", F.when(C.is_computed("expr", F.col("refs")), F.concat(F.lit("COLFUN:"), "expr")).otherwise("").alias("colfun"))
 
 
+@query("lin_expression_columns", "SELECT id, shape, true_columns AS columns FROM f_expressions", ("f_expressions",))
+def lin_expression_columns(spark, d):
+    """Columns of expressions with casts, frames, literals and numbers, against those they were made from."""
+    return fixture(spark, d, "f_expressions").select("id", "shape", F.array_join(C.column_refs(), ";").alias("columns"))
+
+
 REFS = ("f_col_refs", "f_scope_tables", "f_meta_column")
 
 
@@ -246,11 +252,11 @@ col_edges AS (SELECT * FROM edges WHERE len(string_split(src, '.')) = 3)
 
 
 # Two-column metadata for half of the targets, so that positions decide there.
-NARROW = "f_meta_column WHERE NOT (database_name = 'dw' AND ordinal = 3 AND table_id % 2 = 0)"
+NARROW = "f_meta_column WHERE NOT (database_name = 'dw' AND ordinal = 3 AND table_id % 8 = 1)"
 
 
 def named_lines(spark, d):
-    meta = fixture(spark, d, "f_meta_column").filter("NOT (database_name = 'dw' AND ordinal = 3 AND table_id % 2 = 0)")
+    meta = fixture(spark, d, "f_meta_column").filter("NOT (database_name = 'dw' AND ordinal = 3 AND table_id % 8 = 1)")
     lines = merged_lines(spark, d).withColumn("from_names", F.array_join("from_names", "&"))
     return C.positional_names(lines, meta)
 
@@ -269,7 +275,7 @@ def lin_output_positional(spark, d):
 
 @query("lin_tmp_target", """
 SELECT stmt_id, CASE WHEN target = 'TOK_TMP_FILE' THEN created ELSE target END AS to_table FROM (
-  SELECT c_custkey AS stmt_id, CASE WHEN c_custkey % 3 = 0 THEN 'TOK_TMP_FILE' ELSE concat('dw.cust_', c_custkey % 9) END AS target,
+  SELECT c_custkey AS stmt_id, CASE WHEN c_custkey % 3 = 0 THEN 'TOK_TMP_FILE' ELSE concat('dw.cust_', CAST(floor(c_custkey / 8) AS BIGINT)) END AS target,
          concat('app.copy_', c_custkey % 5) AS created FROM customer)
 """)
 def lin_tmp_target(spark, d):
@@ -290,8 +296,8 @@ def lin_column_edges(spark, d):
 
 
 @query("lin_relation_rows", NAMED + """
-SELECT e.stmt_id, CAST(o.column_id AS INT) AS column_id, CAST(o.table_id AS INT) AS table_id, CAST(i.table_id AS INT) AS from_table_id,
-       CAST(i.column_id AS INT) AS from_column_id, replace(array_to_string(e.conditions, ', '), '''', '~') AS condition
+SELECT e.stmt_id, o.column_id AS column_id, o.table_id AS table_id, i.table_id AS from_table_id,
+       i.column_id AS from_column_id, replace(array_to_string(e.conditions, ', '), '''', '~') AS condition
 FROM col_edges e
 LEFT JOIN f_meta_column i ON concat(i.database_name, '.', i.table_name, '.', i.column_name) = e.src
 LEFT JOIN f_meta_column o ON concat(o.database_name, '.', o.table_name, '.', o.column_name) = e.dst
@@ -326,10 +332,10 @@ def lin_problem_jobs(spark, d):
 
 @query("lin_column_trace", """
 SELECT p_partkey AS job_id, CAST(n AS INT) AS stmt_no, to_table, CAST(pos AS INT) AS pos, to_name, source FROM (
-  SELECT p_partkey, 2 AS n, concat('dw.dst_', p_partkey % 30) AS to_table, 0 AS pos, 'k' AS to_name, concat('ods.src_', p_partkey % 50, '.k') AS source FROM part
-  UNION ALL SELECT p_partkey, 2, concat('dw.dst_', p_partkey % 30), 1, 'v', concat('db_', p_size % 6, '.dim_', p_size % 10, '.v') FROM part
-  UNION ALL SELECT p_partkey, 3, concat('db_', p_size % 6, '.rpt_', p_partkey % 12), pos, c, concat(t, '.', c)
-  FROM part, (SELECT 0 AS pos, 'k' AS c UNION ALL SELECT 1, 'v') cs, LATERAL (SELECT concat('dw.dst_', p_partkey % 30) AS t UNION ALL SELECT concat('ods.src_', (p_partkey + 1) % 53)) ts)
+  SELECT p_partkey, 2 AS n, concat('dw.dst_', CAST(floor(p_partkey / 7) AS BIGINT)) AS to_table, 0 AS pos, 'k' AS to_name, concat('ods.src_', CAST(floor(p_partkey / 4) AS BIGINT), '.k') AS source FROM part
+  UNION ALL SELECT p_partkey, 2, concat('dw.dst_', CAST(floor(p_partkey / 7) AS BIGINT)), 1, 'v', concat('db_', p_size % 6, '.dim_', p_size % 10, '.v') FROM part
+  UNION ALL SELECT p_partkey, 3, concat('db_', p_size % 6, '.rpt_', CAST(floor(p_partkey / 9) AS BIGINT)), pos, c, concat(t, '.', c)
+  FROM part, (SELECT 0 AS pos, 'k' AS c UNION ALL SELECT 1, 'v') cs, LATERAL (SELECT concat('dw.dst_', CAST(floor(p_partkey / 7) AS BIGINT)) AS t UNION ALL SELECT concat('ods.src_', CAST(floor((p_partkey + 17) / 4) AS BIGINT))) ts)
 WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0
 """)
 def lin_column_trace(spark, d):

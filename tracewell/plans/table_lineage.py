@@ -126,3 +126,27 @@ FROM f_stmts WHERE contains(stmt, 'lateral view')
 def lin_lateral_view_sources(spark, d):
     viewed = stmts_of(spark, d).filter(F.rlike("stmt", F.lit(r"(?i)\blateral\s+view\b")))
     return viewed.select("stmt_id", F.explode(T.input_names()).alias("input_table"))
+
+
+def shape_refs(spark, d):
+    """Tables of the statements of ``f_shapes``."""
+    return T.table_refs(use_all_cores(fixture(spark, d, "f_shapes")))
+
+
+@query("lin_shape_tables", "SELECT id AS job_id, true_inputs AS inputs, true_outputs AS outputs FROM f_shapes", ("f_shapes",))
+def lin_shape_tables(spark, d):
+    """Every spelling of a statement against the tables it was made from."""
+    return shape_refs(spark, d).select("job_id", T.name_list(F.col("inputs")).alias("inputs"), T.name_list(F.col("outputs")).alias("outputs"))
+
+
+@query("lin_shape_with_names", "SELECT id AS job_id, true_with_names AS with_names FROM f_shapes", ("f_shapes",))
+def lin_shape_with_names(spark, d):
+    return T.statements(use_all_cores(fixture(spark, d, "f_shapes"))).select("job_id", T.name_list(T.cte_names()).alias("with_names"))
+
+
+@query("lin_shape_edges", """
+SELECT DISTINCT split_part(src, '.', 1) AS src_db, split_part(src, '.', 2) AS src_table, split_part(dst, '.', 1) AS dst_db, split_part(dst, '.', 2) AS dst_table
+FROM (SELECT unnest(string_split(true_inputs, ';')) AS src, true_outputs FROM f_shapes) i, unnest(string_split(true_outputs, ';')) AS o(dst)
+""", ("f_shapes",))
+def lin_shape_edges(spark, d):
+    return T.table_edges(shape_refs(spark, d))

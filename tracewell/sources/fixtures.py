@@ -31,27 +31,31 @@ SELECT p_partkey AS id,
        concat('use db_', p_size % 6, ';', chr(10),
               '-- from ods.commented_out ', p_name, chr(10),
               'set hive.x=1;', chr(10),
-              'with t1 as (select k from ods.src_', p_partkey % 50, ')', chr(10),
-              'insert overwrite table dw.dst_', p_partkey % 30, chr(10),
+              'with t1 as (select k from ods.src_', CAST(floor(p_partkey / 4) AS BIGINT), ')', chr(10),
+              'insert overwrite table dw.dst_', CAST(floor(p_partkey / 7) AS BIGINT), chr(10),
               'select a.k, nvl(b.v,0) as v from t1 a left outer join dim_', p_size % 10, ' b on a.k = b.k',
               ' where b.v > $', '{limit} and b.env = ''$', '{env}'' and b.pt = ''$', '{yesterday}'';', chr(10),
-              'insert into table rpt_', p_partkey % 12, ' select k, v from dw.dst_', p_partkey % 30, chr(10),
+              'insert into table rpt_', CAST(floor(p_partkey / 9) AS BIGINT), ' select k, v from dw.dst_', CAST(floor(p_partkey / 7) AS BIGINT), chr(10),
               'union all', chr(10),
-              'select k, v from ods.src_', (p_partkey + 1) % 53, ';', chr(10)) AS script
+              'select k, v from ods.src_', CAST(floor((p_partkey + 17) / 4) AS BIGINT), ';', chr(10)) AS script
 FROM part
 """
 
-# At most 218 rows whatever the scale: every branch is bounded by its literals.
+# The warehouse's metadata. Every name that the scripts use is derived from all
+# parts, but every 17th source and every 19th report has no metadata; sources named
+# after suppliers are used by no script. Ids follow from the names.
 FIXTURES["f_meta_table"] = """
-SELECT CAST(row_number() OVER (ORDER BY database_name, table_name) AS INT) AS table_id, database_name, table_name FROM (
-  SELECT 'ods' AS database_name, concat('src_', s_suppkey) AS table_name FROM supplier WHERE s_suppkey < 60
-  UNION ALL SELECT 'dw', concat('dst_', s_suppkey) FROM supplier WHERE s_suppkey < 32
-  UNION ALL SELECT concat('db_', n_nationkey), concat('dim_', s_suppkey) FROM nation CROSS JOIN supplier WHERE n_nationkey < 6 AND s_suppkey < 10
-  UNION ALL SELECT concat('db_', n_nationkey), concat('rpt_', s_suppkey) FROM nation CROSS JOIN supplier WHERE n_nationkey < 6 AND s_suppkey < 11) t
+SELECT CAST(4 * n AS INT) AS table_id, 'ods' AS database_name, concat('src_', n) AS table_name
+FROM (SELECT DISTINCT CAST(floor(p_partkey / 4) AS BIGINT) AS n FROM part) s WHERE n % 17 <> 3
+UNION ALL SELECT CAST(4 * (100000000 + s_suppkey) AS INT), 'ods', concat('spare_', s_suppkey) FROM supplier
+UNION ALL SELECT CAST(4 * n + 1 AS INT), 'dw', concat('dst_', n) FROM (SELECT DISTINCT CAST(floor(p_partkey / 7) AS BIGINT) AS n FROM part) d
+UNION ALL SELECT CAST(4 * (10 * db + n) + 2 AS INT), concat('db_', db), concat('dim_', n) FROM (SELECT DISTINCT p_size % 6 AS db, p_size % 10 AS n FROM part) m
+UNION ALL SELECT CAST(4 * (6 * n + db) + 3 AS INT), concat('db_', db), concat('rpt_', n)
+FROM (SELECT DISTINCT p_size % 6 AS db, CAST(floor(p_partkey / 9) AS BIGINT) AS n FROM part) r WHERE n % 19 <> 5
 """
 
 FIXTURES["f_meta_column"] = """
-SELECT CAST((table_id - 1) * 3 + ordinal AS INT) AS column_id, column_name, table_id, table_name, database_name, ordinal
+SELECT CAST(table_id AS BIGINT) * 3 + ordinal AS column_id, column_name, table_id, table_name, database_name, ordinal
 FROM f_meta_table CROSS JOIN (SELECT 1 AS ordinal, 'k' AS column_name UNION ALL SELECT 2, 'v' UNION ALL SELECT 3, 'pt') c
 """
 
@@ -61,7 +65,7 @@ FIXTURES["f_meta_column_old"] = """
 SELECT column_id, column_name, table_id, table_name, database_name, ordinal FROM f_meta_column
 WHERE table_id % 13 <> 0 AND NOT (table_id % 17 = 0 AND column_name = 'v')
 UNION ALL
-SELECT 1000000 + column_id, 'retired', table_id, table_name, database_name, 4 FROM f_meta_column
+SELECT 10000000000 + column_id, 'retired', table_id, table_name, database_name, 4 FROM f_meta_column
 WHERE table_id % 11 = 0 AND table_id % 13 <> 0 AND ordinal = 3
 """
 
@@ -80,14 +84,14 @@ FROM part WHERE p_partkey % 13 <> 0
 """
 
 FIXTURES["f_col_lines"] = """
-SELECT p_partkey AS stmt_id, 1 AS branch, 1 AS pos, 'k' AS to_name, concat('ods.src_', p_partkey % 50, '.k') AS expr,
-       concat('ods.src_', p_partkey % 50, '.k') AS from_names, concat('dw.dst_', p_partkey % 30) AS to_table,
+SELECT p_partkey AS stmt_id, 1 AS branch, 1 AS pos, 'k' AS to_name, concat('ods.src_', CAST(floor(p_partkey / 4) AS BIGINT), '.k') AS expr,
+       concat('ods.src_', CAST(floor(p_partkey / 4) AS BIGINT), '.k') AS from_names, concat('dw.dst_', CAST(floor(p_partkey / 7) AS BIGINT)) AS to_table,
        concat('WHERE:b.v > ', p_size) AS cond FROM part
 UNION ALL
 SELECT p_partkey, 1, 2, 'v', concat('nvl(db_', p_size % 6, '.dim_', p_size % 10, '.v,0)'), concat('db_', p_size % 6, '.dim_', p_size % 10, '.v'),
-       concat('dw.dst_', p_partkey % 30), concat('LEFTOUTERJOIN:a.k = b.k and b.size = ', p_size) FROM part
+       concat('dw.dst_', CAST(floor(p_partkey / 7) AS BIGINT)), concat('LEFTOUTERJOIN:a.k = b.k and b.size = ', p_size) FROM part
 UNION ALL
-SELECT p_partkey, 2, 2, '', '0', '0', concat('dw.dst_', p_partkey % 30), concat('WHERE:b.v > ', p_size) FROM part WHERE p_partkey % 4 = 0
+SELECT p_partkey, 2, 2, '', '0', '0', concat('dw.dst_', CAST(floor(p_partkey / 7) AS BIGINT)), concat('WHERE:b.v > ', p_size) FROM part WHERE p_partkey % 4 = 0
 """
 
 FIXTURES["f_table_edges"] = """
@@ -114,10 +118,10 @@ FROM orders
 FIXTURES["f_scripts"] = """
 SELECT o_orderkey AS script_id, concat('/jobs/d', o_orderkey % 5, '/s', o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '.sh' ELSE '.py' END) AS path,
        CASE WHEN o_orderkey % 2 = 0 THEN
-         concat('source vars.sh', chr(10), 'tbl="ods.o_', o_custkey % 20, '"', chr(10),
-                'hive -e "insert into table dw.s_', o_orderkey % 9, ' select * from $', 'tbl ;"', chr(10))
+         concat('source vars.sh', chr(10), 'tbl="ods.o_', CAST(floor(o_custkey / 3) AS BIGINT), '"', chr(10),
+                'hive -e "insert into table dw.s_', CAST(floor(o_orderkey / 30) AS BIGINT), ' select * from $', 'tbl ;"', chr(10))
        ELSE
-         concat('t = "ods.o_', o_custkey % 20, '"', chr(10), 'q = \"\"\"insert into table dw.s_', o_orderkey % 9, ' select * from %(t)s ;\"\"\"', chr(10), 'runHiveCmd(q, 1)', chr(10))
+         concat('t = "ods.o_', CAST(floor(o_custkey / 3) AS BIGINT), '"', chr(10), 'q = \"\"\"insert into table dw.s_', CAST(floor(o_orderkey / 30) AS BIGINT), ' select * from %(t)s ;\"\"\"', chr(10), 'runHiveCmd(q, 1)', chr(10))
        END AS content
 FROM orders
 """
@@ -132,20 +136,63 @@ FROM region
 # Statements with the shapes a flat select can take: aliases, stars, computed
 # columns, CASE, map and array access, lateral views and all the join spellings.
 FIXTURES["f_stmts"] = """
-SELECT c_custkey AS stmt_id, concat('dw.cust_', c_custkey % 9) AS target,
-       concat('insert overwrite table dw.cust_', c_custkey % 9, chr(10),
+SELECT c_custkey AS stmt_id, concat('dw.cust_', CAST(floor(c_custkey / 8) AS BIGINT)) AS target,
+       concat('insert overwrite table dw.cust_', CAST(floor(c_custkey / 8) AS BIGINT), chr(10),
               'select a.k, coalesce(a.v, b.v, ', c_nationkey, ') as v, ',
               'case when a.pt = ''x,y'' then b.k when b.pt > ', c_nationkey, ' then a.v else 0 end as picked, ',
               'a.props[''lang''] as lang, b.items[0] as item, ', c_nationkey, ' as fixed, concat(a.k, ''-'', b.pt) tag', chr(10),
-              'from ods.src_', c_custkey % 50, ' a ',
+              'from ods.src_', CAST(floor(c_custkey / 5) AS BIGINT), ' a ',
               CASE c_custkey % 6 WHEN 0 THEN 'join' WHEN 1 THEN 'left outer join' WHEN 2 THEN 'right outer join'
                    WHEN 3 THEN 'full outer join' WHEN 4 THEN 'left semi join' ELSE 'inner join' END,
-              ' dw.dst_', c_custkey % 30, ' b on a.k = b.k',
+              ' dw.dst_', CAST(floor(c_custkey / 6) AS BIGINT), ' b on a.k = b.k',
               CASE WHEN c_custkey % 4 = 0 THEN ' lateral view explode(b.items) ex as one' ELSE '' END,
               ' where a.v > ', c_nationkey, ' and b.pt <> ''', c_mktsegment, '''') AS stmt
 FROM customer
 """
 
+# One statement per customer in one of many spellings, with the tables it truly
+# reads and writes; nothing here is found by a pattern.
+FIXTURES["f_shapes"] = """
+SELECT c_custkey AS id, c_custkey % 16 AS shape,
+       CASE c_custkey % 16
+         WHEN 0 THEN concat('insert into dw.d_', c_custkey, ' select x.k, y.v from ods.a_', c_custkey, ' x, ods.b_', c_custkey, ' y where x.k = y.k')
+         WHEN 1 THEN concat('create external table dw.d_', c_custkey, ' as select k from ods.a_', c_custkey)
+         WHEN 2 THEN concat('CREATE TEMPORARY TABLE dw.d_', c_custkey, ' AS SELECT k FROM ods.a_', c_custkey)
+         WHEN 3 THEN concat('insert overwrite table `dw`.`d_', c_custkey, '` select k from `ods`.`a_', c_custkey, '` t join `ods`.b_', c_custkey, ' u on t.k = u.k')
+         WHEN 4 THEN concat('insert into table dw.d_', c_custkey, ' select extract(year from ts) as y, trim(both from n) from ods.a_', c_custkey)
+         WHEN 5 THEN concat('insert into table dw.d_', c_custkey, ' select k -- from ods.gone', chr(10), '/* join ods.gone2 */ from ods.a_', c_custkey)
+         WHEN 6 THEN concat('insert into table dw.d_', c_custkey, ' select ''copied from here'' as c, "join there" as e from ods.a_', c_custkey)
+         WHEN 7 THEN concat('with p as (select k from ods.a_', c_custkey, '),q as (select k from ods.b_', c_custkey, ') insert into dw.d_', c_custkey, ' select * from P join Q on p.k = q.k')
+         WHEN 8 THEN concat('with t', c_custkey, ' as (select k from t', c_custkey, ') insert into dw.d_', c_custkey, ' select k from t', c_custkey)
+         WHEN 9 THEN concat('insert into table dw.d_', c_custkey, ' select split(v, '';'') as p from ods.a_', c_custkey)
+         WHEN 10 THEN concat('from ods.a_', c_custkey, ' t insert overwrite table dw.d_', c_custkey, ' select t.k insert overwrite table dw.e_', c_custkey, ' select t.v')
+         WHEN 11 THEN concat('insert into table dw.d_', c_custkey, ' select q.s from (select t.v as s from ods.a_', c_custkey, ' t) q join ods.b_', c_custkey, ' b on q.s = b.s')
+         WHEN 12 THEN concat('insert into table dw.d_', c_custkey, ' select k from ods.a_', c_custkey, ' order by k, v')
+         WHEN 13 THEN concat('insert into table dw.d_', c_custkey, ' select k, ''it', chr(92), '''s from x'' from ods.a_', c_custkey, ' as t, ods.b_', c_custkey, ', ods.c_', c_custkey, ' u')
+         WHEN 14 THEN concat('insert into table dw.d_', c_custkey, ' select k from ods.a_', c_custkey, ' union all select k from ods.b_', c_custkey)
+         ELSE concat('create table if not exists dw.d_', c_custkey, ' as select a.k from ods.a_', c_custkey, ' a left join ods.b_', c_custkey, ' b on a.k = b.k') END AS script,
+       CASE WHEN c_custkey % 16 = 8 THEN concat('default.t', c_custkey)
+            WHEN c_custkey % 16 = 13 THEN concat('ods.a_', c_custkey, ';ods.b_', c_custkey, ';ods.c_', c_custkey)
+            WHEN c_custkey % 16 IN (0, 3, 7, 11, 14, 15) THEN concat('ods.a_', c_custkey, ';ods.b_', c_custkey) ELSE concat('ods.a_', c_custkey) END AS true_inputs,
+       CASE WHEN c_custkey % 16 = 10 THEN concat('dw.d_', c_custkey, ';dw.e_', c_custkey) ELSE concat('dw.d_', c_custkey) END AS true_outputs,
+       CASE c_custkey % 16 WHEN 7 THEN 'p;q' WHEN 8 THEN concat('t', c_custkey) ELSE '' END AS true_with_names
+FROM customer
+"""
+
+# Expressions with words, types, frames and literals that are no columns, and the
+# columns they truly read.
+FIXTURES["f_expressions"] = """
+SELECT c_custkey AS id, n AS shape,
+       CASE n WHEN 0 THEN concat('cast(t.v', c_custkey, ' as string)') WHEN 1 THEN concat('cast(k', c_custkey, ' as decimal(10, 2)) + 1e5')
+              WHEN 2 THEN concat('sum(a.v', c_custkey, ') over (partition by a.g order by a.d rows between unbounded preceding and current row)')
+              WHEN 3 THEN concat('if(x', c_custkey, ' > date ''2020-01-01'', "lit", ''it', chr(92), '''s b'')') WHEN 4 THEN concat('extract(year from ts', c_custkey, ')')
+              WHEN 5 THEN concat('`t`.`c', c_custkey, '` + interval 3 day') WHEN 6 THEN concat('case when a.x = 1.5e-3 then b', c_custkey, ' else 0x1F end')
+              ELSE concat('cast(m', c_custkey, '[''k''] as array<string>)') END AS expr,
+       CASE n WHEN 0 THEN concat('t.v', c_custkey) WHEN 1 THEN concat('k', c_custkey) WHEN 2 THEN concat('a.v', c_custkey, ';a.g;a.d') WHEN 3 THEN concat('x', c_custkey)
+              WHEN 4 THEN concat('ts', c_custkey) WHEN 5 THEN concat('t.c', c_custkey) WHEN 6 THEN concat('a.x;b', c_custkey) ELSE concat('m', c_custkey) END AS true_columns
+FROM (SELECT c_custkey, c_custkey % 8 AS n FROM customer) c
+"""
+
 # Column references as written in a statement: an alias (or none) and a column.
 FIXTURES["f_col_refs"] = """
 SELECT p_partkey AS stmt_id, 1 AS pos, 'a' AS alias, 'k' AS column_name FROM part
@@ -156,7 +203,7 @@ UNION ALL SELECT p_partkey, 4, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE '' END,
 
 # Tables in the scope of a statement; every other one names a table without metadata second.
 FIXTURES["f_scope_tables"] = """
-SELECT p_partkey AS stmt_id, 'a' AS alias, 'ods' AS database_name, concat('src_', p_partkey % 50) AS table_name, 1 AS place FROM part
+SELECT p_partkey AS stmt_id, 'a' AS alias, 'ods' AS database_name, concat('src_', CAST(floor(p_partkey / 4) AS BIGINT)) AS table_name, 1 AS place FROM part
 UNION ALL SELECT p_partkey, 'b', CASE WHEN p_partkey % 2 = 0 THEN concat('db_', p_size % 6) ELSE 'tmp' END, concat('dim_', p_size % 10), 2 FROM part
 """
 
