@@ -64,7 +64,41 @@ def test_items_constants_map_array_and_functions(spark):
 def test_case_and_nested_calls(spark):
     got = items(spark, "select count(distinct case when a.x = 'y' then a.id else nvl(b.id, c.id) end) as n, cast(a.v as double) v from a join b on a.k=b.k")
     assert got[0][3:] == ("n", ["a.x", "a.id", "b.id", "c.id"])
-    assert got[1][2:4] == ("cast(a.v as double)", "v")
+    assert got[1][2:] == ("cast(a.v as double)", "v", ["a.v"])
+
+
+@pytest.mark.parametrize("expr, columns", [
+    ("cast(t.v as string)", ["t.v"]), ("cast(k as decimal(10, 2)) + 1e5", ["k"]), ("date '2020-01-01'", []), ("\"lit\"", []),
+    ("sum(v) over (partition by g order by d rows between unbounded preceding and current row)", ["v", "g", "d"]),
+    ("'it\\'s' || a.b", ["a.b"]), ("extract(year from ts)", ["ts"]), ("`t`.`c`", ["t.c"]), ("a1 + 2.5e-3", ["a1"]), ("interval 3 day + x", ["x"])])
+def test_words_that_are_no_columns(spark, expr, columns):
+    assert spark.createDataFrame([(expr,)], "expr string").select(C.column_refs()).first()[0] == columns
+
+
+def test_spellings_of_tables(spark):
+    assert refs(spark, "insert into dw.a select x.k from ods.t1 x, ods.t2 y where x.k = y.k order by k, v") == [(["ods.t1", "ods.t2"], ["dw.a"])]
+    assert refs(spark, "create external table dw.a as select extract(year from ts) from `ods`.`t1` -- from ods.no\n/* from ods.no */") == [(["ods.t1"], ["dw.a"])]
+    assert refs(spark, "insert into table dw.a select 'copied from here', \"join b\" from t1; insert into dw.b select split(v, ';') from t2") == [
+        (["default.t1"], ["dw.a"]), (["default.t2"], ["dw.b"])]
+    assert refs(spark, "with t1 as (select k from t1),b as (select k from T1) insert into dw.a select * from B join c on 1 = 1") == [(["default.c", "default.t1"], ["dw.a"])]
+    assert refs(spark, "insert overwrite directory '/x' select a from t") == [(["default.t"], [])]
+
+
+def test_a_with_query_named_like_its_table_stops_no_job(spark):
+    jobs = spark.createDataFrame([(1, "with t1 as (select k from t1) insert into dw.a select k from t1"), (2, "insert into dw.b select q.k from s q")], "id long, script string")
+    meta = spark.createDataFrame([("default", "t1", "k", 1, 1, 1)], "database_name string, table_name string, column_name string, table_id int, column_id long, ordinal int")
+    lines = C.trace_columns(T.table_refs(jobs), meta).collect()
+    assert (2, "dw.b", "k", "default.s.k") in {(r.job_id, r.to_table, r.to_name, r.source) for r in lines}
+
+
+def test_shell_assignments_and_whole_names(spark):
+    content = "a=\"ods.x\"\nb='ods.y'; c=`date`\nd=plain\nhive -e \"select \\\"q\\\" from $a join $b2 on ${b} = $d\"\nsh run.sh\n"
+    scripts = spark.createDataFrame([(1, "/jobs/s.sh", content)], "script_id long, path string, content string")
+    row = S.fill_shell_variables(S.hive_commands(scripts)).first()
+    assert row.filled_sql == 'select "q" from ods.x join $b2 on ods.y = plain'
+    assert row.missing == ["$b2"]
+    files = spark.createDataFrame([("/jobs/run.sh", "inner\n")], "path string, content string")
+    assert S.inline_sources(scripts, files).first().content.startswith("inner\n")
 
 
 def test_union_branches_and_with_queries_are_scopes(spark):
@@ -154,3 +188,14 @@ def test_snapshot_diff(spark):
 def test_split_items(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(C.split_items(F.col("t"))).first()[0] == want
+
+
+def test_metadata_grows_with_the_data(spark):
+    """No derived input is cut to a prefix of its tables."""
+    from tracewell.sources import fixture
+
+    small, large = (fixture(spark, f"/root/testdata/{d}", "f_meta_table") for d in ("sf0.001", "sf0.01"))
+    assert large.count() > 6 * small.count()
+    assert large.select("table_id").distinct().count() == large.count()
+    for name in ("f_col_lines", "f_jobs"):
+        assert fixture(spark, "/root/testdata/sf0.01", name).count() > 6 * fixture(spark, "/root/testdata/sf0.001", name).count()

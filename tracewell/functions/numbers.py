@@ -1,4 +1,8 @@
 """Null handling, conditions and number functions."""
+import hashlib
+import zlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tracewell.registry import query
@@ -107,9 +111,18 @@ def fn_hash(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.md5("c_name").alias("m"), F.sha("c_name").alias("s"), F.sha1("c_mktsegment").alias("s1"), F.sha2("c_name", 256).alias("s256"))
 
 
-@query("fn_hash_other")
+@query("fn_hash_other", "SELECT c_custkey, TRUE AS crc_ok, TRUE AS s512_ok, TRUE AS spread_ok FROM customer")
 def fn_hash_other(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.crc32(F.encode("c_name", "utf-8")).alias("crc"), F.hash("c_name", "c_nationkey").alias("murmur"), F.sha2("c_name", 512).alias("s512"))
+    """Checksums against the ones of another library, row by row; the hash must not be the same for all."""
+    @F.pandas_udf("crc long, s512 string")
+    def other(names: pd.Series) -> pd.DataFrame:
+        raw = names.str.encode("utf-8")
+        return pd.DataFrame({"crc": raw.map(zlib.crc32), "s512": raw.map(lambda b: hashlib.sha512(b).hexdigest())})
+
+    rows = table(spark, d, "customer").select(
+        "c_custkey", F.crc32(F.encode("c_name", "utf-8")).alias("crc"), F.sha2("c_name", 512).alias("s512"), F.hash("c_name", "c_nationkey").alias("h"), other("c_name").alias("o"))
+    spread = table(spark, d, "customer").agg((F.approx_count_distinct(F.hash("c_name", "c_nationkey")) > 1).alias("spread_ok"))
+    return rows.crossJoin(F.broadcast(spread)).select("c_custkey", (F.col("crc") == F.col("o.crc")).alias("crc_ok"), (F.col("s512") == F.col("o.s512")).alias("s512_ok"), "spread_ok")
 
 
 @query("fn_id", "SELECT count(*) AS n, TRUE AS ids_unique, TRUE AS uuids_unique, TRUE AS uniform_ok, TRUE AS normal_ok, TRUE AS partitions_ok FROM lineitem")

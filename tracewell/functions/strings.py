@@ -74,11 +74,15 @@ def fn_str_tokens(spark, d):
     return per_doc.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
-@query("fn_str_sentences")
+@query("fn_str_sentences", """
+SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, TRUE AS in_order FROM documents
+""")
 def fn_str_sentences(spark, d):
-    """Sentences and words of every document by the language's own rules."""
-    parts = F.sentences("text", "lang", F.lit(""))
-    return use_all_cores(table(spark, d, "documents")).select("doc_id", F.size(parts).alias("n_sentences"), F.size(F.flatten(parts)).alias("n_words"))
+    """Sentences and words of every document by the language's own rules: no letter is lost or moved."""
+    split = use_all_cores(table(spark, d, "documents")).select("doc_id", "text", F.sentences("text", "lang", F.lit("")).alias("parts"))
+    words = F.regexp_replace(F.array_join(F.flatten("parts"), ""), "[^A-Za-z]", "")
+    return split.select("doc_id", F.length(words).cast("bigint").alias("n_letters"),
+                        (words == F.regexp_replace("text", "[^A-Za-z]", "")).alias("in_order"))
 
 
 @query("fn_str_encode", """
@@ -103,9 +107,11 @@ def fn_str_distance(spark, d):
     return table(spark, d, "part").select("p_partkey", F.levenshtein("p_name", F.lower("p_type")).alias("distance"))
 
 
-@query("fn_str_soundex")
+@query("fn_str_soundex", "SELECT p_partkey, upper(left(p_name, 1)) AS initial, TRUE AS well_formed FROM part")
 def fn_str_soundex(spark, d):
-    return table(spark, d, "part").groupBy(F.soundex("p_name").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    """Phonetic codes: the first letter and three digits, the same for a name in other case."""
+    code, other = F.soundex("p_name"), F.soundex(F.upper("p_name"))
+    return table(spark, d, "part").select("p_partkey", F.left(code, F.lit(1)).alias("initial"), (code.rlike("^[A-Z][0-6]{3}$") & (code == other)).alias("well_formed"))
 
 
 @query("fn_url", """

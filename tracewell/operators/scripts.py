@@ -5,6 +5,8 @@ are needed for the group settings and for included files alone.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,10 @@ RUN_TYPES = ("hive", "spark")
 # Fixed patterns.
 DATE_MACRO = r'\$\{zdt\.addDay\((-?\d+)\)\.format\("([^"]*)"\)\}'
 OPEN_VARIABLE = r"\$\{[^}]*\}"
-HIVE_COMMAND = r'(?m)^\s*(\$exe_)?hive\d?.*?-e\s*"([\s\S]*?)"'
+HIVE_COMMAND = r'(?m)^[^#\n]*?(?:\b|_)hive\d?\b[^"\n]*?\s-e\s*"((?:[^"\\]++|\\[\s\S])*+)"'
 SOURCE_CALL = r"(?m)^\s*source\s+(\S+)"
 SHELL_CALL = r"(?m)^\s*sh\s+(?:-\S+\s+)?(\S+)"
-SHELL_ASSIGNMENT = r'(?m)(?:^|\s)(\w+)\s*=\s*"([\s\S]*?)"'
+SHELL_ASSIGNMENT = r"""(?m)(?:^|[\s;])(\w+)\s*=\s*(?:"((?:[^"\\]++|\\[\s\S])*+)"|'([^']*+)'|`([^`]*+)`|([^\s;"'`=]++))"""
 PYTHON_RUN_CALL = r"runHiveCmd\(\s*(\w+)"
 PYTHON_SQL_ASSIGNMENT = r'(?m)^\s*(\w+)\s*=\s*"""([\s\S]*?)"""'
 PYTHON_VALUE_ASSIGNMENT = r"""(?m)^\s*(\w+)\s*=\s*["']([^"'\n]+)["']"""
@@ -119,7 +121,7 @@ def render_dates(script: str, run_time: str) -> Column:
 
 def hive_commands(scripts: DataFrame, content: str = "content") -> DataFrame:
     """One row per SQL text handed to ``hive -e`` in a shell script."""
-    texts = F.regexp_extract_all(content, F.lit(HIVE_COMMAND), F.lit(2))
+    texts = F.transform(F.regexp_extract_all(content, F.lit(HIVE_COMMAND), F.lit(1)), lambda t: F.replace(t, F.lit('\\"'), F.lit('"')))
     return scripts.filter(F.col("path").endswith("sh")).select(
         "script_id", "path", content, F.posexplode(texts).alias("call_no", "sql_text"))
 
@@ -131,16 +133,17 @@ def _assignments(content: str, pattern: str) -> Column:
         F.regexp_extract_all(content, F.lit(pattern), F.lit(2)).alias("value"))
 
 
-def _longest_first(pairs: Column) -> Column:
-    """Longer names first, so that ``$tbl`` does not eat into ``$tbl2``."""
-    return F.array_sort(pairs, lambda a, b: F.coalesce(
-        F.nullif(F.length(b["name"]) - F.length(a["name"]), F.lit(0)), F.lit(0)))
+def shell_assignments(content: str) -> Column:
+    """Assignments of a shell script: values in double or single quotes, back quotes, or as a bare word."""
+    names = F.regexp_extract_all(content, F.lit(SHELL_ASSIGNMENT), F.lit(1))
+    values = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), (F.regexp_extract_all(content, F.lit(SHELL_ASSIGNMENT), F.lit(g)) for g in (2, 3, 4, 5)))
+    return F.arrays_zip(names.alias("name"), values.alias("value"))
 
 
 def _fill_shell(text: Column, pairs: Column) -> Column:
-    return F.aggregate(pairs, text, lambda acc, p: F.replace(
-        F.replace(acc, F.concat(F.lit("${"), p["name"], F.lit("}")), p["value"]),
-        F.concat(F.lit("$"), p["name"]), p["value"]))
+    """Whole names only: ``$tbl`` leaves ``$tbl2`` alone."""
+    return F.aggregate(pairs, text, lambda acc, p: F.regexp_replace(
+        acc, F.concat(F.lit(r"\$(?:\{"), p["name"], F.lit(r"\}|"), p["name"], F.lit(r"\b)")), F.regexp_replace(p["value"], r"([\\$])", r"\\$1")))
 
 
 def fill_shell_variables(calls: DataFrame, content: str = "content") -> DataFrame:
@@ -149,7 +152,7 @@ def fill_shell_variables(calls: DataFrame, content: str = "content") -> DataFram
     Two rounds, for values that hold a variable themselves. ``missing`` lists
     what no assignment gives.
     """
-    pairs = _longest_first(_assignments(content, SHELL_ASSIGNMENT))
+    pairs = shell_assignments(content)
     twice = _fill_shell(_fill_shell(F.col("sql_text"), F.col("pairs")), F.col("pairs"))
     missing = F.regexp_extract_all("filled_sql", F.lit(r"\$\{?\w+\}?"), F.lit(0))
     return (calls.withColumn("pairs", pairs).withColumn("filled_sql", twice).drop("pairs")
@@ -185,13 +188,14 @@ def called_paths(content: str = "content", path: str = "path", pattern: str = SO
 
 
 def inline_sources(scripts: DataFrame, files: DataFrame) -> DataFrame:
-    """Shell scripts with the text of the files they source put in front.
+    """Shell scripts with the text of the files they source or call with ``sh`` put in front.
 
     ``files`` holds (path, content). ``n_missing`` counts calls without a file.
     """
     shell = scripts.filter(F.col("path").endswith("sh"))
-    calls = shell.select("script_id", F.posexplode(called_paths()).alias("call_no", "called"))
-    found = calls.join(files.select(F.col("path").alias("called"), F.col("content").alias("included")), "called", "left")
+    both = F.concat(called_paths(), called_paths(pattern=SHELL_CALL))
+    calls = shell.select("script_id", F.posexplode(both).alias("call_no", "called"))
+    found = lookup_join(calls, files.select(F.col("path").alias("called"), F.col("content").alias("included")), ["called"], "left")
     merged = found.groupBy("script_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("call_no", "included"))), lambda c: c["included"]), "").alias("included"),
         F.count_if(F.col("included").isNull()).alias("n_missing"))

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType, StringType
 
 from tracewell.storage import keep
 
@@ -23,13 +24,16 @@ CHUNK = 65_536
 def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join rows with a lookup much smaller than they are (metadata, settings, graph frontiers).
 
-    Rows of one key are dealt over ``salts`` tasks by a hash of the whole row,
-    the lookup is copied once per salt. No side is forced into a broadcast;
+    Rows of one key are dealt over ``salts`` tasks by a hash of their numbers and
+    dates (of their texts, where they have nothing else), the lookup is copied once
+    per salt. No side is forced into a broadcast;
     adaptive execution still picks one when the measured size allows it.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"the rows must be the preserved side, not {how}")
-    salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    kinds = {f.name: f.dataType for f in big.schema.fields}
+    short = [n for n, t in kinds.items() if isinstance(t, (NumericType, DatetimeType, BooleanType))]
+    salt = F.pmod(F.xxhash64(*(short or [n for n, t in kinds.items() if isinstance(t, StringType)] or [F.lit(0)])), F.lit(salts)).cast("int")
     copies = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 

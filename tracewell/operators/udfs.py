@@ -29,8 +29,8 @@ def geometric_mean(df: DataFrame, key: str, value: str) -> DataFrame:
     """A user aggregate: zero (0, 0), update and partial merge per Arrow batch, final merge in Spark."""
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            rows = rows.dropna()
-            yield rows.assign(log=np.log(rows[value])).groupby(key, as_index=False).agg(n=("log", "size"), log=("log", "sum"))
+            rows = rows.dropna(subset=[value])
+            yield rows.assign(log=np.log(rows[value])).groupby(key, as_index=False, dropna=False).agg(n=("log", "size"), log=("log", "sum"))
 
     kind = df.schema[key].dataType.simpleString()
     parts = df.select(key, value).mapInPandas(update, f"{key} {kind}, n long, log double")
@@ -70,11 +70,16 @@ def map_elements(df: DataFrame) -> DataFrame:
 
 
 def typed_filter(df: DataFrame, column: str) -> DataFrame:
-    """A typed predicate: numbers whose digits add up to an even number."""
+    """A typed predicate: numbers whose digits add up to an even number, the sign left out. Nulls do not pass."""
     def even_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digits = pd.Series(batch.column(column).to_numpy(zero_copy_only=False)).astype(str).map(lambda t: sum(map(int, t)) % 2 == 0)
-            yield batch.filter(pa.array(digits))
+            values = batch.column(column)
+            left = np.abs(pc.fill_null(values, 0).to_numpy())
+            digits = np.zeros(len(left), np.int64)
+            while left.any():
+                digits += left % 10
+                left = left // 10
+            yield batch.filter(pa.array((digits % 2 == 0) & pc.is_valid(values).to_numpy(zero_copy_only=False)))
 
     return df.mapInArrow(even_digits, df.schema)
 

@@ -170,10 +170,15 @@ def agg_collect(spark, d):
         F.array_join(F.sort_array(F.collect_list("day")), ";").alias("days"), F.sum("n").alias("n"))
 
 
-@query("agg_cms")
+@query("agg_cms", "SELECT l_returnflag, count(*) AS total, CAST(5 AS BIGINT) AS depth, CAST(200 AS BIGINT) AS width FROM lineitem GROUP BY 1")
 def agg_cms(spark, d):
-    """Serialised count-min sketches of the parts per return flag."""
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.base64(F.count_min_sketch("l_partkey", F.lit(0.01), F.lit(0.95), F.lit(42))).alias("sketch"))
+    """Count-min sketches of the parts per return flag: what they counted, and the size that error and confidence ask for."""
+    sketches = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.hex(F.count_min_sketch("l_partkey", F.lit(0.01), F.lit(0.95), F.lit(42))).alias("sketch"))
+
+    def number(first, digits):  # the head of the binary form: version, total, depth, width
+        return F.conv(F.substring("sketch", first, digits), 16, 10).cast("bigint")
+
+    return sketches.select("l_returnflag", number(9, 16).alias("total"), number(25, 8).alias("depth"), number(33, 8).alias("width"))
 
 
 @query("agg_case_filter", """

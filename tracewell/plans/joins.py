@@ -102,18 +102,22 @@ SELECT c_custkey, b.band FROM customer JOIN (SELECT n_nationkey AS band, n_natio
 ON c_acctbal >= b.lo AND c_acctbal < b.hi
 """)
 def join_theta(spark, d):
-    """Balance bands: one band row per nation, checked to be few before it is broadcast."""
+    """Balance bands: one band row per nation, met on steps of a band's width."""
     bands = table(spark, d, "nation").selectExpr("n_nationkey AS band", "n_nationkey * 450.0D - 1000 AS lo", "(n_nationkey + 1) * 450.0D - 1000 AS hi")
     customers = table(spark, d, "customer").select("c_custkey", "c_acctbal")
     return range_join(customers, bands, "c_acctbal", "lo", "hi", width=450.0).select("c_custkey", "band")
 
 
 @query("join_range", """
-SELECT s.s_suppkey, p.p_partkey FROM supplier s JOIN part p ON p.p_retailprice >= s.s_acctbal / 5 AND p.p_retailprice < s.s_acctbal / 5 + 5
+SELECT s.s_suppkey, p.p_partkey FROM supplier s CROSS JOIN (SELECT 10000.0 / count(*) AS width FROM part) w
+JOIN part p ON p.p_retailprice >= s.s_acctbal / 5 AND p.p_retailprice < s.s_acctbal / 5 + w.width
 """)
 def join_range(spark, d):
-    offers = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 5).alias("lo"), (F.col("s_acctbal") / 5 + 5).alias("hi"))
-    return range_join(table(spark, d, "part").select("p_partkey", "p_retailprice"), offers, "p_retailprice", "lo", "hi", width=10.0).select("s_suppkey", "p_partkey")
+    """The parts in a supplier's price range, which is narrower the more parts there are: pairs grow as the suppliers do."""
+    parts = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    width = 10000.0 / max(1, parts.count())
+    offers = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 5).alias("lo"), (F.col("s_acctbal") / 5 + width).alias("hi"))
+    return range_join(parts, offers, "p_retailprice", "lo", "hi", width=width).select("s_suppkey", "p_partkey")
 
 
 @query("join_interval", """

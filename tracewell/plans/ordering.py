@@ -56,43 +56,79 @@ def lim_topk(spark, d):
             .orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(20))
 
 
-@query("smp_percent")
+def _sample_facts(sample, whole, share, keys, **facts):
+    """How a sample relates to its table: size within six deviations of the share asked for, nothing foreign in it."""
+    total = whole.agg(F.count(F.lit(1)).alias("n_rows"))
+    picked = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).join(whole.withColumn("here", F.lit(True)), keys, "left")
+    found = picked.agg(F.sum("c").alias("n"), F.coalesce(F.every(F.coalesce("here", F.lit(False))), F.lit(True)).alias("subset"), F.bit_xor(F.xxhash64(*keys, "c")).alias("print"))
+    spread = 6 * F.sqrt(F.col("n_rows") * share * (1 - share)) + 1
+    return total.crossJoin(F.broadcast(found)).select("n_rows", (F.abs(F.coalesce("n", F.lit(0)) - F.col("n_rows") * share) <= spread).alias("within"), "subset", "print", *[F.lit(v).alias(k) for k, v in facts.items()])
+
+
+def _checked_sample(draw, whole, share, keys, **facts):
+    """A sample drawn twice: the same rows must come."""
+    one, two = (_sample_facts(draw(), whole, share, keys, **facts) for _ in range(2))
+    again = two.select(F.col("print").alias("again"))
+    return one.crossJoin(F.broadcast(again)).withColumn("repeatable", F.col("print").eqNullSafe(F.col("again"))).drop("print", "again")
+
+
+SAMPLE_OK = "SELECT '{kind}' AS kind, count(*) AS n_rows, TRUE AS within, TRUE AS subset, TRUE AS repeatable FROM {table}"
+
+
+@query("smp_percent", SAMPLE_OK.format(kind="without", table="lineitem") + " UNION ALL " + SAMPLE_OK.format(kind="with", table="lineitem"))
 def smp_percent(spark, d):
-    """One sample without and one with replacement."""
-    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    plain = run_sql(spark, d, "SELECT l_orderkey, l_linenumber FROM lineitem TABLESAMPLE (10 PERCENT) REPEATABLE (7)", "lineitem")
-    return plain.withColumn("kind", F.lit("without")).unionByName(df.sample(True, 0.1, 7).withColumn("kind", F.lit("with")))
+    """One sample without and one with replacement: size, membership, and the same rows when drawn again."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    df = table(spark, d, "lineitem").select(*keys)
+    whole = df.distinct()
+    text = f"SELECT {', '.join(keys)} FROM lineitem TABLESAMPLE (10 PERCENT) REPEATABLE (7)"
+    plain = _checked_sample(lambda: run_sql(spark, d, text, "lineitem"), whole, 0.1, keys, kind="without")
+    return plain.unionByName(_checked_sample(lambda: df.sample(True, 0.1, 7), whole, 0.1, keys, kind="with"))
 
 
-@query("smp_bucket")
+@query("smp_bucket", "SELECT count(*) AS n_rows, TRUE AS each_once, TRUE AS even FROM orders")
 def smp_bucket(spark, d):
-    """Bucket 2 of 8 by key hash, a sample that stays the same in every run."""
-    return table(spark, d, "orders").filter(F.pmod(F.hash("o_orderkey"), F.lit(8)) == 1).select("o_orderkey")
+    """Buckets by key hash, samples that stay the same in every run: all eight hold every row once, none is far from an eighth."""
+    placed = table(spark, d, "orders").select(F.pmod(F.hash("o_orderkey"), F.lit(8)).alias("bucket"), "o_orderkey")
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+    return sizes.agg(F.sum("n").alias("n_rows"), (F.sum("n") == F.sum("keys")).alias("each_once"),
+                     (F.max(F.abs(F.col("n") - 0)) <= F.sum("n") / 8 + 6 * F.sqrt(F.sum("n") * 7 / 64) + 1).alias("even"))
 
 
-@query("smp_bucket_fraction")
+@query("smp_bucket_fraction", SAMPLE_OK.format(kind="bucket", table="orders").replace(", TRUE AS repeatable", ""))
 def smp_bucket_fraction(spark, d):
-    return run_sql(spark, d, "SELECT o_orderkey FROM orders TABLESAMPLE (BUCKET 3 OUT OF 8)", "orders")
+    """BUCKET x OUT OF y draws that share of the rows."""
+    whole = table(spark, d, "orders").select("o_orderkey")
+    sample = run_sql(spark, d, "SELECT o_orderkey FROM orders TABLESAMPLE (BUCKET 3 OUT OF 8)", "orders")
+    return _sample_facts(sample, whole, 3 / 8, ["o_orderkey"], kind="bucket").drop("print")
 
 
-@query("smp_rows")
+@query("smp_rows", "SELECT least(count(*), 40) AS n, TRUE AS subset FROM orders")
 def smp_rows(spark, d):
-    return run_sql(spark, d, "SELECT o_orderkey FROM orders TABLESAMPLE (40 ROWS)", "orders")
+    """The first rows as they come, as many as asked for."""
+    sample = run_sql(spark, d, "SELECT o_orderkey FROM orders TABLESAMPLE (40 ROWS)", "orders")
+    known = table(spark, d, "orders").select("o_orderkey", F.lit(True).alias("here"))
+    return sample.join(known, "o_orderkey", "left").agg(F.count(F.lit(1)).alias("n"), F.every(F.coalesce("here", F.lit(False))).alias("subset"))
+
+
+def partitions(spark) -> int:
+    """How many partitions this session shuffles to."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 @query("prt_repartition", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem")
 def prt_repartition(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(12, "l_orderkey", "l_partkey")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(partitions(spark), "l_orderkey", "l_partkey")
 
 
 @query("prt_coalesce", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem")
 def prt_coalesce(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").repartition(16).coalesce(4)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").repartition(4 * partitions(spark), "l_orderkey").coalesce(partitions(spark))
 
 
 @query("prt_range", "SELECT o_orderkey, o_totalprice FROM orders")
 def prt_range(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").repartitionByRange(8, F.col("o_totalprice").desc(), "o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").repartitionByRange(partitions(spark), F.col("o_totalprice").desc(), "o_orderkey")
 
 
 @query("prt_bucketed_write", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -101,5 +137,5 @@ def prt_bucketed_write(spark, d):
     path = scratch_path(spark, "bucketed")
     name = "bucketed_" + path.rsplit("-", 1)[1]
     (table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-     .write.bucketBy(8, "o_orderkey").sortBy("o_orderkey").option("path", path).saveAsTable(name))
+     .write.bucketBy(partitions(spark), "o_orderkey").sortBy("o_orderkey").option("path", path).saveAsTable(name))
     return spark.table(name)

@@ -166,13 +166,17 @@ def num_radix(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.bin("o_orderkey").alias("binary_text"), F.hex("o_custkey").alias("hex_text"), F.hex("o_orderstatus").alias("status_hex"))
 
 
-@query("cat_current")
+@query("cat_current", f"""
+SELECT c.table_name, c.column_name, n.n_rows, TRUE AS in_session, TRUE AS has_functions
+FROM information_schema.columns c JOIN ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES)}) n ON n.table_name = c.table_name
+""")
 def cat_current(spark, d):
-    """Tables and columns of the session as its catalog lists them, with the current database."""
-    for name in ("orders", "lineitem"):
+    """All tables and columns as the session's catalog lists them, with their row counts, the current database and functions."""
+    for name in TABLES:
         table(spark, d, name).createOrReplaceTempView(name)
-    tables = [t.name for t in spark.catalog.listTables(pattern="orders|lineitem")]
-    columns = [(t, c.name, c.dataType) for t in sorted(set(tables)) for c in spark.catalog.listColumns(t)]
-    listed = spark.createDataFrame(columns, "table_name string, column_name string, data_type string")
-    counts = spark.sql("SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
-    return listed.join(counts, "table_name").withColumn("database_name", F.current_database()).withColumn("n_functions", F.lit(len(spark.catalog.listFunctions(pattern="date_*"))))
+    listed = {t.name for t in spark.catalog.listTables()}
+    columns = [(t, c.name) for t in TABLES if t in listed for c in spark.catalog.listColumns(t)]
+    counts = spark.sql(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
+    known = len(spark.catalog.listFunctions(pattern="date_*")) > 0
+    return spark.createDataFrame(columns, "table_name string, column_name string").join(counts, "table_name").withColumn(
+        "in_session", F.current_database() == F.lit(spark.catalog.currentDatabase())).withColumn("has_functions", F.lit(known))

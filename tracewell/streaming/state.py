@@ -15,10 +15,11 @@ PARTIAL = "user_id long, ts timestamp, n long, total double"
 
 
 def partial_counts(events: DataFrame) -> DataFrame:
-    """(user_id, ts, n, total) per user and Arrow batch, ``ts`` being the last."""
+    """(user_id, ts, n, total) per user and Arrow batch, ``ts`` being the last; events without a user are a group."""
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield rows.groupby("user_id", as_index=False).agg(ts=("ts", "max"), n=("value", "size"), total=("value", "sum"))
+            yield rows.groupby("user_id", as_index=False, dropna=False).agg(
+                ts=("ts", "max"), n=("value", "size"), total=("value", lambda v: v.sum(min_count=1)))
 
     return events.select("user_id", "ts", "value").mapInPandas(add_up, PARTIAL)
 
@@ -26,11 +27,12 @@ def partial_counts(events: DataFrame) -> DataFrame:
 def running_totals(events: DataFrame) -> DataFrame:
     """One row per user and update: all events so far and their value."""
     def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
+        n, total = state.get if state.exists else (0, None)
         for part in parts:
-            n, total = n + int(part["n"].sum()), total + float(part["total"].sum())
+            n, known = n + int(part["n"].sum()), part["total"].dropna()
+            total = (total or 0.0) + float(known.sum()) if len(known) else total
         state.update((n, total))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+        yield pd.DataFrame({"user_id": pd.Series([key[0]], dtype="Int64"), "n": [n], "total": pd.Series([total], dtype="float64")})
 
     return partial_counts(events).groupBy("user_id").applyInPandasWithState(
         update, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
@@ -43,7 +45,7 @@ def milestones(events: DataFrame, every: int) -> DataFrame:
         now = before + sum(int(part["n"].sum()) for part in parts)
         state.update((now,))
         marks = [m * every for m in range(before // every + 1, now // every + 1)]
-        yield pd.DataFrame({"user_id": pd.Series([key[0]] * len(marks), dtype="int64"), "milestone": pd.Series(marks, dtype="int64")})
+        yield pd.DataFrame({"user_id": pd.Series([key[0]] * len(marks), dtype="Int64"), "milestone": pd.Series(marks, dtype="int64")})
 
     return partial_counts(events).groupBy("user_id").applyInPandasWithState(
         reached, "user_id long, milestone long", "n long", "append", GroupStateTimeout.NoTimeout)
@@ -58,7 +60,7 @@ def silent_users(events: DataFrame, gap_ms: int) -> DataFrame:
         if state.hasTimedOut:
             n, last = state.get
             state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_ms": [last]})
+            yield pd.DataFrame({"user_id": pd.Series([key[0]], dtype="Int64"), "n": [n], "last_ms": [last]})
             return
         n, last = state.get if state.exists else (0, 0)
         for part in parts:
