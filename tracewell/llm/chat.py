@@ -39,7 +39,7 @@ OTHER = ("[ROLE] ", " [/ROLE]")
 ESCAPE = re.compile(r"\\|" + "|".join(map(re.escape, CONTROL)))
 UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 TURN = re.compile(
-    r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>>\n(?P<system>.*?)\n<</SYS>>\n\n|\[ROLE\] (?P<name>.*?)\\:(?P<other>.*?) \[/ROLE\]| (?P<assistant>.*?) </s>",
+    r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>>\n(?P<system>.*?)\n<</SYS>>\n\n|\[ROLE\] (?P<name>(?:[^\\]|\\[^:])*+)\\:(?P<other>.*?) \[/ROLE\]| (?P<assistant>.*?) </s>",
     re.DOTALL)
 NODES = "conv_id long, depth int, node string, parent string, role string, formatted string, position_start long, position_end long"
 
@@ -53,7 +53,7 @@ def unescape(text: str) -> str:
 
 
 def turn_text(role: str, text: str) -> str:
-    """One turn with its marks. ``\\:`` parts another role from its text: in escaped text a backslash never stands before a colon."""
+    """One turn with its marks. ``\\:`` parts another role from its text: no escape in escaped text is of a colon."""
     if role in MARKS:
         before, after = MARKS[role]
         return before + escape(text) + after
