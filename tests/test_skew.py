@@ -130,3 +130,31 @@ def test_one_per_key(rows):
     out = one_per_key(rows.select("k", "at", "id"), ["k"], [-F.col("at"), F.col("id")])
     w = W.partitionBy("k").orderBy(F.desc("at"), "id")
     same(out, rows.select("k", "at", "id").withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r"))
+
+
+def test_ranking_is_the_same_for_hot_keys(spark):
+    from tracewell.operators import windows as WN
+
+    df = spark.range(400).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE id % 3 END AS k", "id * 37 % 23 AS v")
+    native = WN.ranking(df, ["k"], ["-v"], ["id"], 5)
+    hot = WN.ranking(df, ["k"], ["-v"], ["id"], 5, hot_rows=10)
+    rows = lambda d: sorted((r.id, r.rn, r.rk, r.dr, round(r.pr, 9), round(r.cd, 9), r.nt) for r in d.collect())
+    assert rows(native) == rows(hot)
+
+
+def test_histogram_bins_are_equal(spark):
+    from tracewell.operators import profiling as P
+
+    df = spark.range(103).selectExpr("CASE WHEN id < 60 THEN 5.0D ELSE CAST(id AS DOUBLE) END AS v")
+    rows = sorted(P.equi_height_histogram(df, "v", 10).collect())
+    assert [r.height for r in rows] == [11, 11, 11, 10, 10, 10, 10, 10, 10, 10]
+    assert (rows[0].lo, rows[4].hi, rows[5].ndv) == (5.0, 5.0, 4)
+
+
+def test_salted_numbers_reach_every_row(spark):
+    from tracewell.operators.skew import attach
+
+    df = spark.range(100).selectExpr("id", "CASE WHEN id % 2 = 0 THEN NULL ELSE 'a' END AS k")
+    sums = df.groupBy("k").count()
+    assert {(r.k, r["count"]) for r in attach(df, sums, ["k"], salts=8).collect()} == {(None, 50), ("a", 50)}
+    assert attach(df, sums, ["k"], salts=8).count() == 100

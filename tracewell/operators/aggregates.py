@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import attach, running
+from tracewell.operators.skew import SALTS, attach, running
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -19,7 +19,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: di
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_freq"))
     placed = running(counted, keys, [value], {"_upto": F.col("_freq")})
     sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    sized = attach(placed, sizes, keys)
+    sized = attach(placed, sizes, keys, salts=SALTS)
     first = F.col("_upto") - F.col("_freq")
 
     def at(place: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import numbered
+from tracewell.operators.skew import running
 from tracewell.operators.windows import ntile
 
 
@@ -28,12 +28,25 @@ def column_stats(df: DataFrame) -> DataFrame:
         F.max(F.when(F.col("number").isNull(), F.length("text"))).alias("max_length"))
 
 
-def equi_height_histogram(df: DataFrame, column: str, ties: list[str], bins: int) -> DataFrame:
-    """(bin, lo, hi, ndv, height) with the same number of rows in every bin."""
-    values = df.select(column, *ties).filter(F.col(column).isNotNull())
-    placed = numbered(values, [], [column, *ties]).crossJoin(values.agg(F.count(F.lit(1)).alias("n")))
-    return placed.withColumn("bin", ntile(bins)).groupBy("bin").agg(
-        F.min(column).alias("lo"), F.max(column).alias("hi"), F.count_distinct(column).alias("ndv"), F.count(F.lit(1)).alias("height"))
+def equi_height_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """(bin, lo, hi, ndv, height) with the same number of rows in every bin.
+
+    Equal values are counted first and need no order among them: a value with a
+    running count lies in all bins whose places it covers.
+    """
+    values = df.filter(F.col(column).isNotNull())
+    counted = values.groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
+    placed = running(counted, [], [column], {"_upto": F.col("_c")}).crossJoin(values.agg(F.count(F.lit(1)).alias("n")))
+    small, rest = F.floor(F.col("n") / bins), F.col("n") % bins
+
+    def end(b: Column) -> Column:
+        return b * small + F.least(b, rest)
+
+    from_bin = placed.withColumn("rn", F.col("_upto") - F.col("_c") + 1).withColumn("_first", ntile(bins))
+    spread = from_bin.withColumn("rn", F.col("_upto")).withColumn("bin", F.explode(F.sequence("_first", ntile(bins))))
+    inside = F.least(F.col("_upto"), end(F.col("bin"))) - F.greatest(F.col("_upto") - F.col("_c"), end(F.col("bin") - 1))
+    return spread.groupBy("bin").agg(
+        F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(F.lit(1)).alias("ndv"), F.sum(inside).cast("bigint").alias("height"))
 
 
 def calendar(first: Column, last: Column) -> Column:

@@ -21,6 +21,13 @@ HOT_ROWS = 500_000
 CHUNK = 65_536
 
 
+def _salt_of(rows: DataFrame, salts: int) -> Column:
+    """A number below ``salts`` from the numbers and dates of a row, from its texts where it has nothing else."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    short = [n for n, t in kinds.items() if isinstance(t, (NumericType, DatetimeType, BooleanType))]
+    return F.pmod(F.xxhash64(*(short or [n for n, t in kinds.items() if isinstance(t, StringType)] or [F.lit(0)])), F.lit(salts)).cast("int")
+
+
 def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join rows with a lookup much smaller than they are (metadata, settings, graph frontiers).
 
@@ -31,9 +38,7 @@ def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"the rows must be the preserved side, not {how}")
-    kinds = {f.name: f.dataType for f in big.schema.fields}
-    short = [n for n, t in kinds.items() if isinstance(t, (NumericType, DatetimeType, BooleanType))]
-    salt = F.pmod(F.xxhash64(*(short or [n for n, t in kinds.items() if isinstance(t, StringType)] or [F.lit(0)])), F.lit(salts)).cast("int")
+    salt = _salt_of(big, salts)
     copies = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
@@ -47,8 +52,16 @@ def plain(order: Sequence[str]) -> list[str]:
     return [c.lstrip("-") for c in order]
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
-    """Join numbers per key back on, nulls in keys included."""
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool = False, salts: int = 1) -> DataFrame:
+    """Join numbers per key back on, nulls in keys included.
+
+    With ``salts`` the rows of a key are dealt over as many tasks and the numbers
+    copied once per salt, for few keys with many rows.
+    """
+    if salts > 1:
+        dealt = df.withColumn("_salt", _salt_of(df, salts))
+        copies = stats.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+        return attach(dealt, copies, [*keys, "_salt"], small).drop("_salt")
     renamed = stats.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in stats.columns if c not in keys])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return df.join(F.broadcast(renamed) if small else renamed, on).drop(*[f"_r_{k}" for k in keys])
@@ -138,15 +151,22 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: i
             "*", F.rank().over(w).cast("bigint").alias("rk"), F.dense_rank().over(w).cast("bigint").alias("dr"),
             F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("upto"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
 
-    def spread(rows: DataFrame) -> DataFrame:
-        values = rows.groupBy(*keys, *plain(order)).agg(F.count(F.lit(1)).alias("_c"))
-        placed = _spread_running(values, keys, order, {"upto": F.col("_c"), "dr": F.lit(1).cast("bigint")})
-        placed = placed.withColumn("rk", F.col("upto") - F.col("_c") + 1).drop("_c")
-        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        full = attach(placed, sizes, keys) if keys else placed.crossJoin(sizes)
-        return attach(rows, full, [*keys, *plain(order)]).select(*rows.columns, "rk", "dr", "upto", "n")
+    return split_hot(df, keys, native, lambda rows: spread_ranked(rows, keys, order), hot_rows)
 
-    return split_hot(df, keys, native, spread, hot_rows)
+
+def spread_ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``ranked`` for hot keys: counts per distinct value, ranked over range partitions and joined back."""
+    values = rows.groupBy(*keys, *plain(order)).agg(F.count(F.lit(1)).alias("_c"))
+    placed = _spread_running(values, keys, order, {"upto": F.col("_c"), "dr": F.lit(1).cast("bigint")})
+    placed = placed.withColumn("rk", F.col("upto") - F.col("_c") + 1).drop("_c")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    full = attach(placed, sizes, keys) if keys else placed.crossJoin(sizes)
+    return attach(rows, full, [*keys, *plain(order)]).select(*rows.columns, "rk", "dr", "upto", "n")
+
+
+def spread_numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``numbered`` for hot keys."""
+    return _spread_running(rows, keys, order, {"rn": F.lit(1).cast("bigint")})
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -183,7 +203,7 @@ def row_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], before:
         return rows.select("*", *[make(w).alias(n) for n, make in columns.items()])
 
     def spread(rows: DataFrame) -> DataFrame:
-        placed = _spread_running(rows, keys, order, {"rn": F.lit(1).cast("bigint")})
+        placed = spread_numbered(rows, keys, order)
         place = (F.col("rn") - 1) % chunk
         targets = F.filter(F.array(F.lit(0), F.when(place >= chunk - before, F.lit(1)), F.when(place < after, F.lit(-1))), lambda x: x.isNotNull())
         copied = (placed.withColumn("_shift", F.explode(targets))

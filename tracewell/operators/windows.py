@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import HOT_ROWS, attach, row_frames
+from tracewell.operators.skew import HOT_ROWS, SALTS, attach, ordering, row_frames, split_hot, spread_numbered, spread_ranked
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, tuple], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -34,10 +34,32 @@ def ntile(n: int) -> Column:
     return F.when(F.col("rn") <= wide, first).otherwise(later).cast("int")
 
 
+def ranking(df: DataFrame, keys: Sequence[str], order: Sequence[str], ties: Sequence[str], tiles: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds ``rn``, ``rk``, ``dr``, ``pr`` (percent rank), ``cd`` (cumulative distribution) and ``nt`` (tile).
+
+    ``order`` ranks, ``ties`` tells equal ones apart for ``rn`` and ``nt``. Hot
+    keys are looked for once.
+    """
+    full = [*order, *ties]
+
+    def native(rows: DataFrame) -> DataFrame:
+        w, places = Window.partitionBy(*keys).orderBy(*ordering(order)), Window.partitionBy(*keys).orderBy(*ordering(full))
+        return rows.select(
+            "*", F.row_number().over(places).cast("bigint").alias("rn"), F.rank().over(w).cast("bigint").alias("rk"), F.dense_rank().over(w).cast("bigint").alias("dr"),
+            F.percent_rank().over(w).alias("pr"), F.cume_dist().over(w).alias("cd"), F.ntile(tiles).over(places).alias("nt"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        placed = spread_ranked(spread_numbered(rows, keys, full), keys, order)
+        pr = F.when(F.col("n") == 1, 0.0).otherwise((F.col("rk") - 1) / (F.col("n") - 1))
+        return placed.select(*rows.columns, "rn", "rk", "dr", pr.alias("pr"), (F.col("upto") / F.col("n")).alias("cd"), ntile(tiles).alias("nt"))
+
+    return split_hot(df, keys, native, spread, hot_rows)
+
+
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """A value as a share of its group's total: totals are aggregated, then joined back."""
     totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
-    return attach(df, totals, keys).withColumn(name, F.col(value) / F.col("_total")).drop("_total")
+    return attach(df, totals, keys, salts=SALTS).withColumn(name, F.col(value) / F.col("_total")).drop("_total")
 
 
 def range_frame(df: DataFrame, keys: Sequence[str], on: str, back: int, width: int, sums: dict[str, Column]) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.operators import windows as WN
-from tracewell.operators.skew import attach, last_known, numbered, ranked, row_frames, running
+from tracewell.operators.skew import attach, last_known, ranked, row_frames, running
 from tracewell.registry import query
 from tracewell.sources import run_sql, table
 
@@ -13,7 +13,7 @@ PRIORITY = ["o_orderpriority"]
 def by_price(spark, d):
     """Orders ranked by price within their priority."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return ranked(numbered(orders, PRIORITY, ["-o_totalprice", "o_orderkey"]), PRIORITY, ["-o_totalprice"])
+    return WN.ranking(orders, PRIORITY, ["-o_totalprice"], ["o_orderkey"], 7)
 
 
 @query("win_ranking", """
@@ -29,8 +29,7 @@ SELECT o_orderkey, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER
 FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC)
 """)
 def win_distribution(spark, d):
-    pr = F.when(F.col("n") == 1, 0.0).otherwise((F.col("rk") - 1) / (F.col("n") - 1))
-    return by_price(spark, d).select("o_orderkey", F.round(pr, 9).alias("pr"), F.round(F.col("upto") / F.col("n"), 9).alias("cd"), WN.ntile(7).alias("nt"))
+    return by_price(spark, d).select("o_orderkey", F.round("pr", 9).alias("pr"), F.round("cd", 9).alias("cd"), "nt")
 
 
 def user_events(spark, d):
