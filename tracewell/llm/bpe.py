@@ -20,11 +20,13 @@ so ties, repeats and empty tables need no rule; other columns are left out.
 from __future__ import annotations
 
 import codecs
+import heapq
 import itertools
 import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,9 +37,11 @@ from tracewell.llm.common import texts, with_columns
 
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the tokenizer's own pattern
 BLOCK = 1 << 16  # characters that are split at a time
-CACHED = 1 << 17  # pieces a worker remembers
+CACHED = 1 << 17  # pieces in each of the two generations that a worker remembers
+SHIFT = 24  # bits of an id in the key of a pair
 CACHED_CHARS = 32
-WINDOW = 512  # bytes beyond the lookahead that a long piece is read in
+LONG_PIECE = 48  # tokens from which merging keeps a heap
+WINDOW = 2048  # bytes beyond the lookahead that a long piece is read in
 OUT_TOKENS = 1 << 18  # tokens a batch of results holds at least before it is sent
 
 
@@ -61,36 +65,58 @@ class Tokenizer:
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.first = [vocab[c] for _, c in sorted((b, c) for c, b in signs.items())]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {vocab[a] << SHIFT | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
+        self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.lookahead = sufficient_lookahead([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], self.bytes_of)
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile(r"(?<=\S)\s")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.earlier: dict[str, tuple[int, ...]] = {}
 
     def merged(self, ids: list[int]) -> list[int]:
         """All merges of a short piece: the pair of lowest rank first, leftmost first among equals."""
-        merges, none = self.merges, (1 << 60, 0)
-        while len(ids) > 1:
-            rank, new = none
-            for pair in zip(ids, ids[1:]):
-                found = merges.get(pair, none)
-                if found[0] < rank:
-                    (rank, new), best = found, pair
-            if rank == none[0]:
+        if len(ids) > LONG_PIECE:
+            return self.merged_long(ids)
+        rank_of, made, none = self.ranks.get, self.made, len(self.made)
+        ranks = [rank_of(a << SHIFT | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == none:
                 break
-            a, b = best
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if ids[i] == a and i < last and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(rank)
+            ids[i] = made[rank]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(ids[i - 1] << SHIFT | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = rank_of(ids[i] << SHIFT | ids[i + 1], none)
         return ids
 
+    def merged_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of (rank, place) over a linked list."""
+        rank_of, made, n = self.ranks.get, self.made, len(ids)
+        ids, after, before = [*ids, -1], [*range(1, n + 1), n], [*range(-1, n)]
+        heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:n])) if (rank := rank_of(a << SHIFT | b)) is not None]
+        heapq.heapify(heap)
+
+        def push(i: int, j: int) -> None:
+            if i >= 0 and j < n and (rank := rank_of(ids[i] << SHIFT | ids[j])) is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
+
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue  # one of the two has merged meanwhile
+            ids[i], ids[j] = made[rank], -1
+            after[i] = after[j]
+            before[after[j]] = i
+            push(before[i], i)
+            push(i, after[i])
+        return [i for i in ids if i >= 0]
+
     def streamed(self, data: bytes) -> Iterator[int]:
         """Tokens of one long piece, each emitted once nothing that follows can change it."""
         first, size = self.first, self.lookahead + WINDOW
@@ -108,14 +134,15 @@ class Tokenizer:
         yield from self.merged([first[b] for b in data[start:]])
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        """Tokens of one piece; short ones are remembered."""
-        data = piece.encode()
+        """Tokens of one piece. Short ones are remembered, in two generations, so that frequent ones stay when one is full."""
         if len(piece) > CACHED_CHARS:
-            return tuple(self.streamed(data))
-        found = tuple(self.merged([self.first[b] for b in data]))
-        if len(self.cache) >= CACHED:
-            self.cache.clear()
-        self.cache[piece] = found
+            return tuple(self.streamed(piece.encode()))
+        found = self.earlier.get(piece)
+        if found is None:
+            found = tuple(self.merged([self.first[b] for b in piece.encode()]))
+        if len(self.recent) >= CACHED:
+            self.earlier, self.recent = self.recent, {}
+        self.recent[piece] = found
         return found
 
     def blocks(self, text: str) -> Iterator[str]:
@@ -131,7 +158,7 @@ class Tokenizer:
 
     def encode(self, text: str) -> Iterator[int]:
         """Token ids of a text, block by block."""
-        known, chain = self.cache.get, itertools.chain.from_iterable
+        chain = itertools.chain.from_iterable
         for part in self.marks.split(text) if self.marks else [text]:
             if part in self.special:
                 yield self.special[part]
@@ -143,16 +170,16 @@ class Tokenizer:
                         if len(piece) > CACHED_CHARS:
                             yield from self.streamed(piece.encode())
                         else:
-                            yield from known(piece) or self.piece(piece)
+                            yield from self.recent.get(piece) or self.piece(piece)
                     continue
-                pieces = self.pieces.findall(block)
-                yield from chain([known(p) or self.piece(p) for p in pieces])
+                pieces, seen = self.pieces.findall(block), self.recent
+                yield from chain([seen.get(p) or self.piece(p) for p in pieces])
 
     def decode(self, ids: list[int], step: int = 1 << 14) -> str:
         """The text of a list of ids; bytes of an unfinished character wait for the next step."""
-        state, table, out = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes_of, []
+        state, bytes_of, out = codecs.getincrementaldecoder("utf-8")("replace"), self.table.__getitem__, []
         for at in range(0, len(ids), step):
-            out.append(state.decode(b"".join([table.get(i, b"") for i in ids[at:at + step]])))
+            out.append(state.decode(b"".join(map(bytes_of, ids[at:at + step]))))
         return "".join([*out, state.decode(b"", True)])
 
 
@@ -187,7 +214,7 @@ def encode(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
         for batch in batches:
             first, found, size = 0, [], 0
             for at, text in enumerate(batch.column("text")):
-                ids = pa.array(own.encode(text.as_py()), pa.int32())
+                ids = pa.array(np.fromiter(own.encode(text.as_py()), np.int32))
                 found.append(ids)
                 size += len(ids)
                 if size >= OUT_TOKENS:
@@ -209,7 +236,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the text of ``ids``."""
     def compute(batch: pa.RecordBatch) -> list:
         own = tokenizer(path)
-        return [[own.decode(ids.values.to_pylist()) for ids in batch.column("ids")]]
+        return [[own.decode(ids.values.to_numpy().tolist()) for ids in batch.column("ids")]]
 
     return with_columns(encoded, [StructField("decoded", StringType())], compute)
 
