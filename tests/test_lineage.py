@@ -199,3 +199,16 @@ def test_metadata_grows_with_the_data(spark):
     assert large.select("table_id").distinct().count() == large.count()
     for name in ("f_col_lines", "f_jobs"):
         assert fixture(spark, "/root/testdata/sf0.01", name).count() > 6 * fixture(spark, "/root/testdata/sf0.001", name).count()
+
+
+def lines_of(spark, script, known=()):
+    jobs = spark.createDataFrame([(1, script)], "id long, script string")
+    meta = spark.createDataFrame([("default", "none", "none"), *known], "database_name string, table_name string, column_name string")
+    return {(r.to_table, r.to_name, r.source) for r in C.trace_columns(T.table_refs(jobs), meta).collect()}
+
+
+def test_columns_through_queries_in_from(spark):
+    assert lines_of(spark, "insert into dw.a select q.s from (select t.v as s from ods.t1 t) q") == {("dw.a", "s", "ods.t1.v")}
+    assert lines_of(spark, "insert into dw.a select o.x from (select i.y as x from (select max(t.z) as y from ods.t1 t) i) o join (select k from ods.t2) p on p.k = o.x") == {("dw.a", "x", "ods.t1.z")}
+    assert lines_of(spark, "insert into dw.a select u.d from (select d from ods.l union all select e as d from ods.r) u join ods.b b on u.d = b.d") == {("dw.a", "d", "ods.l.d"), ("dw.a", "d", "ods.r.e")}
+    assert lines_of(spark, "with w as (select q.c as n from (select c from ods.t) q) insert into dw.a select n from w") == {("dw.a", "n", "ods.t.c")}

@@ -14,6 +14,7 @@ from tracewell.operators.statements import CTE_QUERY, LITERAL, trimmed
 from tracewell.storage import cut
 
 # Fixed patterns.
+FROM_QUERY = r"(?is)\b(?:from|join)\s*(\(\s*(select\b(?:[^()]++|\((?!\s*select\b)(?:[^()]++|\((?!\s*select\b)[^()]*+\))*+\))*+)\))"
 BRANCH_BORDER = r"(?i)\bunion(?:\s+all|\s+distinct)?\b"
 SELECT_LIST = r"(?is)\bselect\s+(?:distinct\s+)?(.*?)\s+from\s"
 FROM_CLAUSE = r"(?is)\sfrom\s+(.*)$"
@@ -48,17 +49,40 @@ def _words() -> Column:
     return F.array(*[F.lit(w) for w in SQL_WORDS])
 
 
+def peeled(stmt: str = "stmt") -> Column:
+    """A statement with every query in FROM or JOIN replaced by a scope name, and those scopes.
+
+    Struct of ``text`` and ``inner`` (scope, body). The innermost query goes first,
+    one per step, and there are as many steps as there are queries in parentheses.
+    A query keeps its alias behind the scope name.
+    """
+    start = F.struct(F.col(stmt).alias("text"), F.array().cast("array<struct<scope:string,body:string>>").alias("inner"))
+
+    def step(acc: Column, number: Column) -> Column:
+        whole = F.regexp_extract(acc["text"], FROM_QUERY, 1)
+        name = F.concat(F.lit("from_query_"), number)
+        at = F.instr(acc["text"], whole)
+        text = F.concat(F.substring(acc["text"], F.lit(1), at - 1), F.lit(" "), name, F.lit(" "), F.substring(acc["text"], at + F.length(whole), F.length(acc["text"])))
+        inner = F.array_append(acc["inner"], F.struct(name.alias("scope"), F.regexp_extract(acc["text"], FROM_QUERY, 2).alias("body")))
+        return F.when(whole == "", acc).otherwise(F.struct(text.alias("text"), inner.alias("inner")))
+
+    steps = F.regexp_count(stmt, F.lit(r"(?i)\b(?:from|join)\s*\(\s*select\b"))
+    return F.when(steps == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, step))
+
+
 def scopes(statements: DataFrame, *keys: str) -> DataFrame:
-    """(keys, scope, branch, text): one row per WITH query and per UNION branch.
+    """(keys, scope, branch, text): one row per WITH query, query in FROM and UNION branch.
 
     The scope of the statement itself is the empty name.
     """
-    names = F.regexp_extract_all("stmt", F.lit(CTE_QUERY), F.lit(1))
-    texts = F.regexp_extract_all("stmt", F.lit(CTE_QUERY), F.lit(2))
+    text = F.col("_peeled.text")
+    names = F.regexp_extract_all(text, F.lit(CTE_QUERY), F.lit(1))
+    texts = F.regexp_extract_all(text, F.lit(CTE_QUERY), F.lit(2))
     parts = F.concat(
+        F.col("_peeled.inner"),
         F.zip_with(names, texts, lambda n, t: F.struct(n.alias("scope"), t.alias("body"))),
-        F.array(F.struct(F.lit("").alias("scope"), F.regexp_replace("stmt", CTE_QUERY, " ").alias("body"))))
-    return (statements.select(*keys, F.inline(parts))
+        F.array(F.struct(F.lit("").alias("scope"), F.regexp_replace(text, CTE_QUERY, " ").alias("body"))))
+    return (statements.withColumn("_peeled", peeled()).select(*keys, F.inline(parts))
             .select(*keys, "scope", F.posexplode(F.split("body", BRANCH_BORDER)).alias("branch", "text"))
             .withColumn("text", trimmed(F.col("text")))
             .filter(F.rlike("text", F.lit(r"(?i)\bselect\b"))))
@@ -320,7 +344,7 @@ def trace_columns(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
     """
     keys = ["job_id", "stmt_no"]
     refs = cut(refs.select(*keys, "database_name", "stmt", "outputs"))
-    scoped = scopes(refs, *keys, "database_name")
+    scoped = cut(scopes(refs, *keys, "database_name"))
     names = F.regexp_extract_all("text", F.lit(SOURCE_WITH_ALIAS), F.lit(1))
     aliases = F.regexp_extract_all("text", F.lit(SOURCE_WITH_ALIAS), F.lit(2))
     sources = F.zip_with(names, aliases, lambda n, a: F.struct(
@@ -334,7 +358,7 @@ def trace_columns(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
              .select(*keys, "database_name", "scope", "branch", "pos", "name", "column", (F.size("fitting") > 1).alias("open"), F.explode_outer("fitting").alias("s"))
              .filter("s is not null"))
 
-    with_names = refs.select(*keys, F.explode_outer(F.regexp_extract_all("stmt", F.lit(CTE_QUERY), F.lit(1))).alias("source")).filter("source is not null").distinct()
+    with_names = scoped.filter("scope <> ''").select(*keys, F.col("scope").alias("source")).distinct()
     bound = bound.withColumn("source", F.col("s.source")).join(with_names.withColumn("inner", F.lit(True)), [*keys, "source"], "left")
     table = F.when(F.contains("source", F.lit(".")), F.col("source")).otherwise(F.concat_ws(".", "database_name", "source"))
     edges = cut(bound.select(*keys, "scope", "branch", "pos", "name", "open", "column", F.when(F.col("inner"), F.col("source")).alias("child"),

@@ -341,3 +341,12 @@ WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0
 def lin_column_trace(spark, d):
     """Column lineage of the scheduled jobs from their texts: scopes, aliases, bare columns, WITH queries, unions."""
     return C.trace_columns(due_refs(spark, d), fixture(spark, d, "f_meta_column"))
+
+
+@query("lin_subquery_trace", """
+SELECT c_custkey AS job_id, concat('dw.d_', c_custkey) AS to_table, 0 AS pos, 's' AS to_name, concat('ods.a_', c_custkey, '.v') AS source FROM customer WHERE c_custkey % 16 = 11
+""")
+def lin_subquery_trace(spark, d):
+    """Column lineage through a query in FROM that is joined to a table, from the statement's text."""
+    nested = T.table_refs(fixture(spark, d, "f_shapes").filter("shape = 11"))
+    return C.trace_columns(nested, fixture(spark, d, "f_meta_column")).drop("stmt_no")
