@@ -49,7 +49,28 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.restored(output))
 
 
-@query("op6_secrets")
+def rule_matches(rank: int, rule: secrets.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return (f"SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits, "
+            f"regexp_extract_all(text, '{pattern}', {rule.checked}) AS checked, {rule.at_least} AS least FROM d")
+
+
+@query("op6_secrets", oracle=f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+h AS ({" UNION ALL ".join(rule_matches(rank, rule) for rank, rule in enumerate(secrets.RULES))}),
+e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM h),
+s AS (
+  SELECT doc_id, kind, rank, length(hits[i]) AS n, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+         + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM e WHERE length(checked[i]) >= least),
+a AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(concat(kind, ':', start, ':', start + n), ',' ORDER BY start, rank) FILTER (rank < {len(secrets.BASE)}) AS base,
+         string_agg(concat(kind, ':', start, ':', start + n), ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)
+""")
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_all(table(spark, sf_dir, "documents")))
 
@@ -124,7 +145,21 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), TEMPLATES).drop("tag")
 
 
-@query("op3_substrings")
+@query("op3_substrings", oracle=r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM d)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first_id FROM w) WHERE first_id < doc_id),
+n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER o <= 50 THEN 0 ELSE 1 END AS fresh FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n) GROUP BY doc_id, run),
+k AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER o, 0) AS last_b FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
+g AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(substr(h, 2 * last_b + 1, 2 * (a - last_b)), '' ORDER BY a) AS front
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(from_hex(concat(coalesce(front, ''), substr(h, 2 * coalesce(tail, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+""")
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents"))
 
