@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 from tracewell.storage import cut
 
 SPACES = "\\x20\\x09-\\x0D"  # the white space that separates words
-TEXT_BYTES_PER_GROUP = 16 << 20  # of text, for groups that one task holds in memory
+TEXT_BYTES_PER_GROUP = 8 << 20  # of text, for groups that one task holds in memory
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
