@@ -28,9 +28,10 @@ def test_stages(spark, sf_dir):
 
 
 def test_stages_on_awkward_rows(spark, sf_dir, edge_docs, no_docs):
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, edge_docs, sf_dir).columns == edge_docs.columns
-        assert stage(spark, edge_docs, sf_dir).count() > 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, edge_docs, sf_dir)
+        assert kept.columns == edge_docs.columns
+        assert kept.count() > 0 or name == "quality_rules"  # the words there are half digits, so none need be good
         assert stage(spark, no_docs, sf_dir).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, edge_docs, sf_dir).filter("NOT restored").count() == 0
 
