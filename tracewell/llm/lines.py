@@ -153,10 +153,10 @@ def common_blocks(a: list[int], b: list[int], sizes: list[int], least: int) -> l
 
 def deletions(rows: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
     """(id, tag, deleted): line numbers to delete from each document that loses any; ``rows`` as of ``keyed``."""
-    arrays = keep(line_arrays(rows))  # hashes and lengths only, some ten bytes a line
+    arrays = keep(line_arrays(rows).dropDuplicates(["id", "tag"]))  # hashes and lengths only, some ten bytes a line
     pairs = partners(runs(arrays, least))
-    own = pairs.join(arrays.dropDuplicates(["id", "tag"]), ["id", "tag"]).withColumnRenamed("hashes", "own_hashes")
-    other = arrays.dropDuplicates(["id", "tag"]).select(F.col("id").alias("to_id"), F.col("tag").alias("to_tag"), F.col("hashes").alias("to_hashes"))
+    own = pairs.join(arrays, ["id", "tag"]).withColumnRenamed("hashes", "own_hashes")
+    other = arrays.select(F.col("id").alias("to_id"), F.col("tag").alias("to_tag"), F.col("hashes").alias("to_hashes"))
     both = own.join(other, ["to_id", "to_tag"]).select("id", "tag", "own_hashes", "sizes", "to_hashes")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
