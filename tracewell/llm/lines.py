@@ -193,7 +193,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
             counts.append(len(gone or ()))
         return [texts, counts]
 
-    joined = rows.join(found, matching(rows, found), "left")
+    joined = rows.join(found.hint("merge"), matching(rows, found), "left")  # the same way at every size; what is found grows with the documents
     done = with_columns(joined, [StructField("_llm_text", StringType()), StructField("_llm_deleted", IntegerType())], compute)
     return done.select(*(F.col("_llm_text").alias("text") if c == "text" else F.col(c) for c in docs.columns), "_llm_deleted", F.col("text").alias("_llm_before"))
 
