@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
 from tracewell.llm.common import with_columns
+from tracewell.operators.skew import lookup_join
 from tracewell.storage import keep
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]")  # of the template
@@ -107,7 +108,7 @@ def tree(turns: DataFrame) -> DataFrame:
     """Every row of ``nodes`` with the node's owner, the smallest conversation through it (null last)."""
     rows = nodes(turns)
     owners = rows.groupBy("node").agg(F.min("conv_id").alias("owner"))
-    return rows.join(owners, "node")
+    return lookup_join(rows, owners, ["node"])  # a first turn may belong to very many
 
 
 def segments(placed: DataFrame) -> DataFrame:
