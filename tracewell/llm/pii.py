@@ -39,6 +39,7 @@ KINDS = ("email", "ip", "card", "phone")
 FOUND = "context"
 ROUNDS = 3
 GOOD = 0.8  # confidence from which a pattern finds new mentions
+SALTS = 8
 SEEDS = 3  # different seed instances such a pattern rests on
 
 
@@ -92,7 +93,9 @@ def score(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         rated = known.groupBy("pattern").agg(
             (F.sum(F.col("n") * F.col("belief")) / (F.sum("n") + 1)).alias("confidence"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        reach = edges.join(rated, "pattern").groupBy("instance").agg(F.max(F.when(F.col("seeds") >= SEEDS, F.col("confidence"))).alias("reach"))
+        copies = rated.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        dealt = edges.withColumn("_salt", F.pmod(F.xxhash64("instance"), F.lit(SALTS)))  # a frequent word stands before very many
+        reach = dealt.join(copies, ["pattern", "_salt"]).groupBy("instance").agg(F.max(F.when(F.col("seeds") >= SEEDS, F.col("confidence"))).alias("reach"))
         known = cut(edges.join(reach, "instance").withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("reach", F.lit(0.0)))).drop("reach"))
     return rated
 
@@ -103,7 +106,7 @@ def discovered(found: DataFrame) -> DataFrame:
     seen = rows.select("doc_id", "tag", "m.*", F.exists("base", lambda s: (s["start"] < F.col("m")["end"]) & (s["end"] > F.col("m")["start"])).alias("seed"))
     seen = seen.filter("pattern <> ''")
     edges = cut(seen.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
-    good = score(edges).filter((F.col("confidence") >= GOOD) & (F.col("seeds") >= SEEDS)).select("pattern")
+    good = cut(score(edges).filter((F.col("confidence") >= GOOD) & (F.col("seeds") >= SEEDS)).select("pattern"))
     new = seen.filter("NOT seed").join(good, "pattern", "left_semi").distinct()
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(FOUND).alias("kind"))
     return new.groupBy("doc_id", "tag").agg(F.collect_list(span).cast(SPAN).alias("more"))
