@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import SPACES, texts
 from tracewell.llm.spans import SPAN, counted, hits, listed, of_kinds, spans
+from tracewell.operators.skew import lookup_join
 from tracewell.storage import cut, keep
 
 LOCAL = "A-Za-z0-9._%+-"
@@ -107,7 +108,7 @@ def discovered(found: DataFrame) -> DataFrame:
     seen = seen.filter("pattern <> ''")
     edges = cut(seen.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
     good = cut(score(edges).filter((F.col("confidence") >= GOOD) & (F.col("seeds") >= SEEDS)).select("pattern"))
-    new = seen.filter("NOT seed").join(good, "pattern", "left_semi").distinct()
+    new = lookup_join(seen.filter("NOT seed"), good, ["pattern"], "left_semi").distinct()
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(FOUND).alias("kind"))
     return new.groupBy("doc_id", "tag").agg(F.collect_list(span).cast(SPAN).alias("more"))
 
