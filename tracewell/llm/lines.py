@@ -9,7 +9,8 @@ third of all documents hold gives one link per document and no pairs among them.
 
 Each pair is aligned with patience diff on line hashes: lines that occur once in
 both, their longest increasing chain, and the same again between the anchors;
-stretches without such lines are matched from both ends. Aligned blocks of at
+stretches without such lines are matched from both ends, and then by the k-th of
+equal lines with the k-th, so that a stretch with a common line is never left. Aligned blocks of at
 least ``MIN_BLOCK`` characters are deleted from the later document. All is judged
 on the input, so the first document that has a block always keeps it.
 
@@ -111,6 +112,16 @@ def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def numbered(a: list[int], lo: int, hi: int, b: list[int], low: int, high: int) -> list[tuple[int, int]]:
+    """The k-th of equal lines in one stretch with the k-th in the other."""
+    places: dict[int, list[int]] = {}
+    for j in range(low, high):
+        places.setdefault(b[j], []).append(j)
+    waiting = {line: iter(at) for line, at in places.items()}
+    found = ((i, next(waiting.get(a[i], iter(())), None)) for i in range(lo, hi))
+    return [(i, j) for i, j in found if j is not None]
+
+
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned equal lines (i, j) of two documents by patience diff, in order."""
     out: list[tuple[int, int]] = []
@@ -128,6 +139,8 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         count_a, count_b = Counter(a[lo:hi]), Counter(b[low:high])
         place = {line: j for j, line in enumerate(b[low:high], low) if count_b[line] == 1}
         anchors = chain([(i, place[line]) for i, line in enumerate(a[lo:hi], lo) if count_a[line] == 1 and line in place])
+        if not anchors:
+            anchors = chain(numbered(a, lo, hi, b, low, high))
         if not anchors:
             continue
         edges = [(lo - 1, low - 1), *anchors, (hi, high)]
