@@ -1,18 +1,23 @@
 """Line deduplication by pairwise alignment.
 
-A run is the shortest row of lines from a given line on that holds at least
-``MIN_BLOCK`` characters; a block that is worth deleting holds one. The rarest
-thing two overlapping documents share is such a run, so documents are brought
-together by run hashes: a document meets, for each of its runs, the first document
-that has it. That is one partner per run whatever its frequency, so a line that a
-third of all documents hold gives one link per document and no pairs among them.
+A run is the shortest row of lines from a given line on, or up to a given line,
+that holds at least ``MIN_BLOCK`` characters; every line of a block that is worth
+deleting stands in a run inside the block. The rarest thing two overlapping
+documents share is such a run, so documents are brought together by run hashes: a
+document meets, for each of its runs, the first document that has it. That is one
+partner per run whatever its frequency, so a line that a third of all documents hold
+gives one link per document and no pairs among them.
 
 Each pair is aligned with patience diff on line hashes: lines that occur once in
 both, their longest increasing chain, and the same again between the anchors;
 stretches without such lines are matched from both ends, and then by the k-th of
 equal lines with the k-th, so that a stretch with a common line is never left. Aligned blocks of at
-least ``MIN_BLOCK`` characters are deleted from the later document. All is judged
-on the input, so the first document that has a block always keeps it.
+least ``MIN_BLOCK`` characters are deleted from the later document. Alignment keeps the
+order of both and sees first holders only, so it leaves moved blocks, further copies of
+a block in one document, and blocks that stand whole in a later holder; those runs are
+matched by themselves, each with its equal in the first holder. What is deleted is so
+just what lies in a block of at least ``MIN_BLOCK`` characters that any earlier document
+has. All is judged on the input, so the first document that has a block always keeps it.
 
 Documents are ordered by id, then by the hash of the text; null ids come last.
 Rows that are equal in both are one document and share the outcome. Lines are
@@ -53,43 +58,47 @@ def line_arrays(rows: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform(split, lambda line: F.xxhash64(line)).alias("hashes"), F.transform(split, lambda line: F.length(line)).alias("sizes"))
 
 
-def run_keys(hashes: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
-    """Hash of the shortest run of at least ``least`` characters from every line that begins one with a non-empty line."""
+def run_keys(hashes: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first line and end of the shortest runs of at least ``least`` characters from every line on and up to every line."""
     n = len(hashes)
-    total = np.concatenate([[0], np.cumsum(sizes)])
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     ends = np.searchsorted(total, total[:-1] + least)  # the first end that is far enough
-    starts = np.flatnonzero((ends <= n) & (sizes > 0))
-    ends = ends[starts]
+    starts = np.searchsorted(total, total[1:] - least, "right") - 1  # the last start that is
+    ahead, back_from = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
+    spans = np.unique(np.concatenate([ahead * (n + 1) + ends[ahead], starts[back_from] * (n + 1) + back_from + 1]))
+    starts, ends = spans // (n + 1), spans % (n + 1)
     powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, MIX)]))
     back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, UNMIX)]))
     mixed = hashes ^ (hashes >> np.uint64(31))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers[:-1], dtype=np.uint64)])
     keys = (sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * MIX
-    return np.unique(keys ^ (keys >> np.uint64(29)))
+    return keys ^ (keys >> np.uint64(29)), starts, ends
 
 
 def runs(arrays: DataFrame, least: int) -> DataFrame:
-    """(run, id, tag): the run hashes of every document."""
+    """(run, id, tag, start, end): the runs of every document by their hash, with the lines they span."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 hashes = batch.column("hashes")[i].values.to_numpy().view(np.uint64)
                 sizes = batch.column("sizes")[i].values.to_numpy()
-                keys = run_keys(hashes, sizes, least)
+                keys, starts, ends = run_keys(hashes, sizes, least)
                 if len(keys):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), batch.column("id")[i].as_py(), np.int64)),
-                        pa.array(np.full(len(keys), batch.column("tag")[i].as_py(), np.int64))], names=["run", "id", "tag"])
+                        pa.array(np.full(len(keys), batch.column("tag")[i].as_py(), np.int64)),
+                        pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], names=["run", "id", "tag", "start", "end"])
 
-    return arrays.mapInArrow(find, "run long, id long, tag long")
+    return arrays.mapInArrow(find, "run long, id long, tag long, start int, end int")
 
 
 def partners(found: DataFrame) -> DataFrame:
-    """(id, tag, to_id, to_tag): each document with the first holder of each of its runs."""
+    """(id, tag, to_id, to_tag, spans): each document with the first holder of each of its runs and the lines of these."""
     first = found.groupBy("run").agg(F.min(F.struct("id", "tag")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = found.join(first, "run").select("id", "tag", F.col("f.id").alias("to_id"), F.col("f.tag").alias("to_tag"))
-    return met.filter("id <> to_id OR tag <> to_tag").distinct()
+    met = found.join(first, "run").filter("id <> f.id OR tag <> f.tag")
+    return met.groupBy("id", "tag", F.col("f.id").alias("to_id"), F.col("f.tag").alias("to_tag")).agg(
+        F.collect_list(F.struct("start", "end")).alias("spans"))  # of one document
 
 
 def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -164,23 +173,30 @@ def common_blocks(a: list[int], b: list[int], sizes: list[int], least: int) -> l
     return out
 
 
+def with_spans(gone: list[int], starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """``gone`` of ``n`` lines and those of the runs that it leaves."""
+    steps = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
+    out = np.cumsum(steps)[:n] > 0
+    out[gone] = True
+    return np.flatnonzero(out).astype(np.int32)
+
+
 def deletions(rows: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
     """(id, tag, deleted): line numbers to delete from each document that loses any; ``rows`` as of ``keyed``."""
     arrays = keep(line_arrays(rows).dropDuplicates(["id", "tag"]))  # hashes and lengths only, some ten bytes a line
     pairs = partners(runs(arrays, least))
     own = pairs.join(arrays, ["id", "tag"]).withColumnRenamed("hashes", "own_hashes")
     other = arrays.select(F.col("id").alias("to_id"), F.col("tag").alias("to_tag"), F.col("hashes").alias("to_hashes"))
-    both = own.join(other, ["to_id", "to_tag"]).select("id", "tag", "own_hashes", "sizes", "to_hashes")
+    both = own.join(other, ["to_id", "to_tag"]).select("id", "tag", "own_hashes", "sizes", "to_hashes", "spans")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags, found = [], [], []
-            for row_id, tag, mine, sizes, theirs in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns))):
+            for row_id, tag, mine, sizes, theirs, spans in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns))):
                 gone = common_blocks(mine.as_py(), theirs.as_py(), sizes.as_py(), least)
-                if gone:
-                    ids.append(row_id)
-                    tags.append(tag)
-                    found.append(gone)
+                ids.append(row_id)
+                tags.append(tag)
+                found.append(with_spans(gone, spans.values.field("start").to_numpy(), spans.values.field("end").to_numpy(), len(sizes)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["id", "tag", "deleted"])
 
     pieces = both.mapInArrow(align, "id long, tag long, deleted array<int>")
