@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, decontaminate, licenses, lines, pii, quality, secrets, simhash, suffixes
+from tracewell.llm import bpe, centroids, chat, decontaminate, licenses, lines, pii, quality, secrets, simhash, suffixes
 from tracewell.llm.license_templates import TEMPLATES
 from tracewell.llm.registry import query
 from tracewell.sources.tables import table
@@ -167,3 +167,36 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_lines")
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
+
+
+def nearest_sql(points: str) -> str:
+    return (f"SELECT vec_id, copy, v, list_min(list_transform({points}, lambda c: {{'d': list_sum(list_transform(list_zip(v, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'c': c.c}})) AS near FROM v")
+
+
+def round_sql(k: int) -> str:
+    """One round: assigned vectors, then floored means; an empty cluster keeps its centroid."""
+    return f"""
+a{k} AS ({nearest_sql(f"(SELECT ps FROM p{k})")}),
+m{k} AS (
+  SELECT near.c AS c, j, sum(v[j]) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, 65)) AS j) GROUP BY ALL),
+f{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS p FROM m{k} GROUP BY c),
+p{k + 1} AS (SELECT list({{'c': o.c, 'p': coalesce(f{k}.p, o.p)}} ORDER BY o.c) AS ps FROM (SELECT unnest(ps, recursive := true) FROM p{k}) o LEFT JOIN f{k} ON f{k}.c = o.c)"""
+
+
+@query("op11_centroids", oracle=f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+v AS (
+  SELECT vec_id, row_number() OVER () AS copy, list_transform(x, lambda y: CAST(floor(64 * y) AS BIGINT)) AS v FROM e
+  WHERE len(x) = 64 AND len(list_filter(x, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+s AS (SELECT v, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c FROM v QUALIFY c < 16),
+p0 AS (SELECT list({{'c': c, 'p': v}} ORDER BY c) AS ps FROM s),
+{",".join(round_sql(k) for k in range(3))},
+z AS ({nearest_sql("(SELECT ps FROM p3)")}),
+q AS (SELECT unnest(ps, recursive := true) FROM p3)
+SELECT vec_id, CAST(near.c AS INTEGER) AS cluster, CAST(near.d AS BIGINT) AS distance,
+       CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia, CAST(sum(near.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(q.p, ',')) AS centroid_sha256
+FROM z JOIN q ON q.c = near.c
+""")
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
