@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, centroids, chat, decontaminate, licenses, lines, pii, quality, secrets, simhash, suffixes
+from tracewell.llm import bpe, centroids, chat, decontaminate, licenses, lines, pii, quality, secrets, sharding, simhash, suffixes
 from tracewell.llm.license_templates import TEMPLATES
 from tracewell.llm.registry import query
 from tracewell.sources.tables import table
@@ -200,3 +200,8 @@ FROM z JOIN q ON q.c = near.c
 """)
 def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_sharding")
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(table(spark, sf_dir, "documents"))
