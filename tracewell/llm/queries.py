@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, centroids, chat, decontaminate, licenses, lines, pii, quality, secrets, sharding, simhash, suffixes
+from tracewell.llm import bpe, centroids, chat, decontaminate, licenses, lines, phrases, pii, quality, secrets, sharding, simhash, suffixes
 from tracewell.llm.license_templates import TEMPLATES
 from tracewell.llm.registry import query
 from tracewell.sources.tables import table
@@ -205,3 +205,35 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_sharding")
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op12_phrases", oracle=rf"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM d),
+x AS (SELECT lang, id, unnest(words) AS w1, generate_subscripts(words, 1) AS p FROM w),
+y AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM x WINDOW o AS (PARTITION BY id ORDER BY p)),
+f AS (
+  SELECT lang, 1 AS size, w1 AS phrase, count(*) AS a FROM y GROUP BY ALL
+  UNION ALL SELECT lang, 2, concat_ws(' ', w1, w2) AS phrase, count(*) FROM y WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, concat_ws(' ', w1, w2, w3) AS phrase, count(*) FROM y WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, concat_ws(' ', w1, w2, w3, w4) AS phrase, count(*) FROM y WHERE w4 IS NOT NULL GROUP BY ALL),
+c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE size >= 2 AND a >= {phrases.LEAST}),
+i AS (
+  SELECT lang, array_to_string(words[p:p + n - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, (VALUES (2), (3)) s(n), LATERAL (SELECT unnest(range(1, size - n + 2)) AS p) WHERE n < size GROUP BY ALL),
+k AS (SELECT c.* FROM c LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+u AS (
+  SELECT k.lang, k.phrase, k.a, cut, array_to_string(words[1:cut], ' ') AS head, array_to_string(words[cut + 1:], ' ') AS rest
+  FROM k, LATERAL (SELECT unnest(range(1, size)) AS cut)),
+s AS (
+  SELECT u.lang, u.phrase, u.a, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * u.a // (x.a + y.a) AS BIGINT) AS score
+  FROM u JOIN f x ON x.lang || chr(9) || x.phrase = u.lang || chr(9) || u.head JOIN f y ON y.lang || chr(9) || y.phrase = u.lang || chr(9) || u.rest
+  QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, cut) = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s QUALIFY rank <= {phrases.TOP})
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM b JOIN (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang) USING (lang)
+""")
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
