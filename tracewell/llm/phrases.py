@@ -49,10 +49,10 @@ SCALE = 2_000_000
 TOP = 2000
 GROUP_BYTES = 16 << 20  # of text whose suffixes a task holds at a time
 HEAVY = 8  # a prefix is extended where it may hold more than this part of a group
-CHUNK_BYTES = 16 << 20  # of text that a task sorts at a time
+CHUNK_BYTES = 3 << 20  # of text that a task sorts at a time
 SALTS = 64  # parts of a language that are ranked by themselves
 MIX, SPIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-SUFFIXES = "grp long, langs array<string>, words array<binary>, packed binary, n long"
+BLOCKS = "grp long, langs array<string>, packed binary"
 
 
 @lru_cache(maxsize=1)
@@ -83,7 +83,7 @@ class Suffixes:
             if int(packed.max()).bit_length() + width > 63:
                 packed = np.unique(packed, return_inverse=True)[1].astype(np.uint64)
             packed = (packed << np.uint64(width)) | column.astype(np.uint64)
-        order = np.argsort(packed, kind="stable")
+        order = np.argsort(packed)
         packed = packed[order]
         first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]]))
         lang, *codes = (k[order[first]] for k in (self.lang, *self.codes))
@@ -103,7 +103,7 @@ class Suffixes:
 
     def hashes(self, depth: int) -> list[np.ndarray]:
         """Hash of each suffix's first words, for 1 word up to ``depth``."""
-        own = np.array([0, *(xxhash.xxh64_intdigest(w) for w in self.words.to_pylist())], np.uint64)
+        own = np.concatenate([[np.uint64(0)], np.fromiter(map(xxhash.xxh64_intdigest, self.words.to_numpy(zero_copy_only=False)), np.uint64, len(self.words))])
         state = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs], np.uint64)[self.lang]
         out = []
         for column in self.codes[:depth]:
@@ -121,15 +121,16 @@ def suffixes_of(data: np.ndarray, ends: np.ndarray, langs: list[str], lang_of: n
     edge = np.zeros(len(data) + 1, bool)  # where a text begins
     edge[ends] = True
     edge[0] = True
-    begin = solid.copy()
+    begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1] | edge[1:-1]
+    end[:-1] &= ~solid[1:] | edge[1:-1]
     starts = np.flatnonzero(begin)
     if not len(starts):
         return Suffixes(langs, pa.array([], pa.binary()), np.empty(0, np.int32), [np.empty(0, np.int32)] * DEPTH, np.empty(0, np.int64))
-    breaks = np.cumsum((data == 10) | edge[:-1], dtype=np.int32)[starts]  # equal for words of one piece
-    solid_before = np.concatenate([[0], np.cumsum(solid, dtype=np.int32)])
-    offsets = np.concatenate([solid_before[starts], solid_before[-1:]]).astype(np.int64)
-    letters = np.ascontiguousarray(data[solid])
+    breaks = np.searchsorted(np.flatnonzero((data == 10) | edge[:-1]), starts, "right")  # equal for words of one piece
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(end) + 1 - starts)])
+    letters = data[solid]
+    del begin, end, edge, solid
     plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
     coded = plain.dictionary_encode()
     code = coded.indices.to_numpy().astype(np.int32) + 1
@@ -156,27 +157,21 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
         return suffixes_of(data, offsets[1:] - offsets[0], lang.dictionary.to_pylist(), lang.indices.to_numpy())
 
     for batch in batches:
-        for row in split_rows(batch):
-            held.append(row)
-            size += row.column("text").nbytes
-            if size >= CHUNK_BYTES:
+        lengths = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
+        start = 0
+        while start < len(lengths):
+            room = np.cumsum(lengths[start:])
+            end = start + max(1, int(np.searchsorted(room, CHUNK_BYTES - size, "right")))
+            held.append(batch.slice(start, end - start))
+            size += int(room[end - start - 1])
+            if size >= CHUNK_BYTES or end < len(lengths):
                 yield drawn()
                 held, size = [], 0
+            start = end
     if held:
         yield drawn()
 
 
-def split_rows(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that stay below ``most`` bytes where a single text allows it."""
-    if batch.nbytes <= most or batch.num_rows <= 1:
-        if batch.num_rows:
-            yield batch
-        return
-    half = batch.num_rows // 2
-    yield from split_rows(batch.slice(0, half), most)
-    yield from split_rows(batch.slice(half), most)
-
-
 def heavy_prefixes(rows: DataFrame, groups: int) -> np.ndarray:
     """Hashes of prefixes that may hold more than a ``HEAVY``-th of a group, up to ``DEPTH`` - 1 words long, sorted.
 
@@ -214,15 +209,14 @@ def blocks(rows: DataFrame, groups: int, heavy: np.ndarray) -> DataFrame:
                 extend &= in_sorted(hashes[depth - 1], heavy) & (own.codes[depth] > 0)
                 route[extend] = hashes[depth][extend]
             group = (route % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
+            order = np.argsort(group.astype(np.uint16) if groups <= 1 << 16 else group, kind="stable")
             edges = np.flatnonzero(np.diff(group[order])) + 1
-            parts = [pack(own, part) for part in np.split(order, edges)]
+            packed = [pack(own, part) for part in np.split(order, edges)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(group[order][np.concatenate([[0], edges])]), pa.array([p[0] for p in parts], pa.list_(pa.string())),
-                pa.array([p[1] for p in parts], pa.list_(pa.binary())), pa.array([p[2] for p in parts], pa.binary()),
-                pa.array([p[3] for p in parts], pa.int64())], names=["grp", "langs", "words", "packed", "n"])
+                pa.array(group[order][np.concatenate([[0], edges])]), pa.array([own.langs] * len(packed), pa.list_(pa.string())), pa.array(packed, pa.binary())],
+                names=["grp", "langs", "packed"])
 
-    return rows.mapInArrow(run, SUFFIXES)
+    return rows.mapInArrow(run, BLOCKS)
 
 
 def in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -232,36 +226,58 @@ def in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def pack(own: Suffixes, part: np.ndarray) -> tuple[list[str], list[bytes], bytes, int]:
-    """Languages, words, and the columns of codes and counts of some suffixes, compressed."""
-    columns = [own.lang[part], *(c[part] for c in own.codes)]
-    used = np.unique(np.concatenate(columns[1:]))
-    used = used[used > 0]
-    local = np.zeros(len(own.words) + 1, np.int32)
-    local[used] = np.arange(1, len(used) + 1, dtype=np.int32)
-    data = np.concatenate([columns[0], *(local[c] for c in columns[1:])]).astype(np.int32)
-    body = data.tobytes() + own.counts[part].astype(np.int64).tobytes()
-    words = own.words.take(pa.array(used - 1)).to_pylist()
-    return own.langs, words, pa.compress(body, codec="zstd", asbytes=True), len(part)
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the fewest bytes that hold them all."""
+    return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
+
+
+def pack(own: Suffixes, part: np.ndarray) -> bytes:
+    """Some suffixes in one string of bytes: sizes, languages, codes, counts, and the words that occur in them."""
+    codes = np.concatenate([c[part] for c in own.codes])
+    seen = np.zeros(len(own.words) + 1, bool)
+    seen[codes] = True
+    seen[0] = False
+    used = np.flatnonzero(seen)
+    local = np.zeros(len(seen), np.uint32)
+    local[used] = np.arange(1, len(used) + 1)
+    words = own.words.take(pa.array(used - 1))
+    columns = [narrow(own.lang[part]), narrow(local[codes]), narrow(own.counts[part]), narrow(pc.binary_length(words).to_numpy())]
+    head = np.array([x for c in columns for x in (len(c), c.itemsize)], np.int64)
+    return b"".join([head.tobytes(), *(c.tobytes() for c in columns), letters_of(words)])
+
+
+def letters_of(words: pa.Array) -> bytes:
+    """All words one after the other."""
+    if not len(words):
+        return b""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    return words.buffers()[2][int(ends[0]):int(ends[-1])].to_pybytes()
+
+
+def opened(packed: bytes) -> list[np.ndarray]:
+    """Languages, codes, counts, lengths of words, and their letters."""
+    head, at, out = np.frombuffer(packed, np.int64, 8), 64, []
+    for length, width in head.reshape(4, 2).tolist():
+        out.append(np.frombuffer(packed, f"u{width}", length, at))
+        at += length * width
+    return [*out, np.frombuffer(packed, np.uint8, offset=at)]
 
 
 def unpacked(table: pa.Table) -> Suffixes:
     """The suffixes of all blocks of a group, on one list of words, merged."""
     langs: dict[str, int] = {}
-    columns: list[list[np.ndarray]] = [[] for _ in range(DEPTH + 2)]
-    lists = table.column("words").combine_chunks()
-    coded = lists.flatten().dictionary_encode()
-    index, offsets = coded.indices.to_numpy().astype(np.int32) + 1, np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-    for i, (names, packed, n) in enumerate(zip(table.column("langs").to_pylist(), table.column("packed").to_pylist(), table.column("n").to_pylist())):
-        body = pa.decompress(packed, (4 * (DEPTH + 1) + 8) * n, codec="zstd", asbytes=True)
-        codes = np.frombuffer(body, np.int32, (DEPTH + 1) * n).reshape(DEPTH + 1, n)
-        columns[0].append(np.array([langs.setdefault(x, len(langs)) for x in names], np.int32)[codes[0]])
-        own = np.concatenate([[0], index[offsets[i]:offsets[i + 1]]]).astype(np.int32)
-        for k in range(1, DEPTH + 1):
-            columns[k].append(own[codes[k]])
-        columns[DEPTH + 1].append(np.frombuffer(body, np.int64, n, 4 * (DEPTH + 1) * n))
-    lang, *codes, counts = (np.concatenate(c) for c in columns)
-    return Suffixes(list(langs), coded.dictionary, lang, codes, counts).merged()
+    parts = [opened(x) for x in table.column("packed").to_pylist()]
+    lengths, letters = np.concatenate([p[3].astype(np.int64) for p in parts]), np.ascontiguousarray(np.concatenate([p[4] for p in parts]))
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    index = np.concatenate([[0], words.indices.to_numpy().astype(np.int32) + 1]).astype(np.int32)
+    lang, codes, at = [], [], 0
+    for names, (own_lang, own_codes, _, own_lengths, _) in zip(table.column("langs").to_pylist(), parts):
+        lang.append(np.array([langs.setdefault(x, len(langs)) for x in names], np.int32)[own_lang])
+        codes.append(index[np.where(own_codes > 0, own_codes.astype(np.int64) + at, 0)].reshape(DEPTH, -1))
+        at += len(own_lengths)
+    counts = np.concatenate([p[2].astype(np.int64) for p in parts])
+    return Suffixes(list(langs), words.dictionary.cast(pa.binary()), np.concatenate(lang), list(np.concatenate(codes, axis=1)), counts).merged()
 
 
 def nodes(docs: DataFrame, least: int = LEAST) -> DataFrame:
