@@ -1,10 +1,10 @@
 """What the operators of this subpackage share."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -26,6 +26,11 @@ def groups_for(docs: DataFrame, text_col: str = "text") -> int:
     return max(8, -(-size // TEXT_BYTES_PER_GROUP))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def with_columns(docs: DataFrame, fields: list[StructField], compute, rows: int = 512) -> DataFrame:
     """Adds columns that ``compute(batch)`` gives as lists, on slices of ``rows`` rows, without moving a row."""
     schema = StructType(docs.schema.fields + fields)

@@ -21,10 +21,10 @@ are kept, other columns left out; an empty table gives an empty result.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import SPACES, texts
+from tracewell.llm.common import SPACES, let, texts
 from tracewell.llm.spans import SPAN, counted, hits, listed, of_kinds, spans
 from tracewell.operators.skew import lookup_join
 from tracewell.storage import cut, keep
@@ -73,13 +73,15 @@ def base_spans(text: Column) -> Column:
 
 
 def mentions(text: Column) -> Column:
-    """Mentions with the word before each, lower-cased; empty where white space or the text's start stands before."""
-    def one(h: Column) -> Column:
-        before = F.regexp_replace(h["before"], f"[{SPACES}]+$", "")
-        return F.struct(h["start"].alias("start"), h["end"].alias("end"), F.lower(h["hit"]).alias("instance"),
-                        F.lower(F.regexp_extract(before, f"(?<![^{SPACES}])[^{SPACES}]++$", 0)).alias("pattern"))
+    """Mentions with the word before each, whatever it holds, lower-cased; empty where the text's start stands before."""
+    def with_pattern(found: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            earlier = F.when(h["before"] != "", h["before"]).when(i > 0, F.get(found, i - 1)["hit"]).otherwise("")
+            return F.struct(h["start"].alias("start"), h["end"].alias("end"), F.lower(h["hit"]).alias("instance"), F.lower(earlier).alias("pattern"))
 
-    return F.transform(hits(text, MENTION), one)
+        return F.transform(found, one)
+
+    return let(hits(text, MENTION, before=True), with_pattern)
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -101,11 +103,27 @@ def score(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return rated
 
 
+def seen_mentions(found: DataFrame) -> DataFrame:
+    """(doc_id, tag, start, end, instance, pattern, seed): every mention of ``places`` rows, a seed where a base span overlaps it.
+
+    Mentions and base spans of a document are brought into one order: the furthest end of the spans that begin no later
+    overlaps a mention, or the next span that begins inside it does.
+    """
+    rows = found.filter(F.size("mentions") > 0)
+    base = rows.select("doc_id", "tag", F.explode("base").alias("s")).select(
+        "doc_id", "tag", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit("").alias("instance"), F.lit("").alias("pattern"), F.lit(0).alias("asks"))
+    asked = rows.select("doc_id", "tag", F.explode("mentions").alias("m")).select("doc_id", "tag", "m.*", F.lit(1).alias("asks"))
+    own = Window.partitionBy("doc_id", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    furthest = F.max(F.when(F.col("asks") == 0, F.col("end"))).over(own.orderBy("start", "asks"))
+    nearest = F.min(F.when(F.col("asks") == 0, F.col("start"))).over(own.orderBy(F.col("start").desc(), F.col("asks").desc()))
+    both = base.unionByName(asked).withColumn("_furthest", furthest).withColumn("_nearest", nearest)
+    seed = F.coalesce(F.col("_furthest") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_nearest") < F.col("end"), F.lit(False))
+    return both.filter("asks = 1").select("doc_id", "tag", "start", "end", "instance", "pattern", seed.alias("seed"))
+
+
 def discovered(found: DataFrame) -> DataFrame:
     """(doc_id, tag, more): context spans of ``places`` rows that have any."""
-    rows = found.filter(F.size("mentions") > 0).select("doc_id", "tag", "base", F.explode("mentions").alias("m"))
-    seen = rows.select("doc_id", "tag", "m.*", F.exists("base", lambda s: (s["start"] < F.col("m")["end"]) & (s["end"] > F.col("m")["start"])).alias("seed"))
-    seen = seen.filter("pattern <> ''")
+    seen = keep(seen_mentions(found).filter("pattern <> ''"))
     edges = cut(seen.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
     good = cut(score(edges).filter((F.col("confidence") >= GOOD) & (F.col("seeds") >= SEEDS)).select("pattern"))
     new = lookup_join(seen.filter("NOT seed"), good, ["pattern"], "left_semi").distinct()

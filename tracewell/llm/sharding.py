@@ -25,11 +25,10 @@ stay, whatever their names; those added begin with ``_llm_`` until the end.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import let
 from tracewell.storage import cut, keep
 
 SHARDS = 24
@@ -39,11 +38,6 @@ PLACE_BITS = 33  # of a monotonically increasing id, within its partition
 REACH = 9  # standard deviations on either side of a mean, beyond which no 53-bit number falls
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def unit(*parts: Column | int) -> Column:
     """A number in [0, 1) from what names it."""
     return F.shiftrightunsigned(F.xxhash64(*(F.lit(p) if isinstance(p, int) else p for p in parts)), 11) / F.lit(float(1 << 53))
