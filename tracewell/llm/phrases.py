@@ -47,7 +47,7 @@ LEAST = 30
 COVERED = (80, 100)  # a longer phrase with this share of a candidate's count drops it
 SCALE = 2_000_000
 TOP = 2000
-GROUP_BYTES = 16 << 20  # of text whose suffixes a task holds at a time
+GROUP_BYTES = 8 << 20  # of text whose suffixes a task holds at a time
 HEAVY = 8  # a prefix is extended where it may hold more than this part of a group
 CHUNK_BYTES = 3 << 20  # of text that a task sorts at a time
 SALTS = 64  # parts of a language that are ranked by themselves
@@ -313,7 +313,8 @@ def nodes(docs: DataFrame, least: int = LEAST) -> DataFrame:
         out["a"].append(pa.array(total))
         return pa.table({k: pa.chunked_array(v) for k, v in out.items()})
 
-    parts = blocks(rows, groups, heavy).groupBy("grp").applyInArrow(build, "lang string, phrase string, size int, a long")
+    dealt = blocks(rows, groups, heavy).repartition(groups, "grp")  # as many tasks as groups, so none grows with the input
+    parts = dealt.groupBy("grp").applyInArrow(build, "lang string, phrase string, size int, a long")
     return parts.groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).filter((F.col("a") >= least) | (F.col("size") == 0))
 
 
