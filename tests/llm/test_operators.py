@@ -235,7 +235,6 @@ def test_base_spans(edge_docs, plain_rows, scan, plain):
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     path = str(tmp_path / "ledger")
     schema = "doc_id long, text string"
-    spark.createDataFrame([], secrets.LEDGER).write.parquet(path)
     first = spark.createDataFrame([(1, "token = abcdef1"), (2, "plain"), (3, "token = abcdef1")], schema)
     secrets.scan_all(first, path).collect()
     assert secrets.read_ledger(spark, path).count() == 2  # one row per content
@@ -244,10 +243,26 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert got == {4: ["assign"], 5: ["access"]}
     assert secrets.read_ledger(spark, path).count() == 3
     newer = [r for r in secrets.RULES if r.kind != "access"] + [secrets.Rule("access", 2, "B{16}")]
-    got = {r.doc_id: [s.kind for s in r.found] for r in secrets.scan_all(second, path, newer).collect()}
-    assert got[4] == ["assign"] and "access" in got[5]
-    assert all(r.rules == ["access@2"] for r in secrets.read_ledger(spark, path).collect() if len(r.rules) == 1)
+    got = {r.doc_id: [(s.kind, s.start) for s in r.found] for r in secrets.scan_all(second, path, newer).collect()}
+    assert got == {4: [("assign", 0)], 5: [("access", 4)]}  # of the version asked for, not of the one before
+    again = [list(r.found) for r in secrets.read_ledger(spark, path).collect()]
+    assert sorted(map(len, again)) == [1, 1, 5, 5, 5]  # a changed rule alone is applied to the blobs of the second call
     assert secrets.scan(first, secrets.read_ledger(spark, path)).count() == 0
+    back = {r.doc_id: [(s.kind, s.start) for s in r.found] for r in secrets.scan_all(second, path).collect()}
+    assert back == {4: [("assign", 0)], 5: [("access", 0)]}
+
+
+def test_findings_join_back_to_all_paths(spark, tmp_path):
+    """A path that held a secret once is reported after a later version without it."""
+    path, schema = str(tmp_path / "ledger"), "doc_id long, text string"
+    for text in ("token = abcdef1", "clean", "token = abcdef1"):
+        secrets.scan_all(spark.createDataFrame([(1, text), (None, text)], schema), path).collect()
+    rows = [(r.doc_id, [s.kind for s in r.found]) for r in secrets.report_all(spark, path).collect()]
+    assert sorted(rows, key=repr) == sorted([(1, ["assign"]), (1, []), (None, ["assign"]), (None, [])], key=repr)
+
+
+def test_scan_in_steps_equals_one_scan(spark, edge_docs):
+    assert rows_of(secrets.digests(secrets.scan_in_steps(edge_docs)), "doc_id", "spans") == rows_of(secrets.digests(secrets.scan_all(edge_docs)), "doc_id", "spans")
 
 
 def test_context_finds_more(spark):

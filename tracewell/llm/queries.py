@@ -72,7 +72,7 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN a USING (doc_id)
 """)
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.scan_all(table(spark, sf_dir, "documents")))
+    return secrets.digests(secrets.scan_in_steps(table(spark, sf_dir, "documents")))
 
 
 @query("op7_pii")
