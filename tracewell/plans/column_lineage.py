@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import columns as C
 from tracewell.operators import metadata as M
+from tracewell.operators import scopes as S
 from tracewell.operators import statements as T
 from tracewell.registry import query
 from tracewell.sources import fixture
@@ -340,13 +341,27 @@ WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0
 """)
 def lin_column_trace(spark, d):
     """Column lineage of the scheduled jobs from their texts: scopes, aliases, bare columns, WITH queries, unions."""
-    return C.trace_columns(due_refs(spark, d), fixture(spark, d, "f_meta_column"))
+    lines = S.trace_lines(due_refs(spark, d), fixture(spark, d, "f_meta_column"))
+    return lines.select("job_id", "stmt_no", "to_table", "pos", "to_name", F.explode("sources").alias("source"))
+
+
+# What each spelling of f_shapes truly reads into which column; the table is ods.a_.. where nothing else is said.
+SHAPE_LINES = """
+SELECT c_custkey AS job_id, concat('dw.', t, '_', c_custkey) AS to_table, CAST(pos AS INT) AS pos, to_name,
+       CASE src WHEN '' THEN '' WHEN 'own' THEN concat('default.t', c_custkey, '.k') WHEN 'both' THEN concat('ods.a_', c_custkey, '.k;ods.b_', c_custkey, '.k')
+       ELSE concat('ods.', substr(src, 1, 1), '_', c_custkey, substr(src, 2)) END AS sources
+FROM customer JOIN (VALUES
+  (0, 'd', 0, 'k', 'a.k'), (0, 'd', 1, 'v', 'b.v'), (1, 'd', 0, 'k', 'a.k'), (2, 'd', 0, 'k', 'a.k'), (3, 'd', 0, 'k', 'a.k'), (4, 'd', 0, 'y', 'a.ts'), (4, 'd', 1, '', 'a.n'),
+  (5, 'd', 0, 'k', 'a.k'), (6, 'd', 0, 'c', ''), (6, 'd', 1, 'e', ''), (7, 'd', 0, 'k', 'a.k'), (7, 'd', 1, 'k', 'b.k'), (8, 'd', 0, 'k', 'own'), (9, 'd', 0, 'p', 'a.v'),
+  (10, 'd', 0, 'k', 'a.k'), (10, 'e', 0, 'v', 'a.v'), (11, 'd', 0, 's', 'a.v'), (12, 'd', 0, 'k', 'a.k'), (13, 'd', 0, 'k', 'a.k'), (13, 'd', 1, '', ''),
+  (14, 'd', 0, 'k', 'both'), (15, 'd', 0, 'k', 'a.k')) l(shape, t, pos, to_name, src) ON c_custkey % 16 = shape
+"""
 
 
-@query("lin_subquery_trace", """
-SELECT c_custkey AS job_id, concat('dw.d_', c_custkey) AS to_table, 0 AS pos, 's' AS to_name, concat('ods.a_', c_custkey, '.v') AS source FROM customer WHERE c_custkey % 16 = 11
-""")
+@query("lin_subquery_trace", SHAPE_LINES)
 def lin_subquery_trace(spark, d):
-    """Column lineage through a query in FROM that is joined to a table, from the statement's text."""
-    nested = T.table_refs(fixture(spark, d, "f_shapes").filter("shape = 11"))
-    return C.trace_columns(nested, fixture(spark, d, "f_meta_column")).drop("stmt_no")
+    """Column lines of every spelling of statements from its text, against the columns it was made from."""
+    customers = fixture(spark, d, "f_shapes").select(F.col("id"))
+    known = customers.select(F.lit("ods").alias("database_name"), F.concat(F.lit("a_"), "id").alias("table_name"), F.posexplode(F.array(*map(F.lit, ("k", "v", "ts", "n")))).alias("ordinal", "column_name"))
+    lines = S.trace_lines(T.table_refs(fixture(spark, d, "f_shapes")), known)
+    return lines.select("job_id", "to_table", "pos", "to_name", F.array_join("sources", ";").alias("sources"))
