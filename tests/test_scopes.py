@@ -69,3 +69,27 @@ def test_nothing_to_trace(spark):
     jobs = spark.createDataFrame([(1, "use x"), (2, "analyze table t"), (3, "")], "id long, script string")
     meta = spark.createDataFrame(META, "database_name string, table_name string, column_name string, ordinal int")
     assert S.trace_lines(T.table_refs(jobs), meta).collect() == []
+
+
+def test_refresh_traces_only_changed_scripts(spark, tmp_path):
+    from tracewell.operators import relations as R
+
+    store, schema = str(tmp_path / "store"), "id long, script string"
+    meta = spark.createDataFrame([(*m, i, 1) for i, m in enumerate(META)], "database_name string, table_name string, column_name string, ordinal int, column_id long, table_id int")
+    texts = {i: f"insert into dw.a{i % 7} select t.k as x, t.v from ods.t1 t where t.k > {i % 5}" for i in range(60)}
+    before = spark.createDataFrame(list(texts.items()), schema)
+    first = R.refresh(before, meta, store)
+    assert first.count() == 120 and R.stored(before, store, "scripts").count() == 35  # a text is traced once
+    changed = {**texts, 3: "insert into dw.a3 select t.v as x from ods.t1 t", 4: None, 60: texts[0]}
+    after = spark.createDataFrame(list(changed.items()), schema)
+    assert [r.id for r in R.unseen(after, store).filter("script IS NOT NULL").collect()] == [3]
+    second = R.refresh(after, meta, store)
+    whole = R.refresh(after, meta, str(tmp_path / "other"))
+    assert sorted(map(repr, second.collect())) == sorted(map(repr, whole.collect()))
+    got = {(r.job_id, r.src, r.dst, r.change) for r in R.changes(first, second).collect()}
+    assert got == {(3, "ods.t1.v", "dw.a3.x", "added"), (3, "ods.t1.k", "dw.a3.x", "removed"), (3, "ods.t1.v", "dw.a3.v", "removed"),
+                   (4, "ods.t1.k", "dw.a4.x", "removed"), (4, "ods.t1.v", "dw.a4.v", "removed"), (60, "ods.t1.k", "dw.a0.x", "added"), (60, "ods.t1.v", "dw.a0.v", "added")}
+    assert R.unseen(before, store).count() == 0 and R.refresh(before, meta, store).count() == 120  # texts that come back cost nothing
+    assert R.unseen(before, store, "metadata of tomorrow").count() == 35
+    row = R.relations(second, meta).filter("job_id = 3").first()
+    assert (row.src, row.dst, row.from_column_id, row.from_table_id, row.column_id, row.condition) == ("ods.t1.v", "dw.a3.x", 4, 1, None, "")

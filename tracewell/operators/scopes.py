@@ -29,7 +29,7 @@ CLAUSES = ("select", "from", "where", "on", "join", "group", "order", "having",
 JOIN_WORDS = ("left", "right", "full", "inner", "cross")
 WORDS = (*SQL_WORDS, *CLAUSES, "cluster", "distribute", "insert", "into", "interval", "overwrite", "table", "values", "window")
 FRAME = ("rows", "range", "unbounded", "preceding", "following", "current", "row")
-TOKEN = LITERAL + r"|[A-Za-z_$][\w$]*(?:\.[\w$]+)*(?:\.\*)?|\d[\w.]*|[(),*\[\]]|[^\s\w(),*\[\]'\"$]+"
+TOKEN = LITERAL + r"|\$\{[^}]*\}|[A-Za-z_$][\w$]*(?:\.[\w$]+)*(?:\.\*)?|\d[\w.]*|[(),*\[\]]|[^\s\w(),*\[\]'\"$]+"
 KEYS = ["job_id", "stmt_no"]
 
 
@@ -110,7 +110,7 @@ def column_tokens(exprs: DataFrame) -> DataFrame:
     """(keys, scope, height, branch, kind, eid, p, ref, child): the columns, and the queries, that an expression names."""
     over = F.exists("toks", lambda x: x["l"] == "over")
     rows = exprs.filter("NOT star").select(*KEYS, "scope", "height", "branch", "kind", "eid", over.alias("over"), F.explode("toks").alias("x"))
-    column = (F.col("x.t").rlike(r"^[A-Za-z_$]") & (F.col("x.nxt") != "(") & ~F.col("x.l").isin(*WORDS) & ~((F.col("x.prv") == "as") & (F.col("x.rel") > 0))
+    column = (F.col("x.t").rlike(r"^[A-Za-z_$](?!\{)") & (F.col("x.nxt") != "(") & ~F.col("x.l").isin(*WORDS) & ~((F.col("x.prv") == "as") & (F.col("x.rel") > 0))
               & ~((F.col("x.nxt") == "from") & (F.col("x.rel") > 0)) & ~(F.col("over") & F.col("x.l").isin(*FRAME)) & ~(F.col("x.l").isin("date", "timestamp") & F.col("x.nxt").rlike("^['\"]"))
               & ~(F.col("x.prv").rlike(r"^\d") & F.col("x.l").isin("day", "days", "month", "months", "year", "years", "hour", "hours", "minute", "minutes", "second", "seconds")))
     kept = rows.withColumn("child", F.when(F.col("x.query"), F.col("x.p"))).filter(column | F.col("x.query"))

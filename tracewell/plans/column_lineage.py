@@ -3,10 +3,13 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import columns as C
 from tracewell.operators import metadata as M
+from tracewell.operators import relations as R
+from tracewell.operators import scripts as P
 from tracewell.operators import scopes as S
 from tracewell.operators import statements as T
 from tracewell.registry import query
 from tracewell.sources import fixture
+from tracewell.storage import scratch_path
 
 from .table_lineage import STMTS, due_refs, jobs_of, stmts_of
 
@@ -331,14 +334,17 @@ def lin_problem_jobs(spark, d):
     return M.unknown_ends(edge_ends(spark, d), old).groupBy(F.col("stmt_id").alias("job_id"), "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("lin_column_trace", """
+TRACED = """
 SELECT p_partkey AS job_id, CAST(n AS INT) AS stmt_no, to_table, CAST(pos AS INT) AS pos, to_name, source FROM (
   SELECT p_partkey, 2 AS n, concat('dw.dst_', CAST(floor(p_partkey / 7) AS BIGINT)) AS to_table, 0 AS pos, 'k' AS to_name, concat('ods.src_', CAST(floor(p_partkey / 4) AS BIGINT), '.k') AS source FROM part
   UNION ALL SELECT p_partkey, 2, concat('dw.dst_', CAST(floor(p_partkey / 7) AS BIGINT)), 1, 'v', concat('db_', p_size % 6, '.dim_', p_size % 10, '.v') FROM part
   UNION ALL SELECT p_partkey, 3, concat('db_', p_size % 6, '.rpt_', CAST(floor(p_partkey / 9) AS BIGINT)), pos, c, concat(t, '.', c)
   FROM part, (SELECT 0 AS pos, 'k' AS c UNION ALL SELECT 1, 'v') cs, LATERAL (SELECT concat('dw.dst_', CAST(floor(p_partkey / 7) AS BIGINT)) AS t UNION ALL SELECT concat('ods.src_', CAST(floor((p_partkey + 17) / 4) AS BIGINT))) ts)
 WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0
-""")
+"""
+
+
+@query("lin_column_trace", TRACED)
 def lin_column_trace(spark, d):
     """Column lineage of the scheduled jobs from their texts: scopes, aliases, bare columns, WITH queries, unions."""
     lines = S.trace_lines(due_refs(spark, d), fixture(spark, d, "f_meta_column"))
@@ -365,3 +371,19 @@ def lin_subquery_trace(spark, d):
     known = customers.select(F.lit("ods").alias("database_name"), F.concat(F.lit("a_"), "id").alias("table_name"), F.posexplode(F.array(*map(F.lit, ("k", "v", "ts", "n")))).alias("ordinal", "column_name"))
     lines = S.trace_lines(T.table_refs(fixture(spark, d, "f_shapes")), known)
     return lines.select("job_id", "to_table", "pos", "to_name", F.array_join("sources", ";").alias("sources"))
+
+
+@query("lin_script_relations", f"""
+SELECT t.job_id, t.stmt_no, t.source AS src, concat(t.to_table, '.', t.to_name) AS dst, i.column_id AS from_column_id, i.table_id AS from_table_id, o.column_id, o.table_id,
+       CASE t.stmt_no WHEN 2 THEN concat('LEFTOUTERJOIN:ods.src_', CAST(floor(p_partkey / 4) AS BIGINT), '.k = db_', p_size % 6, '.dim_', p_size % 10, '.k, WHERE:db_', p_size % 6, '.dim_', p_size % 10,
+              '.v > $', '{{{{limit}}}} and db_', p_size % 6, '.dim_', p_size % 10, '.env = ~$', '{{{{env}}}}~ and db_', p_size % 6, '.dim_', p_size % 10, '.pt = ~$', '{{{{yesterday}}}}~') ELSE '' END AS condition
+FROM ({TRACED}) t JOIN part ON p_partkey = t.job_id
+LEFT JOIN f_meta_column i ON concat(i.database_name, '.', i.table_name, '.', i.column_name) = t.source
+LEFT JOIN f_meta_column o ON concat(o.database_name, '.', o.table_name, '.', o.column_name) = concat(t.to_table, '.', t.to_name)
+""".replace("{{", "{").replace("}}", "}"), ("f_meta_column",))
+def lin_script_relations(spark, d):
+    """Relation rows of the scheduled jobs from their texts, when a hundredth of the scripts has changed since the lines were made."""
+    meta, store = fixture(spark, d, "f_meta_column"), scratch_path(spark, "relations")
+    jobs = P.scheduled_jobs(jobs_of(spark, d))
+    R.refresh(jobs.withColumn("script", F.when(F.col("id") % 100 == 1, F.replace("script", F.lit("nvl(b.v,0)"), F.lit("b.k"))).otherwise(F.col("script"))), meta, store)
+    return R.relations(R.refresh(jobs, meta, store), meta).select("job_id", "stmt_no", "src", "dst", "from_column_id", "from_table_id", "column_id", "table_id", "condition")
