@@ -182,9 +182,12 @@ def lin_dataset_reachable(spark, d):
     return G.exists_flag(probes, pairs, ["src", "dst"]).withColumn("is_ancestor", F.col("found") == 1).drop("found")
 
 
-@query("gr_unused_tables", ENDS + """
+@query("gr_unused_tables", ENDS.rstrip() + """,
+names AS MATERIALIZED (SELECT DISTINCT lower(name) AS key FROM ends),
+olds AS MATERIALIZED (SELECT DISTINCT concat(database_name, '.', table_name, '.', column_name) AS key, table_id FROM f_meta_column_old),
+used AS MATERIALIZED (SELECT DISTINCT olds.table_id FROM olds JOIN names ON names.key = olds.key)
 SELECT concat(t.database_name, '.', t.table_name) AS name, t.table_id FROM f_meta_table t
-WHERE t.table_id NOT IN (SELECT c.table_id FROM ends e JOIN f_meta_column_old c ON concat(c.database_name, '.', c.table_name, '.', c.column_name) = lower(e.name))
+WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.table_id = t.table_id)
 """, ("f_col_lines", "f_meta_column", "f_meta_table", "f_meta_column_old"))
 def gr_unused_tables(spark, d):
     used = M.used_tables(edge_ends(spark, d), fixture(spark, d, "f_meta_column_old"))
