@@ -40,10 +40,20 @@ def test_bpe_streams_long_pieces(library):
     rng = random.Random(2)
     for signs in ("ab", "thein", "aeiounst", "0123456789", "=-_"):
         text = "".join(rng.choice(signs) for _ in range(30_000))
-        assert list(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
     assert 0 < own.lookahead < 1024
 
 
+def test_bpe_ascii_texts_equal_library(library):
+    own = bpe.tokenizer(tokenizer_file())
+    rng = random.Random(3)
+    for signs in ("".join(map(chr, range(128))), "\x1c\x1d\x1e\x1f \t\n\x0b\x0c\rab1", "'stdmrevl ", "a1-'  \n"):
+        for n in (1, 2, 3, 60) * 50:
+            text = "".join(rng.choice(signs) for _ in range(n))
+            assert own.ascii_pieces.findall(text) == own.pieces.findall(text)
+            assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_lookahead_is_enough(library):
     """Tokens further than the lookahead from the end of a prefix are those of the whole."""
     own = bpe.tokenizer(tokenizer_file())

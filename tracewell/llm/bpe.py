@@ -23,8 +23,10 @@ import codecs
 import heapq
 import itertools
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,9 @@ from pyspark.sql.types import StringType, StructField
 from tracewell.llm.common import texts, with_columns
 
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the tokenizer's own pattern
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\x09-\x0D\x20A-Za-z0-9]+|[\x09-\x0D\x20]+(?![^\x09-\x0D\x20])|[\x09-\x0D\x20]+"  # what it matches in texts without other characters
 BLOCK = 1 << 16  # characters that are split at a time
-CACHED = 1 << 17  # pieces in each of the two generations that a worker remembers
+CACHED = 1 << 18  # pieces in each of the two generations that a worker remembers
 SHIFT = 24  # bits of an id in the key of a pair
 CACHED_CHARS = 32
 LONG_PIECE = 48  # tokens from which merging keeps a heap
@@ -69,11 +72,11 @@ class Tokenizer:
         self.made = [vocab[a + b] for a, b in pairs]
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.lookahead = sufficient_lookahead([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], self.bytes_of)
-        self.pieces = regex.compile(PIECES)
+        self.pieces, self.ascii_pieces = regex.compile(PIECES), re.compile(ASCII_PIECES)
         self.cut = regex.compile(r"(?<=\S)\s")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.earlier: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def merged(self, ids: list[int]) -> list[int]:
         """All merges of a short piece: the pair of lowest rank first, leftmost first among equals."""
@@ -133,13 +136,14 @@ class Tokenizer:
             start += end
         yield from self.merged([first[b] for b in data[start:]])
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """Tokens of one piece. Short ones are remembered, in two generations, so that frequent ones stay when one is full."""
+    def piece(self, piece: str) -> bytes:
+        """Tokens of one piece as packed int32. Short ones are remembered, in two generations, so that frequent ones stay when one is full."""
         if len(piece) > CACHED_CHARS:
-            return tuple(self.streamed(piece.encode()))
+            return np.fromiter(self.streamed(piece.encode()), np.int32).tobytes()
         found = self.earlier.get(piece)
         if found is None:
-            found = tuple(self.merged([self.first[b] for b in piece.encode()]))
+            ids = self.merged([self.first[b] for b in piece.encode()])
+            found = pack(f"{len(ids)}i", *ids)
         if len(self.recent) >= CACHED:
             self.earlier, self.recent = self.recent, {}
         self.recent[piece] = found
@@ -156,24 +160,24 @@ class Tokenizer:
             start = at.start()
         yield text[start:]
 
-    def encode(self, text: str) -> Iterator[int]:
-        """Token ids of a text, block by block."""
-        chain = itertools.chain.from_iterable
+    def packed(self, text: str) -> Iterator[bytes]:
+        """Token ids of a text as packed int32, block by block."""
         for part in self.marks.split(text) if self.marks else [text]:
             if part in self.special:
-                yield self.special[part]
+                yield pack("i", self.special[part])
                 continue
             for block in self.blocks(part):
+                pieces = self.ascii_pieces if block.isascii() else self.pieces
                 if len(block) > 2 * BLOCK:  # white space is far away: go piece by piece
-                    for found in self.pieces.finditer(block):
-                        piece = found.group()
-                        if len(piece) > CACHED_CHARS:
-                            yield from self.streamed(piece.encode())
-                        else:
-                            yield from self.recent.get(piece) or self.piece(piece)
+                    for found in pieces.finditer(block):
+                        yield self.recent.get(found.group()) or self.piece(found.group())
                     continue
-                pieces, seen = self.pieces.findall(block), self.recent
-                yield from chain([seen.get(p) or self.piece(p) for p in pieces])
+                seen = self.recent
+                yield b"".join([seen.get(p) or self.piece(p) for p in pieces.findall(block)])
+
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids of a text."""
+        return np.frombuffer(b"".join(self.packed(text)), np.int32)
 
     def decode(self, ids: list[int], step: int = 1 << 14) -> str:
         """The text of a list of ids; bytes of an unfinished character wait for the next step."""
@@ -214,7 +218,7 @@ def encode(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
         for batch in batches:
             first, found, size = 0, [], 0
             for at, text in enumerate(batch.column("text")):
-                ids = pa.array(np.fromiter(own.encode(text.as_py()), np.int32))
+                ids = pa.array(own.encode(text.as_py()))
                 found.append(ids)
                 size += len(ids)
                 if size >= OUT_TOKENS:
