@@ -1,4 +1,7 @@
 """Walks, reachability and merging on small graphs."""
+import itertools
+import random
+
 import pytest
 
 from tracewell.operators import graph as G
@@ -35,6 +38,42 @@ def test_the_limit_keeps_the_first_walks(spark):
     assert paths(G.search(edges, source="s", depth=2, limit=7)) == every[:7]
 
 
+def walks_between(edges, source, target, depth):
+    """All walks of up to ``depth`` edges that use no edge twice, as texts with their lengths, in text order for names of one length."""
+    def onward(node, text, used):
+        for a, b in sorted(edges):
+            if a == node and (a, b) not in used and len(used) < depth:
+                if b == target:
+                    yield f"{text} -> {b}", len(used) + 1
+                yield from onward(b, f"{text} -> {b}", used | {(a, b)})
+
+    yield from onward(source, source, frozenset())
+
+
+def test_first_walks_between_equal_all_walks(spark):
+    rng = random.Random(3)
+    for n, m, depth in ((4, 7, 5), (3, 9, 9)):
+        edges = {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)} | {("n0", "n1")}
+        frame = spark.createDataFrame(sorted(edges), "src string, dst string")
+        every = list(walks_between(edges, "n0", "n1", depth))
+        assert every == sorted(every)
+        for limit in (5, 10_000):
+            assert paths(G.search(frame, source="n0", target="n1", depth=depth, limit=limit)) == every[:limit]
+    assert paths(G.search(frame, source="n0", target="none", depth=3, limit=5)) == []
+    assert G.search(frame, source="n0", target="n1", depth=2, limit=0).count() == 0
+
+
+def test_first_walks_keep_few_rows_of_very_many(spark):
+    """Eight nodes with edges both ways between all: over five million walks of up to eight edges, but at most 2 x 10 + 1 rows a node."""
+    names = [f"n{i}" for i in range(8)]
+    edges = G.cut(spark.createDataFrame([(a, b) for a in names for b in names if a != b], "src string, dst string"))
+    near = G.reachable_within(edges, spark.createDataFrame([("n0",)], "start string"), 7)
+    rows = G._onward(edges, "n7", near, 8, 20).groupBy("src").count().collect()
+    assert rows and all(r["count"] <= 21 for r in rows)
+    every = walks_between({tuple(r) for r in edges.collect()}, "n0", "n7", 8)
+    assert paths(G.search(edges, source="n0", target="n7", depth=8, limit=10)) == list(itertools.islice(every, 10))
+
+
 def test_search_needs_an_end(cyclic):
     with pytest.raises(ValueError):
         G.search(cyclic)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.skew import lookup_join
@@ -100,6 +100,51 @@ def _walk(edges: DataFrame, start: str, depth: int, limit: int | None, forward:
     return reduce(DataFrame.unionByName, levels)
 
 
+def _onward(edges: DataFrame, target: str, near: DataFrame, depth: int, width: int) -> DataFrame:
+    """(src, walk, used): the first ``width`` walks from nodes on to ``target``, the node itself not written.
+
+    Made backwards: the first walks with one edge more are an edge before the first
+    walks of the node it leads to. ``near`` holds how far nodes are from the source; only
+    those that a walk of ``depth`` edges can still use get rows, at most ``width`` + 1 each. A
+    row without ``used`` says that walks from this text on are not known: what lay behind
+    it was left out, here or at a node further on.
+    """
+    edge = F.concat_ws(ARROW, "src", "dst")
+    last = edges.filter(F.col("dst") == target).select("src", F.col("dst").alias("walk"), F.array(edge).alias("used"))
+    order = Window.partitionBy("src").orderBy("walk", F.col("used").isNotNull())
+    onward = None
+    for left in range(1, depth + 1):
+        grown = last
+        if onward is not None:
+            longer = lookup_join(edges, onward.withColumnRenamed("src", "dst"), ["dst"])
+            longer = longer.filter(F.coalesce(~F.array_contains("used", edge), F.lit(True)))
+            grown = last.unionByName(longer.select("src", F.concat_ws(ARROW, "dst", "walk").alias("walk"), F.array_append("used", edge).alias("used")))
+        grown = grown.join(near.filter(F.col("distance") <= depth - left).select(F.col("name").alias("src")), "src", "left_semi")
+        first = grown.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= width + 1)
+        first = first.withColumn("used", F.when(F.col("_n") <= width, F.col("used")))
+        open_from = F.min(F.when(F.col("used").isNull(), F.col("_n"))).over(Window.partitionBy("src"))
+        onward = cut(first.withColumn("_open", open_from).filter("_open IS NULL OR _n <= _open").select("src", "walk", "used"))
+    return onward
+
+
+def _between(edges: DataFrame, source: str, target: str, depth: int, limit: int) -> DataFrame:
+    """(walk, depth) of the first ``limit`` walks between two nodes.
+
+    Walks that use an edge twice fall out on the way, so the lists kept per node may
+    not reach far enough; they are then made four times as long, until the source has
+    ``limit`` walks or nothing was left out that could come before them.
+    """
+    near = reachable_within(edges, edges.sparkSession.range(1).select(F.lit(source).alias("start")), depth - 1)
+    width = 2 * max(limit, 1)
+    while True:
+        onward = _onward(edges, target, near, depth, width).filter(F.col("src") == source)
+        known, left_out = onward.agg(F.count("used"), F.count(F.when(F.col("used").isNull(), 1))).first()  # one list
+        if known >= limit or not left_out:
+            break
+        width *= 4
+    return onward.filter("used IS NOT NULL").select(F.concat_ws(ARROW, "src", "walk").alias("walk"), F.size("used").alias("depth"))
+
+
 def search(edges: DataFrame, source: str | None = None, target: str | None = None, depth: int = 1, limit: int | None = 10) -> DataFrame:
     """(path, depth) of the walks leaving ``source``, arriving at ``target``, or between them.
 
@@ -111,7 +156,9 @@ def search(edges: DataFrame, source: str | None = None, target: str | None = Non
     if depth < 1:
         raise ValueError("depth must be at least 1")
     edges = cut(edges.select("src", "dst").distinct())
-    if source is not None and target is not None:
+    if source is not None and target is not None and limit is not None:
+        found = _between(edges, source, target, depth, limit)
+    elif source is not None and target is not None:
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         target_row = edges.sparkSession.range(1).select(F.lit(target).alias("start"))
         inside = reachable_within(back, target_row, depth)
