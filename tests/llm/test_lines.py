@@ -1,6 +1,7 @@
 """Line deduplication leaves no block behind."""
 import random
 
+import numpy as np
 from conftest import prose
 
 from tracewell.llm import lines
@@ -18,6 +19,16 @@ def test_repeated_passages_are_aligned():
         assert bool(gone) == bool(set(a) & set(b))
 
 
+def test_only_aligned_lines_go():
+    a, b, sizes = [1, 2, 3, 4, 9, 5], [5, 7, 3, 4, 1, 2], [60, 60, 60, 60, 5, 60]
+    def runs(*rows):
+        return tuple(np.array(c, np.int32) for c in zip(*rows))
+    assert lines.aligned_lines(a, b, sizes, runs((0, 2, 4), (2, 4, 2)), 100).tolist() == [0, 1, 2, 3]
+    assert lines.common_blocks(a, b, sizes, 100) == [2, 3]  # the order of both is kept, so one of two moved blocks is left
+    assert lines.aligned_lines([1, 2], [3, 4], [60, 60], runs((0, 2, 0)), 100).tolist() == []  # a run whose lines are not equal
+    assert lines.left_stretches(np.zeros(6, bool), *runs((0, 2, 3), (1, 3, 4), (3, 5, 6), (2, 4, 9))) == [(2, 4, -7), (0, 5, -3)]
+
+
 def brute_left(rows, least):
     """What each document keeps, by all blocks that it has in common with any earlier document."""
     left = {}

@@ -13,9 +13,10 @@ both, their longest increasing chain, and the same again between the anchors;
 stretches without such lines are matched from both ends, and then by the k-th of
 equal lines with the k-th, so that a stretch with a common line is never left. Aligned blocks of at
 least ``MIN_BLOCK`` characters are deleted from the later document. Alignment keeps the
-order of both and sees first holders only, so it leaves moved blocks, further copies of
-a block in one document, and blocks that stand whole in a later holder; those runs are
-matched by themselves, each with its equal in the first holder. What is deleted is so
+order of both and sees the whole of the first holder, so it leaves moved blocks, further
+copies of a block in one document, and blocks of which the holder has a part. The runs it
+leaves give the stretches that are aligned again, by themselves, with the place where the
+holder has them. Only aligned lines are deleted, a run alone deletes nothing; together they are
 just what lies in a block of at least ``MIN_BLOCK`` characters that any earlier document
 has. All is judged on the input, so the first document that has a block always keeps it.
 
@@ -94,11 +95,11 @@ def runs(arrays: DataFrame, least: int) -> DataFrame:
 
 
 def partners(found: DataFrame) -> DataFrame:
-    """(id, tag, to_id, to_tag, spans): each document with the first holder of each of its runs and the lines of these."""
-    first = found.groupBy("run").agg(F.min(F.struct("id", "tag")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """(id, tag, to_id, to_tag, spans): each document with the first holder of each of its runs, the lines of these and where they begin there."""
+    first = found.groupBy("run").agg(F.min(F.struct("id", "tag", "start")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = found.join(first, "run").filter("id <> f.id OR tag <> f.tag")
     return met.groupBy("id", "tag", F.col("f.id").alias("to_id"), F.col("f.tag").alias("to_tag")).agg(
-        F.collect_list(F.struct("start", "end")).alias("spans"))  # of one document
+        F.collect_list(F.struct("start", "end", F.col("f.start").alias("to_start"))).alias("spans"))  # of one document
 
 
 def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -173,12 +174,27 @@ def common_blocks(a: list[int], b: list[int], sizes: list[int], least: int) -> l
     return out
 
 
-def with_spans(gone: list[int], starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """``gone`` of ``n`` lines and those of the runs that it leaves."""
-    steps = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
-    out = np.cumsum(steps)[:n] > 0
-    out[gone] = True
-    return np.flatnonzero(out).astype(np.int32)
+def left_stretches(gone: np.ndarray, starts: np.ndarray, ends: np.ndarray, to_starts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, shift) of the runs with a line that is not ``gone``; those of one shift that touch are one stretch."""
+    kept = np.concatenate([[0], np.cumsum(~gone)])
+    open_runs = kept[ends] > kept[starts]
+    out: list[tuple[int, int, int]] = []
+    for shift, start, end in sorted(zip((starts - to_starts)[open_runs].tolist(), starts[open_runs].tolist(), ends[open_runs].tolist())):
+        if out and out[-1][2] == shift and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), shift)
+        else:
+            out.append((start, end, shift))
+    return out
+
+
+def aligned_lines(a: list[int], b: list[int], sizes: list[int], runs: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> np.ndarray:
+    """Lines of ``a`` in aligned blocks, of the whole documents first, then of the stretches of ``runs`` that are left."""
+    gone = np.zeros(len(a), bool)
+    gone[common_blocks(a, b, sizes, least)] = True
+    for start, end, shift in left_stretches(gone, *runs):
+        found = common_blocks(a[start:end], b[start - shift:end - shift], sizes[start:end], least)
+        gone[[start + i for i in found]] = True
+    return np.flatnonzero(gone).astype(np.int32)
 
 
 def deletions(rows: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
@@ -193,10 +209,10 @@ def deletions(rows: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
         for batch in batches:
             ids, tags, found = [], [], []
             for row_id, tag, mine, sizes, theirs, spans in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns))):
-                gone = common_blocks(mine.as_py(), theirs.as_py(), sizes.as_py(), least)
+                shared = tuple(spans.values.field(c).to_numpy() for c in ("start", "end", "to_start"))
                 ids.append(row_id)
                 tags.append(tag)
-                found.append(with_spans(gone, spans.values.field("start").to_numpy(), spans.values.field("end").to_numpy(), len(sizes)))
+                found.append(aligned_lines(mine.as_py(), theirs.as_py(), sizes.as_py(), shared, least))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["id", "tag", "deleted"])
 
     pieces = both.mapInArrow(align, "id long, tag long, deleted array<int>")
