@@ -87,6 +87,41 @@ def test_reachable_stops_on_cycles(cyclic, spark):
     assert got == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2)}
 
 
+def test_reach_goes_with_64_starts_in_a_row(spark):
+    """A ring of 12 nodes with a chord, all of them starts: rows per level go with batches and nodes, not with starts."""
+    pairs = [(i, (i + 1) % 12) for i in range(12)] + [(0, 6)]
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    starts = G.cut(spark.createDataFrame([(f"n{i}",) for i in range(0, 12, 2)] + [(None,)], "start string").coalesce(1))
+
+    def distances(start):
+        far, work = {start: 0}, [start]
+        for a in work:
+            for x, b in pairs:
+                if x == a and b not in far:
+                    far[b] = far[a] + 1
+                    work.append(b)
+        return far
+
+    short = G.cut(edges.filter("src NOT IN ('n9')"))
+    pairs = [(a, b) for a, b in pairs if a != 9]
+    want = {(f"n{s}", f"n{b}", d) for s in range(0, 12, 2) for b, d in distances(s).items() if d}
+    assert {tuple(r) for r in G.reachable(short, starts).collect()} == want
+    probes = spark.createDataFrame([(i, f"n{i % 12}", f"n{i * 7 % 12}") for i in range(200)] + [(900, None, "n1"), (901, "x", "n1"), (902, "n1", None)], "id int, src string, dst string")
+    linked = {i for i in range(200) if distances(i % 12).get(i * 7 % 12)}
+    got = {r["id"]: r["found"] for r in G.reaches(short, probes).collect()}
+    assert len(got) == 203 and {i for i, found in got.items() if found} == linked
+
+
+def test_sixty_four_bits_are_all_used(spark):
+    starts = [f"s{i}" for i in range(200)]
+    edges = spark.createDataFrame([(s, "hub") for s in starts] + [("hub", "end")], "src string, dst string")
+    numbered = G.numbered_starts(spark.createDataFrame([(s,) for s in starts], "start string").coalesce(1))
+    levels = G.reach_levels(edges, numbered)
+    assert len(levels) == 3 and sum(level.filter("name = 'end'").count() for level in levels) == numbered.select("batch").distinct().count()
+    got = {tuple(r) for r in G.reachable(edges, numbered.select("start")).collect()}
+    assert got == {(s, n, d) for s in starts for n, d in (("hub", 1), ("end", 2))}
+
+
 def test_merging(spark):
     old = spark.createDataFrame([("a", "b", "1"), ("a", "c", "1")], "src string, dst string, props string")
     new = spark.createDataFrame([("a", "b", "2"), ("x", "y", "2")], "src string, dst string, props string")

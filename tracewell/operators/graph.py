@@ -7,7 +7,6 @@ very many neighbours are dealt over several tasks in each step.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,26 +53,58 @@ def degrees(edges: DataFrame) -> DataFrame:
     return counted.withColumn("kind", F.when(F.col("n_in") == 0, "root").when(F.col("n_out") == 0, "leaf").otherwise("inner"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, name, distance): shortest distances from every start, cycles included.
+def numbered_starts(starts: DataFrame) -> DataFrame:
+    """(start, batch, bit): distinct starts in batches of up to 64, each with a bit of its own."""
+    numbers = starts.filter("start IS NOT NULL").select("start").distinct().withColumn("_n", F.monotonically_increasing_id())
+    return cut(numbers.select("start", F.expr("_n div 64").alias("batch"), F.expr("cast(_n % 64 as int)").alias("bit")))
+
 
-    ``starts`` has a column ``start``. A node is expanded once per start.
+def reach_levels(edges: DataFrame, numbered: DataFrame) -> list[DataFrame]:
+    """One frame (batch, name, bits) per distance from 0 on: the starts of a batch that reach a node first there, as bits.
+
+    A row stands for up to 64 starts, rows of a node are made one with OR before and after
+    the shuffle, and a node is expanded once per start.
     """
     distinct_edges = cut(edges.select("src", "dst").distinct())
-    frontier = cut(starts.select("start").distinct().select("start", F.col("start").alias("src")))
-    visited = frontier.select("start", F.col("src").alias("name"))
-    levels = []
-    for distance in count(1):
-        step = lookup_join(distinct_edges, frontier, ["src"]).select("start", F.col("dst").alias("name")).distinct()
-        fresh = cut(step.join(visited, ["start", "name"], "left_anti"))
+    levels = [cut(numbered.groupBy("batch", F.col("start").alias("name")).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))]
+    while True:
+        frontier = levels[-1].withColumnRenamed("name", "src")
+        step = lookup_join(distinct_edges, frontier, ["src"]).select("batch", F.col("dst").alias("name"), F.col("bits").alias("_new"), F.lit(0).cast("long").alias("_old"))
+        seen = reduce(DataFrame.unionByName, levels).select("batch", "name", F.lit(0).cast("long").alias("_new"), F.col("bits").alias("_old"))
+        merged = step.unionByName(seen).groupBy("batch", "name").agg(F.bit_or("_new").alias("_new"), F.bit_or("_old").alias("_old"))
+        fresh = cut(merged.select("batch", "name", F.expr("_new & ~_old").alias("bits")).filter("bits <> 0"))
         if fresh.isEmpty():
-            break
-        levels.append(fresh.withColumn("distance", F.lit(distance)))
-        visited = visited.unionByName(fresh)
-        frontier = fresh.select("start", F.col("name").alias("src"))
+            return levels
+        levels.append(fresh)
+
+
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, name, distance): shortest distances from every start, cycles included.
+
+    ``starts`` has a column ``start``. The walk goes with 64 starts in a row; a row per
+    start and node is made of the result only.
+    """
+    numbered = numbered_starts(starts)
+    levels = [level.withColumn("distance", F.lit(at)) for at, level in enumerate(reach_levels(edges, numbered)) if at]
     if not levels:
-        return visited.limit(0).withColumn("distance", F.lit(0))
-    return reduce(DataFrame.unionByName, levels)
+        return numbered.limit(0).select("start", F.col("start").alias("name"), F.lit(0).alias("distance"))
+    single = reduce(DataFrame.unionByName, levels).select(
+        "batch", "name", "distance", F.explode(F.expr("filter(sequence(0, 63), b -> shiftrightunsigned(bits, b) & 1L = 1L)")).alias("bit"))
+    return lookup_join(single, numbered, ["batch", "bit"]).select("start", "name", "distance")
+
+
+def reaches(edges: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probes`` (src, dst, ..) with ``found``: does a walk of one edge or more that does not end where it starts lead from src to dst?
+
+    Probes look up the bit of their start at their end; pairs that nobody asks for are never rows.
+    """
+    numbered = numbered_starts(probes.select(F.col("src").alias("start")))
+    first, *later = reach_levels(edges, numbered)
+    ends = reduce(DataFrame.unionByName, later) if later else first.limit(0)
+    bits = cut(ends.groupBy("batch", F.col("name").alias("dst")).agg(F.bit_or("bits").alias("_bits")))
+    known = lookup_join(probes, numbered.withColumnRenamed("start", "src"), ["src"], "left")
+    marked = lookup_join(known, bits, ["batch", "dst"], "left")
+    return marked.withColumn("found", F.coalesce(F.expr("shiftrightunsigned(_bits, bit) & 1L = 1L"), F.lit(False))).drop("_bits", "batch", "bit")
 
 
 def _walk(edges: DataFrame, start: str, depth: int, limit: int | None, forward: bool, inside: DataFrame | None = None) -> DataFrame:

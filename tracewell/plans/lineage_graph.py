@@ -177,9 +177,7 @@ def lin_dataset_reachable(spark, d):
     probes = (table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
               .select(F.col("s_suppkey").alias("probe_id"), F.concat(F.lit("dim."), "n_name").alias("src"),
                       F.concat(F.lit("dws.Brand#"), F.col("s_suppkey") % 27 + 1).alias("dst")))
-    reach = G.reachable(layered_edges(spark, d), probes.select(F.col("src").alias("start")))
-    pairs = reach.select(F.col("start").alias("src"), F.col("name").alias("dst"))
-    return G.exists_flag(probes, pairs, ["src", "dst"]).withColumn("is_ancestor", F.col("found") == 1).drop("found")
+    return G.reaches(layered_edges(spark, d), probes).withColumnRenamed("found", "is_ancestor")
 
 
 @query("gr_unused_tables", ENDS.rstrip() + """,
