@@ -97,3 +97,27 @@ def test_lenient_forms(spark):
     row = spark.range(1).selectExpr(
         "try_divide(1, 0) AS a", "try_cast('x' AS int) AS b", "get(array(1), 5) AS c", "coalesce(size(CAST(NULL AS array<int>)), -1) AS d").first()
     assert tuple(row) == (None, None, None, -1)
+
+
+def test_whole_numbers_beyond_doubles(spark):
+    from tracewell.operators.profiling import column_stats
+    df = spark.createDataFrame([(9007199254740993, 1.5, "a"), (-9007199254740993, None, None), (None, 2.5, "b")], "n long, x double, t string")
+    found = {r.column_name: r for r in column_stats(df).collect()}
+    assert (found["n"].min_integer, found["n"].max_integer) == (-9007199254740993, 9007199254740993)
+    assert found["x"].max_integer is None and found["x"].max_number == 2.5
+    assert found["t"].max_integer is None and (found["t"].min_text, found["t"].n_nulls) == ("a", 1)
+
+
+def test_count_min_estimates(spark):
+    """A sketch wide enough gives true counts; a narrow one none below them; nulls and numbers that were never counted."""
+    from tracewell.operators.aggregates import count_min_estimate
+    rows = spark.range(2000).selectExpr("case when id % 3 = 0 then 7L else (id % 50) - 25 end as k")
+    true = {r.k: r["count"] for r in rows.groupBy("k").count().collect()}
+    for error in (0.0005, 0.2):
+        sketch = rows.agg(F.hex(F.count_min_sketch("k", F.lit(error), F.lit(0.95), F.lit(1))).alias("sketch"))
+        asked = spark.createDataFrame([(k,) for k in [*true, 4_000_000_000, None]], "k long")
+        got = {r.k: r.n for r in asked.crossJoin(sketch).select("k", count_min_estimate(F.col("sketch"), F.col("k")).alias("n")).collect()}
+        assert got[None] is None and got[4_000_000_000] >= 0
+        assert all(got[k] >= n for k, n in true.items())
+        if error < 0.01:
+            assert {k: got[k] for k in true} == true

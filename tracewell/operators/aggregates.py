@@ -52,3 +52,29 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     rest = [c for c in df.columns if c not in keys]
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return best.select(*keys, "_row.*")
+
+
+def count_min_size(sketch: Column, part: str) -> Column:
+    """``total``, ``depth`` or ``width`` out of the head of a count-min sketch given in hexadecimal."""
+    first, digits = {"total": (9, 16), "depth": (25, 8), "width": (33, 8)}[part]
+    return F.conv(F.substring(sketch, first, digits), 16, 10).cast("bigint")
+
+
+def count_min_estimate(sketch: Column, item: Column) -> Column:
+    """How often a whole number was counted, read from a count-min sketch given in hexadecimal.
+
+    The least of its cells, one per row of the table; never below the true count.
+    Takes numbers of at most 32 bits, whose products with the multipliers fit into 64;
+    a null item or sketch gives null.
+    """
+    depth, width = count_min_size(sketch, "depth"), count_min_size(sketch, "width")
+
+    def long_at(place: Column) -> Column:  # the places behind the head: the multipliers, then the table
+        return F.conv(F.substr(sketch, (place * 16 + 41).cast("int"), F.lit(16)), 16, 10).cast("bigint")
+
+    def cell(row: Column) -> Column:
+        product = long_at(row) * item.cast("bigint")
+        folded = (product + F.shiftright(product, 32)).bitwiseAND(F.lit((1 << 31) - 1))
+        return long_at(depth + row * width + folded % width)
+
+    return F.array_min(F.transform(F.sequence(F.lit(0).cast("bigint"), depth - 1), cell))

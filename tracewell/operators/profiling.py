@@ -3,26 +3,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from tracewell.operators.skew import running
 from tracewell.operators.windows import ntile
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
 
 def column_stats(df: DataFrame) -> DataFrame:
     """One row per column: values, nulls, distinct, min, max, average and longest text length.
 
     Each column becomes (column, text, length) rows counted per value before
-    anything meets in one place; numbers compare by their numeric value.
+    anything meets in one place; numbers compare by their numeric value, whole
+    numbers exactly (``min_integer``, ``max_integer``), as not all of them are doubles.
     """
     fields = df.schema.fields
+
+    def kind(field: StructField) -> str:
+        return field.dataType.simpleString()
+
     entries = F.array(*[F.struct(
         F.lit(f.name).alias("column_name"), F.col(f.name).cast("string").alias("text"),
-        (F.col(f.name).cast("double") if f.dataType.simpleString() in ("int", "bigint", "double", "float") else F.lit(None).cast("double")).alias("number"))
+        (F.col(f.name) if kind(f) in (*INTEGERS, "double", "float") else F.lit(None)).cast("double").alias("number"),
+        (F.col(f.name) if kind(f) in INTEGERS else F.lit(None)).cast("decimal(20,0)").alias("whole"))
         for f in fields])
-    counted = df.select(F.explode(entries).alias("e")).groupBy("e.column_name", "e.text", "e.number").agg(F.count(F.lit(1)).alias("n"))
+    counted = df.select(F.explode(entries).alias("e")).groupBy("e.column_name", "e.text", "e.number", "e.whole").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("column_name").agg(
         F.sum("n").alias("n_rows"), F.sum(F.when(F.col("text").isNull(), F.col("n")).otherwise(0)).alias("n_nulls"),
         F.count("text").alias("n_distinct"), F.min("number").alias("min_number"), F.max("number").alias("max_number"),
+        F.min("whole").alias("min_integer"), F.max("whole").alias("max_integer"),
         F.min(F.when(F.col("number").isNull(), F.col("text"))).alias("min_text"), F.max(F.when(F.col("number").isNull(), F.col("text"))).alias("max_text"),
         F.round(F.sum(F.when(F.col("number").isNull(), F.length("text") * F.col("n"))) / F.sum(F.when(F.col("number").isNull() & F.col("text").isNotNull(), F.col("n"))), 6).alias("avg_length"),
         F.max(F.when(F.col("number").isNull(), F.length("text"))).alias("max_length"))

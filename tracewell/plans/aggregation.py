@@ -1,7 +1,8 @@
 """Aggregation and reshaping queries."""
 from pyspark.sql import functions as F
 
-from tracewell.operators.aggregates import exact_percentiles, frequency_percentiles, interval_of, one_per_key
+from tracewell.operators.aggregates import count_min_estimate, count_min_size, exact_percentiles, frequency_percentiles, interval_of, one_per_key
+from tracewell.operators.skew import lookup_join
 from tracewell.registry import query
 from tracewell.sources import run_sql, table
 
@@ -181,6 +182,19 @@ def agg_cms(spark, d):
     return sketches.select("l_returnflag", number(9, 16).alias("total"), number(25, 8).alias("depth"), number(33, 8).alias("width"))
 
 
+@query("agg_cms_estimates", "SELECT l_returnflag, count(*) AS n_parts, sum(n) AS total, TRUE AS never_below, TRUE AS within FROM (SELECT l_returnflag, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def agg_cms_estimates(spark, d):
+    """Every part's count out of the sketch of its flag: at or above the true count, and within the error for the asked share of parts."""
+    error, share = 0.01, 0.95
+    df = table(spark, d, "lineitem")
+    sketches = df.groupBy("l_returnflag").agg(F.hex(F.count_min_sketch("l_partkey", F.lit(error), F.lit(share), F.lit(42))).alias("sketch"))
+    parts = lookup_join(df.groupBy("l_returnflag", "l_partkey").agg(F.count(F.lit(1)).alias("n")), sketches, ["l_returnflag"])
+    read = parts.select("l_returnflag", "n", count_min_size(F.col("sketch"), "total").alias("total"), count_min_estimate(F.col("sketch"), F.col("l_partkey")).alias("estimate"))
+    return read.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n_parts"), F.sum("n").alias("total"), F.min(F.col("estimate") >= F.col("n")).alias("never_below"),
+        (F.count_if(F.col("estimate") <= F.col("n") + error * F.col("total")) >= share * F.count(F.lit(1))).alias("within"))
+
+
 @query("agg_case_filter", """
 SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS done, count(DISTINCT CASE WHEN o_totalprice > 200000 THEN o_custkey END) AS big_customers,
        round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END), 4) AS open_value FROM orders GROUP BY 1

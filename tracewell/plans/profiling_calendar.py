@@ -18,14 +18,15 @@ def prof_table_stats(spark, d):
     return out
 
 
-def _stats_sql(numbers, texts):
+def _stats_sql(numbers, wholes, texts):
     parts = [f"""SELECT '{c}' AS column_name, count(*) AS n_rows, CAST(count(*) - count({c}) AS BIGINT) AS n_nulls, count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS DOUBLE) AS min_number, CAST(max({c}) AS DOUBLE) AS max_number,
+        {f"CAST(min({c}) AS DECIMAL(20,0))" if c in wholes else "NULL::DECIMAL(20,0)"} AS min_integer, {f"CAST(max({c}) AS DECIMAL(20,0))" if c in wholes else "NULL::DECIMAL(20,0)"} AS max_integer,
         NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text, NULL::DOUBLE AS avg_length, NULL::INT AS max_length FROM part""" for c in numbers]
-    parts += [f"""SELECT '{c}', count(*), CAST(count(*) - count({c}) AS BIGINT), count(DISTINCT {c}), NULL, NULL, min({c}), max({c}), round(avg(length({c})), 6), CAST(max(length({c})) AS INT) FROM part""" for c in texts]
+    parts += [f"""SELECT '{c}', count(*), CAST(count(*) - count({c}) AS BIGINT), count(DISTINCT {c}), NULL, NULL, NULL, NULL, min({c}), max({c}), round(avg(length({c})), 6), CAST(max(length({c})) AS INT) FROM part""" for c in texts]
     return " UNION ALL ".join(parts)
 
 
-@query("prof_column_stats", _stats_sql(["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"]))
+@query("prof_column_stats", _stats_sql(["p_partkey", "p_size", "p_retailprice"], ["p_partkey", "p_size"], ["p_name", "p_brand", "p_type"]))
 def prof_column_stats(spark, d):
     return P.column_stats(table(spark, d, "part"))
 
