@@ -121,3 +121,15 @@ def test_count_min_estimates(spark):
         assert all(got[k] >= n for k, n in true.items())
         if error < 0.01:
             assert {k: got[k] for k in true} == true
+
+
+def test_merged_summaries_equal_the_truth_within_the_error(spark):
+    from tracewell.operators.profiling import merged, summaries
+    rows = spark.range(20000).selectExpr("id % 30 as day", "id % 2 as k", "case when id % 10 = 0 then null else id * 7919 % 20000 end as v", "id % 777 as e")
+    whole = {r.k: r for r in merged(summaries(rows, ["day", "k"], "v", "e"), [F.col("k")]).select(
+        "k", F.kll_sketch_get_n_double("quantiles").alias("n"), F.kll_sketch_get_quantile_double("quantiles", F.lit(0.5)).alias("median"), F.hll_sketch_estimate("distinct").alias("e")).collect()}
+    for r in rows.groupBy("k").agg(F.count("v").alias("n"), F.count_distinct("e").alias("e")).collect():
+        got = whole[r.k]
+        below = rows.filter((F.col("k") == r.k) & (F.col("v") <= got.median)).count()
+        assert got.n == r.n and abs(below - r.n / 2) <= 0.02 * r.n and abs(got.e - r.e) <= 0.05 * r.e
+    assert merged(summaries(rows.limit(0), ["day", "k"], "v", "e"), [F.col("k")]).count() == 0

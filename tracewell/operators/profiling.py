@@ -1,6 +1,8 @@
 """Column statistics, histograms and calendar expressions."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
@@ -8,6 +10,7 @@ from pyspark.sql.types import StructField
 from tracewell.operators.skew import running
 from tracewell.operators.windows import ntile
 
+SKETCH_K, SKETCH_LG_K = 400, 14  # rank error of some 0.7 %, relative error of distinct counts of some 0.8 %
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -59,6 +62,20 @@ def equi_height_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(F.lit(1)).alias("ndv"), F.sum(inside).cast("bigint").alias("height"))
 
 
+def summaries(df: DataFrame, keys: Sequence[str], value: str, entity: str) -> DataFrame:
+    """One row per ``keys`` with sketches as columns: ``quantiles`` of ``value`` and ``distinct`` values of ``entity``.
+
+    Built by partial aggregation, of a size that does not grow with the rows. Nulls are left out of both.
+    """
+    return df.groupBy(*keys).agg(
+        F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_K)).alias("quantiles"), F.hll_sketch_agg(entity, F.lit(SKETCH_LG_K)).alias("distinct"))
+
+
+def merged(kept: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """Summaries of coarser keys out of kept ones, without the rows they came from."""
+    return kept.groupBy(*keys).agg(F.kll_merge_agg_double("quantiles", F.lit(SKETCH_K)).alias("quantiles"), F.hll_union_agg("distinct").alias("distinct"))
+
+
 def calendar(first: Column, last: Column) -> Column:
     """All days between two dates as an array."""
     return F.sequence(first, last, F.expr("interval 1 day"))

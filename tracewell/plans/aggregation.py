@@ -182,7 +182,7 @@ def agg_cms(spark, d):
     return sketches.select("l_returnflag", number(9, 16).alias("total"), number(25, 8).alias("depth"), number(33, 8).alias("width"))
 
 
-@query("agg_cms_estimates", "SELECT l_returnflag, count(*) AS n_parts, sum(n) AS total, TRUE AS never_below, TRUE AS within FROM (SELECT l_returnflag, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+@query("agg_cms_estimates", "SELECT l_returnflag, count(*) AS n_parts, CAST(sum(n) AS BIGINT) AS total, TRUE AS never_below, TRUE AS within FROM (SELECT l_returnflag, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def agg_cms_estimates(spark, d):
     """Every part's count out of the sketch of its flag: at or above the true count, and within the error for the asked share of parts."""
     error, share = 0.01, 0.95

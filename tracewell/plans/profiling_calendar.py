@@ -2,9 +2,11 @@
 from pyspark.sql import functions as F
 
 from tracewell.operators import profiling as P
+from tracewell.operators.skew import lookup_join
 from tracewell.registry import query
 from tracewell.sources import table
 from tracewell.sources.tables import TABLES
+from tracewell.storage import keep
 
 
 @query("prof_table_stats", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, TRUE AS has_size FROM {t}" for t in TABLES))
@@ -51,6 +53,27 @@ def prof_quantile_summary(spark, d):
     return ranks.select(F.inline(rows))
 
 
+@query("prof_summary_merge", """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, TRUE AS ranks_within, TRUE AS customers_within FROM orders GROUP BY 1, 2
+""")
+def prof_summary_merge(spark, d):
+    """Months out of summaries kept per day and priority; each quantile's true rank and the number of customers must lie within the error."""
+    orders = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_totalprice", "o_custkey")
+    month = F.to_date(F.date_trunc("month", "day")).alias("month")
+    daily = keep(P.summaries(orders, ["day", "o_orderpriority"], "o_totalprice", "o_custkey"))
+    points, error = (0.1, 0.5, 0.9), 0.02
+    monthly = P.merged(daily, [month, F.col("o_orderpriority")]).select(
+        "month", "o_orderpriority", F.hll_sketch_estimate("distinct").alias("estimate"),
+        *[F.kll_sketch_get_quantile_double("quantiles", F.lit(q)).alias(f"q{i}") for i, q in enumerate(points)])
+    ranks = lookup_join(orders.withColumn("month", month), monthly, ["month", "o_orderpriority"]).groupBy("month", "o_orderpriority", "estimate").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"), *[F.count_if(F.col("o_totalprice") <= F.col(f"q{i}")).alias(f"r{i}") for i in range(len(points))])
+    near = F.lit(True)
+    for i, q in enumerate(points):
+        near = near & (F.abs(F.col(f"r{i}") - q * F.col("n")) <= error * F.col("n") + 1)
+    return ranks.select("month", "o_orderpriority", "n", "customers", near.alias("ranks_within"),
+                        (F.abs(F.col("estimate") - F.col("customers")) <= 0.05 * F.col("customers") + 1).alias("customers_within"))
+
+
 BOUNDS = "SELECT CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders"
 
 
