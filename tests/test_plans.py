@@ -133,3 +133,16 @@ def test_merged_summaries_equal_the_truth_within_the_error(spark):
         below = rows.filter((F.col("k") == r.k) & (F.col("v") <= got.median)).count()
         assert got.n == r.n and abs(below - r.n / 2) <= 0.02 * r.n and abs(got.e - r.e) <= 0.05 * r.e
     assert merged(summaries(rows.limit(0), ["day", "k"], "v", "e"), [F.col("k")]).count() == 0
+
+
+def test_tables_bucketed_alike_join_without_a_shuffle(spark, sf_dir):
+    from tracewell.plans.ordering import bucketed, order_totals
+    before = {t.name for t in spark.catalog.listTables()}
+    QUERIES["prt_bucketed_join"](spark, sf_dir)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    orders = bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "orders_by_key")
+    lines = bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), "l_orderkey", "lines_by_key")
+    text = plan(order_totals(spark, orders, lines))
+    assert "SortMergeJoin" in text and "Exchange" not in text
+    for name in (orders, lines):
+        spark.sql(f"DROP TABLE {name}")

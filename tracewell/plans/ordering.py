@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.skew import numbered
 from tracewell.registry import query
 from tracewell.sources import run_sql, table
-from tracewell.storage import scratch_path
+from tracewell.storage import keep, scratch_path
 
 
 @query("srt_global", """
@@ -131,11 +131,35 @@ def prt_range(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice").repartitionByRange(partitions(spark), F.col("o_totalprice").desc(), "o_orderkey")
 
 
+def bucketed(df, key, label):
+    """Writes a frame as a table bucketed and sorted by a key; gives the table's name, its files stay when it is dropped."""
+    path = scratch_path(df.sparkSession, label)
+    name = f"{label}_" + path.rsplit("-", 1)[1]
+    df.write.bucketBy(partitions(df.sparkSession), key).sortBy(key).option("path", path).saveAsTable(name)
+    return name
+
+
 @query("prt_bucketed_write", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def prt_bucketed_write(spark, d):
     """Bucketed and sorted by order key; joins on it need no shuffle afterwards."""
-    path = scratch_path(spark, "bucketed")
-    name = "bucketed_" + path.rsplit("-", 1)[1]
-    (table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-     .write.bucketBy(partitions(spark), "o_orderkey").sortBy("o_orderkey").option("path", path).saveAsTable(name))
-    return spark.table(name)
+    return spark.table(bucketed(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", "bucketed"))
+
+
+def order_totals(spark, orders, lines):
+    """Quantity per order with lines, from two tables bucketed alike: joined and summed bucket by bucket."""
+    parts = spark.table(lines).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("qty"))
+    both = spark.table(orders).hint("merge").join(parts, F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.select("o_orderkey", "o_orderpriority", "n_lines", "qty")
+
+
+@query("prt_bucketed_join", """
+SELECT o_orderkey, o_orderpriority, count(*) AS n_lines, sum(l_quantity) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2
+""")
+def prt_bucketed_join(spark, d):
+    """Both sides written once by order key; the join and the sums shuffle nothing. The tables leave the catalog again."""
+    orders = bucketed(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "orders_by_key")
+    lines = bucketed(table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), "l_orderkey", "lines_by_key")
+    out = keep(order_totals(spark, orders, lines))
+    for name in (orders, lines):
+        spark.sql(f"DROP TABLE {name}")
+    return out
