@@ -26,3 +26,11 @@ def test_typed_filter_takes_signs_and_nulls(spark):
 def test_lookup_join_takes_map_columns(spark):
     big = spark.createDataFrame([("a", {"x": 1}), ("b", {})], "k string, m map<string,int>")
     assert skew.lookup_join(big, spark.createDataFrame([("a", 5)], "k string, v int"), ["k"]).count() == 1
+
+
+def test_word_rows_of_nulls_and_blanks(spark):
+    spark.createDataFrame([(1, " a  bcd "), (2, None), (3, ""), (4, "  "), (5, "é"), (None, "x y")], "k long, t string").createOrReplaceTempView("texts")
+    name = U.register_word_rows(spark)
+    found = {tuple(r) for r in spark.sql(f"SELECT * FROM {name}(TABLE(texts))").collect()}
+    assert found == {(1, 0, "a", 1), (1, 1, "bcd", 3), (5, 0, "é", 1), (None, 0, "x", 1), (None, 1, "y", 1)}
+    assert spark.sql(f"SELECT * FROM {name}(TABLE(SELECT * FROM texts WHERE k < 0))").count() == 0

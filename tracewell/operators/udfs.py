@@ -38,13 +38,23 @@ def geometric_mean(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def register_word_rows(spark) -> str:
-    """A table function: a text to (pos, word, n_chars) rows. Returns its SQL name."""
-    class WordRows:
-        def eval(self, text: str):
-            for pos, word in enumerate((text or "").split()):
-                yield pos, word, len(word)
+    """A table function: (key, text) rows to (key, pos, word, n_chars) rows, by Arrow batches. Returns its SQL name.
 
-    spark.udtf.register("word_rows", F.udtf(WordRows, returnType="pos int, word string, n_chars int"))
+    Takes a table argument of two columns; the key is a whole number. Words are parted at
+    white space; null and empty texts give no rows.
+    """
+    class WordRows:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(batch.column(1).cast(pa.string())))
+            row = pc.list_parent_indices(words).to_numpy()
+            flat = words.flatten()
+            first = np.searchsorted(row, row)  # rows are in order, so this is where each one's words begin
+            out = pa.table({
+                "key": batch.column(0).cast(pa.int64()).take(pa.array(row)), "pos": pa.array(np.arange(len(row)) - first, pa.int32()),
+                "word": flat, "n_chars": pc.utf8_length(flat).cast(pa.int32())})
+            yield out.filter(pc.not_equal(out["word"], ""))
+
+    spark.udtf.register("word_rows", F.arrow_udtf(WordRows, returnType="key bigint, pos int, word string, n_chars int"))
     return "word_rows"
 
 

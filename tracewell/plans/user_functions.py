@@ -23,7 +23,8 @@ SELECT p_partkey, CAST(unnest(range(len(string_split(p_name, ' ')))) AS INT) AS
 """)
 def udtf_generate(spark, d):
     name = U.register_word_rows(spark)
-    return run_sql(spark, d, f"SELECT p_partkey, w.pos, w.word, w.n_chars FROM part, LATERAL {name}(p_name) w", "part")
+    names = table(spark, d, "part").select("p_partkey", "p_name")
+    return run_sql(spark, d, f"SELECT key AS p_partkey, pos, word, n_chars FROM {name}(TABLE(part_names))", part_names=names)
 
 
 @query("udf_map_partitions", "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY 1")
