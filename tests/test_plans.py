@@ -40,6 +40,38 @@ def test_metadata_lookups_are_equi_joins(spark, sf_dir):
         assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_lookups_that_grow_are_no_broadcast(spark, sf_dir):
+    """Their sizes are estimated from compressed files, far too low; these are small enough to be broadcast by estimate."""
+    from tracewell.operators import graph as G, metadata as M
+    from tracewell.operators.skew import lookup_join
+    refs = spark.range(9).selectExpr("id AS stmt_id", "1 AS stmt_no", "array(concat('ods.t_', id)) AS inputs", "array('dw.d') AS outputs")
+    lines = spark.range(9).selectExpr("id AS stmt_id", "0 AS pos", "'k' AS to_name", "'dw.d' AS to_table", "concat('ods.t_', id, '.k') AS from_names")
+    meta = spark.range(9).selectExpr("'ods' AS database_name", "concat('t_', id) AS table_name", "'k' AS column_name", "id AS table_id", "id AS column_id")
+    edges = spark.range(9).selectExpr("concat('ods.t_', id) AS src", "'dw.d' AS dst")
+    for df in (M.report(refs, lines, meta, meta), M.unknown_tables(refs, meta), G.exists_flag(edges, edges, ["src", "dst"]), G.exists_flag(G.nodes(edges), G.nodes(edges), ["name"])):
+        assert "Broadcast" not in plan(df)
+    assert "BroadcastHashJoin" in plan(lookup_join(edges, edges, ["src"], small=True))
+
+
+def test_column_lines_are_joined_without_broadcasts(spark, sf_dir):
+    from tracewell.operators import scopes as S, statements as T
+    jobs = spark.createDataFrame([(i, f"insert into dw.d_{i} select q.k, b.v from (select k from ods.a_{i} where v > 1) q join ods.b b on q.k = b.k") for i in range(9)], "id long, script string")
+    meta = spark.createDataFrame([("ods", "b", "k", 1, 1)], "database_name string, table_name string, column_name string, table_id int, column_id int")
+    lines = S.trace_lines(T.table_refs(jobs), meta)
+    assert "Broadcast" not in plan(lines)
+    assert sorted((r.job_id, r.to_name, r.sources) for r in lines.collect())[:2] == [(0, "k", ["ods.a_0.k"]), (0, "v", ["ods.b.v"])]
+
+
+def test_heavy_rows_are_dealt_by_their_number(spark):
+    """A file of many rows is dealt over more tasks than there are cores."""
+    from tracewell.sources import use_all_cores
+    rows = spark.range(1000).coalesce(1)
+    for task_rows, tasks in ((1000, spark.sparkContext.defaultParallelism), (10, 100)):
+        dealt = use_all_cores(rows, task_rows)
+        assert dealt.rdd.getNumPartitions() == tasks and dealt.count() == 1000
+        assert max(dealt.rdd.glom().map(len).collect()) <= 2 * 1000 // tasks
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     text = plan(QUERIES["flt_compare"](spark, sf_dir))
     assert "GreaterThan(o_totalprice,1000.0)" in text

@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import lookup_join, numbered
+from tracewell.operators.skew import lookup_join, numbered, sorted_join
 from tracewell.storage import cut
 
 NUMBER = r"^[+-]?\d+(\.\d+)?$"
@@ -38,7 +38,7 @@ def unknown_ends(ends: DataFrame, meta_columns: DataFrame) -> DataFrame:
 def used_tables(ends: DataFrame, meta_columns: DataFrame) -> DataFrame:
     """Table ids with a resolved end: the column id and its table id were both found."""
     names = ends.select(F.lower("name").alias("column_key")).distinct()
-    return names.join(column_keys(meta_columns), "column_key").select("table_id").distinct()
+    return sorted_join(names, column_keys(meta_columns), ["column_key"]).select("table_id").distinct()
 
 
 def assign_ids(df: DataFrame, name: str, *order: str) -> DataFrame:
@@ -90,7 +90,7 @@ def unmatched_output_column(lines: DataFrame) -> DataFrame:
 def target_not_declared(lines: DataFrame, refs: DataFrame) -> DataFrame:
     """Column lines whose target no statement of the script declares as output."""
     declared = refs.select("stmt_id", F.explode_outer("outputs").alias("to_table")).filter("to_table is not null").distinct()
-    stray = lines.join(declared, ["stmt_id", "to_table"], "left_anti")
+    stray = sorted_join(lines, declared, ["stmt_id", "to_table"], "left_anti")
     return _finding(stray, "target_not_declared", F.concat_ws(":", "to_table", "to_name"))
 
 

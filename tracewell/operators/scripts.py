@@ -84,7 +84,7 @@ def group_settings(groups: DataFrame) -> DataFrame:
 
 def effective_settings(jobs: DataFrame, groups: DataFrame) -> DataFrame:
     """Jobs with ``settings``: own entries first, then those of the nearest groups."""
-    with_groups = lookup_join(jobs, group_settings(groups), ["group_id"], how="left").withColumn("own", F.map_entries(settings_map()))
+    with_groups = lookup_join(jobs, group_settings(groups), ["group_id"], how="left", small=True).withColumn("own", F.map_entries(settings_map()))
     own_keys = F.transform("own", lambda e: e["key"])
     inherited = F.transform(
         F.filter(F.coalesce(F.col("inherited"), F.array().cast("array<struct<distance:int,key:string,value:string>>")),

@@ -28,19 +28,29 @@ def _salt_of(rows: DataFrame, salts: int) -> Column:
     return F.pmod(F.xxhash64(*(short or [n for n, t in kinds.items() if isinstance(t, StringType)] or [F.lit(0)])), F.lit(salts)).cast("int")
 
 
-def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def sorted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of two sides that both grow with the input.
+
+    Spark sizes a side by the compressed files it comes from, also behind cut
+    lineage, and would broadcast one that is a hundred times as large in memory.
+    """
+    return left.join(right.hint("merge"), [*keys], how)
+
+
+def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS, small: bool = False) -> DataFrame:
     """Join rows with a lookup much smaller than they are (metadata, settings, graph frontiers).
 
     Rows of one key are dealt over ``salts`` tasks by a hash of their numbers and
     dates (of their texts, where they have nothing else), the lookup is copied once
-    per salt. No side is forced into a broadcast;
-    adaptive execution still picks one when the measured size allows it.
+    per salt. It may grow with the input and is never broadcast, except a ``small``
+    one, which does not grow: there the kind of join is left to Spark.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"the rows must be the preserved side, not {how}")
     salt = _salt_of(big, salts)
     copies = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+    dealt = big.withColumn("_salt", salt)
+    return (dealt.join(copies, [*keys, "_salt"], how) if small else sorted_join(dealt, copies, [*keys, "_salt"], how)).drop("_salt")
 
 
 def ordering(order: Sequence[str]) -> list[Column]:

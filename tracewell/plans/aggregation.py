@@ -188,7 +188,7 @@ def agg_cms_estimates(spark, d):
     error, share = 0.01, 0.95
     df = table(spark, d, "lineitem")
     sketches = df.groupBy("l_returnflag").agg(F.hex(F.count_min_sketch("l_partkey", F.lit(error), F.lit(share), F.lit(42))).alias("sketch"))
-    parts = lookup_join(df.groupBy("l_returnflag", "l_partkey").agg(F.count(F.lit(1)).alias("n")), sketches, ["l_returnflag"])
+    parts = lookup_join(df.groupBy("l_returnflag", "l_partkey").agg(F.count(F.lit(1)).alias("n")), sketches, ["l_returnflag"], small=True)
     read = parts.select("l_returnflag", "n", count_min_size(F.col("sketch"), "total").alias("total"), count_min_estimate(F.col("sketch"), F.col("l_partkey")).alias("estimate"))
     return read.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n_parts"), F.sum("n").alias("total"), F.min(F.col("estimate") >= F.col("n")).alias("never_below"),

@@ -65,7 +65,7 @@ def prof_summary_merge(spark, d):
     monthly = P.merged(daily, [month, F.col("o_orderpriority")]).select(
         "month", "o_orderpriority", F.hll_sketch_estimate("distinct").alias("estimate"),
         *[F.kll_sketch_get_quantile_double("quantiles", F.lit(q)).alias(f"q{i}") for i, q in enumerate(points)])
-    ranks = lookup_join(orders.withColumn("month", month), monthly, ["month", "o_orderpriority"]).groupBy("month", "o_orderpriority", "estimate").agg(
+    ranks = lookup_join(orders.withColumn("month", month), monthly, ["month", "o_orderpriority"], small=True).groupBy("month", "o_orderpriority", "estimate").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"), *[F.count_if(F.col("o_totalprice") <= F.col(f"q{i}")).alias(f"r{i}") for i in range(len(points))])
     near = F.lit(True)
     for i, q in enumerate(points):

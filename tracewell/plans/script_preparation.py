@@ -63,7 +63,7 @@ SELECT j.id AS job_id, c.ancestor_id, c.distance FROM f_jobs j JOIN chain c ON c
 def scr_group_chain(spark, d):
     jobs = jobs_of(spark, d).select(F.col("id").alias("job_id"), "group_id")
     chain = S.group_chain(fixture(spark, d, "f_job_groups"))
-    return S.lookup_join(jobs, chain, ["group_id"]).select("job_id", "ancestor_id", "distance")
+    return S.lookup_join(jobs, chain, ["group_id"], small=True).select("job_id", "ancestor_id", "distance")
 
 
 def _effective(spark, d):
