@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.columns import SPECIAL_JOIN_NAMES, SQL_WORDS
-from tracewell.operators.skew import lookup_join
+from tracewell.operators.skew import lookup_join, sorted_join
 from tracewell.operators.statements import LITERAL
 from tracewell.storage import cut
 
@@ -143,8 +143,8 @@ def trace_lines(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
 
     # sources of a branch: its own, else those before the first INSERT
     with_own = sources.select(*KEYS, "scope", F.col("s_branch").alias("branch"), F.lit(True).alias("own")).distinct()
-    at = exprs.select(*KEYS, "scope", "height", "branch").distinct().join(with_own, [*KEYS, "scope", "branch"], "left")
-    seen = cut(at.join(sources, [*KEYS, "scope"]).filter("own AND s_branch = branch OR own IS NULL AND s_branch = 0").drop("own", "s_branch"))
+    at = sorted_join(exprs.select(*KEYS, "scope", "height", "branch").distinct(), with_own, [*KEYS, "scope", "branch"], "left")
+    seen = cut(sorted_join(at, sources, [*KEYS, "scope"]).filter("own AND s_branch = branch OR own IS NULL AND s_branch = 0").drop("own", "s_branch"))
     named = cut(column_tokens(exprs))
 
     # a reference and the sources it may mean
@@ -154,12 +154,12 @@ def trace_lines(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
     column = F.when(F.size("parts") == 1, F.col("ref")).when(alias_hit, F.get(F.split("ref", r"\."), F.lit(1))).when(table_hit, F.get(F.split("ref", r"\."), F.lit(2)))
     plain = named.filter("child IS NULL").withColumn("parts", parts)
     spot = [*KEYS, "scope", "branch", "kind", "eid", "p"]
-    own_hits = plain.join(seen.drop("height"), [*KEYS, "scope", "branch"]).withColumn("column", column).filter("column IS NOT NULL")
+    own_hits = sorted_join(plain, seen.drop("height"), [*KEYS, "scope", "branch"]).withColumn("column", column).filter("column IS NOT NULL")
     up = rows.select(*KEYS, F.explode("scopes").alias("s"), "scopes").select(*KEYS, F.col("s.open").alias("scope"), F.expr(
         "array_max(transform(filter(scopes, o -> o.open < s.open AND s.close < o.close), o -> o.open))").alias("outer_scope")).filter("outer_scope IS NOT NULL")
-    left_over = plain.filter(F.size("parts") > 1).join(own_hits.select(*spot).distinct(), spot, "left_anti").join(up, [*KEYS, "scope"])
+    left_over = sorted_join(sorted_join(plain.filter(F.size("parts") > 1), own_hits.select(*spot).distinct(), spot, "left_anti"), up, [*KEYS, "scope"])
     outer = seen.drop("height", "branch").withColumnRenamed("scope", "outer_scope").distinct()
-    outer_hits = left_over.join(outer, [*KEYS, "outer_scope"]).withColumn("column", column).filter("column IS NOT NULL").drop("outer_scope")
+    outer_hits = sorted_join(left_over, outer, [*KEYS, "outer_scope"]).withColumn("column", column).filter("column IS NOT NULL").drop("outer_scope")
     hits = own_hits.select(*spot, "height", "table", "s_child", "column").unionByName(outer_hits.select(*spot, "height", "table", "s_child", "column"))
     hits = hits.withColumn("open", F.count(F.lit(1)).over(Window.partitionBy(*spot)) > 1)
     base = hits.filter("s_child IS NULL").withColumn("_table", F.lower("table")).withColumn("_column", F.lower("column"))
@@ -169,7 +169,7 @@ def trace_lines(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
                 .unionByName(named.filter("child IS NOT NULL").select(*spot, "height", F.col("child").alias("from_scope"), F.lit(None).cast("string").alias("key"))))
 
     starred = exprs.filter("star").select(*KEYS, "scope", "height", "branch", "eid", F.lower(F.substring_index(F.element_at("toks", 1)["t"], ".*", 1)).alias("star_of"))
-    stars = starred.join(seen.drop("height"), [*KEYS, "scope", "branch"]).filter("star_of = '*' OR star_of = alias OR star_of = lower(table)")
+    stars = sorted_join(starred, seen.drop("height"), [*KEYS, "scope", "branch"]).filter("star_of = '*' OR star_of = alias OR star_of = lower(table)")
     table_stars = lookup_join(stars.filter("s_child IS NULL").withColumn("_table", F.lower("table")), known.select("_table", "column_name", "ordinal"), ["_table"], "left")
     table_stars = cut(table_stars.select(*KEYS, "scope", "height", "branch", "eid", "place", F.coalesce("ordinal", F.lit(0)).alias("sub"), F.coalesce("column_name", F.lit("")).alias("name"),
                                          F.array(F.concat_ws(".", "table", F.coalesce("column_name", F.lit("*")))).alias("sources")))
@@ -178,7 +178,7 @@ def trace_lines(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
     targets = rows.select(*KEYS, "database_name", F.explode("full").alias("x")).filter(
         f"x.scope = -1 AND x.clause.l IN ('insert', 'create') AND x.prv IN ('table', 'into', 'overwrite', 'exists') AND x.t RLIKE '^[A-Za-z_$]' AND NOT {_in('x.l', (*WORDS, 'if', 'directory', 'local'))}")
     targets = targets.select(*KEYS, F.col("x.branch").alias("t_branch"), F.when(F.contains("x.t", F.lit(".")), F.col("x.t")).otherwise(F.concat_ws(".", "database_name", "x.t")).alias("to_table"))
-    branches = exprs.filter("scope = -1 AND kind = 'select'").select(*KEYS, "branch").distinct().join(targets, KEYS, "left").filter("t_branch IS NULL OR t_branch <= branch")
+    branches = sorted_join(exprs.filter("scope = -1 AND kind = 'select'").select(*KEYS, "branch").distinct(), targets, KEYS, "left").filter("t_branch IS NULL OR t_branch <= branch")
     branches = cut(branches.groupBy(*KEYS, "branch").agg(F.max_by("to_table", "t_branch").alias("to_table")))
 
     highest = exprs.agg(F.max("height")).first()[0]
@@ -188,15 +188,15 @@ def trace_lines(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
         items = table_stars.filter(F.col("height") == height).drop("height")
         if outs is not None:
             asked = inner.filter(F.col("height") == height).drop("height")
-            found = asked.join(outs.select(*KEYS, F.col("scope").alias("from_scope"), F.lower("name").alias("_name"), "sources"), [*KEYS, "from_scope"]).filter("key IS NULL OR key = _name")
+            found = sorted_join(asked, outs.select(*KEYS, F.col("scope").alias("from_scope"), F.lower("name").alias("_name"), "sources"), [*KEYS, "from_scope"]).filter("key IS NULL OR key = _name")
             here = here.unionByName(found.select(*spot, F.explode("sources").alias("source")))
-            wide = query_stars.filter(F.col("height") == height).join(outs.select(*KEYS, F.col("scope").alias("from_scope"), F.col("pos").alias("sub"), "name", "sources"), [*KEYS, "from_scope"])
+            wide = sorted_join(query_stars.filter(F.col("height") == height), outs.select(*KEYS, F.col("scope").alias("from_scope"), F.col("pos").alias("sub"), "name", "sources"), [*KEYS, "from_scope"])
             items = items.unionByName(wide.select(*items.columns))
         by_token = here.groupBy(*spot).agg(F.array_sort(F.collect_set("source")).alias("sources"))
         by_expr = by_token.groupBy(*spot[:-1]).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
                                                    F.map_from_entries(F.collect_list(F.struct("p", F.array_join("sources", "&")))).alias("said"))
         none = F.array().cast("array<string>")
-        whole = exprs.filter((F.col("height") == height) & ~F.col("star")).join(by_expr, spot[:-1], "left").select(
+        whole = sorted_join(exprs.filter((F.col("height") == height) & ~F.col("star")), by_expr, spot[:-1], "left").select(
             *KEYS, "scope", "branch", "kind", "eid", "name", F.coalesce("sources", none).alias("sources"),
             tidy(F.array_join(F.transform("toks", lambda x: F.coalesce(F.concat(F.when(x["query"], "(").otherwise(""), F.try_element_at("said", x["p"])), x["t"])), " ")).alias("text"))
         whole = cut(whole)
@@ -204,7 +204,7 @@ def trace_lines(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
         items = items.withColumn("text", F.get("sources", F.lit(0))).unionByName(whole.filter("kind = 'select'").select(
             *KEYS, "scope", "branch", "eid", F.lit(0).alias("place"), F.lit(0).alias("sub"), "name", "sources", "text"))
         numbered = items.withColumn("pos", F.row_number().over(Window.partitionBy(*KEYS, "scope", "branch").orderBy("eid", "place", "sub")) - 1)
-        placed = numbered.join(branches.withColumn("scope", F.lit(-1)), [*KEYS, "scope", "branch"], "left")
+        placed = sorted_join(numbered, branches.withColumn("scope", F.lit(-1)), [*KEYS, "scope", "branch"], "left")
         merged = placed.groupBy(*KEYS, "scope", "to_table", "pos").agg(F.array_sort(F.collect_list(F.struct("branch", "name", "sources", "text"))).alias("parts"))  # branches
         now = cut(merged.select(*KEYS, "scope", "to_table", "pos", F.coalesce(F.get(F.filter("parts", lambda b: b["name"] != ""), F.lit(0))["name"], F.lit("")).alias("name"),
                                 F.array_sort(F.array_distinct(F.flatten(F.transform("parts", lambda b: b["sources"])))).alias("sources"),
@@ -218,7 +218,7 @@ def trace_lines(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
     for more in texts[1:]:
         conditions = conditions.unionByName(more)
     conditions = conditions.select(*KEYS, F.concat(F.upper(label), F.lit(":"), "text").alias("cond")).groupBy(*KEYS).agg(F.array_sort(F.collect_set("cond")).alias("conditions"))
-    lines = outs.filter("scope = -1").join(conditions, KEYS, "left")
+    lines = sorted_join(outs.filter("scope = -1"), conditions, KEYS, "left")
     return lines.select(*KEYS, "to_table", "pos", F.col("name").alias("to_name"), "expr", "sources", F.coalesce("conditions", F.array().cast("array<string>")).alias("conditions"))
 
 

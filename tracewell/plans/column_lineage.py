@@ -11,7 +11,7 @@ from tracewell.registry import query
 from tracewell.sources import fixture
 from tracewell.storage import scratch_path
 
-from .table_lineage import STMTS, due_refs, jobs_of, stmts_of
+from .table_lineage import STMTS, due_refs, jobs_of, shape_refs, stmts_of
 
 WORDS = "[" + ", ".join(f"'{w}'" for w in C.SQL_WORDS) + "]"
 
@@ -369,7 +369,7 @@ def lin_subquery_trace(spark, d):
     """Column lines of every spelling of statements from its text, against the columns it was made from."""
     customers = fixture(spark, d, "f_shapes").select(F.col("id"))
     known = customers.select(F.lit("ods").alias("database_name"), F.concat(F.lit("a_"), "id").alias("table_name"), F.posexplode(F.array(*map(F.lit, ("k", "v", "ts", "n")))).alias("ordinal", "column_name"))
-    lines = S.trace_lines(T.table_refs(fixture(spark, d, "f_shapes")), known)
+    lines = S.trace_lines(shape_refs(spark, d), known)
     return lines.select("job_id", "to_table", "pos", "to_name", F.array_join("sources", ";").alias("sources"))
 
 
