@@ -212,3 +212,17 @@ def test_columns_through_queries_in_from(spark):
     assert lines_of(spark, "insert into dw.a select o.x from (select i.y as x from (select max(t.z) as y from ods.t1 t) i) o join (select k from ods.t2) p on p.k = o.x") == {("dw.a", "x", "ods.t1.z")}
     assert lines_of(spark, "insert into dw.a select u.d from (select d from ods.l union all select e as d from ods.r) u join ods.b b on u.d = b.d") == {("dw.a", "d", "ods.l.d"), ("dw.a", "d", "ods.r.e")}
     assert lines_of(spark, "with w as (select q.c as n from (select c from ods.t) q) insert into dw.a select n from w") == {("dw.a", "n", "ods.t.c")}
+
+
+def test_new_texts_are_dealt_before_they_are_traced(spark, monkeypatch):
+    from tracewell.operators import relations
+    from tracewell.storage import scratch_path
+    dealt = []
+    real = relations.use_all_cores
+    monkeypatch.setattr(relations, "use_all_cores", lambda df: dealt.append(df.count()) or real(df))
+    jobs = spark.createDataFrame([(1, "insert into dw.d select k from ods.a"), (2, "insert into dw.d select k from ods.a"), (3, "insert into dw.e select v from ods.b")], "id long, script string")
+    meta = spark.createDataFrame([], "database_name string, table_name string, column_name string, table_id int, column_id int")
+    store = scratch_path(spark, "relations")
+    for _ in range(2):
+        assert sorted((r.job_id, r.sources) for r in relations.refresh(jobs, meta, store).collect()) == [(1, ["ods.a.k"]), (2, ["ods.a.k"]), (3, ["ods.b.v"])]
+    assert dealt == [2]

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.columns import relation_rows
 from tracewell.operators.scopes import trace_lines
+from tracewell.operators.skew import sorted_join
 from tracewell.operators.statements import table_refs
+from tracewell.sources.tables import use_all_cores
 from tracewell.storage import keep
 
 LINES = "digest string, stmt_no int, to_table string, pos int, to_name string, expr string, sources array<string>, conditions array<string>"
@@ -38,7 +40,7 @@ def stored(jobs: DataFrame, store: str, part: str) -> DataFrame:
 def unseen(jobs: DataFrame, store: str, version: str = "") -> DataFrame:
     """(id, script, digest): one job of each text that the store has not traced."""
     own = with_digest(jobs, version).groupBy("digest").agg(F.min("id").alias("id"), F.min("script").alias("script"))
-    return own.join(stored(jobs, store, "scripts"), "digest", "left_anti")
+    return sorted_join(own, stored(jobs, store, "scripts"), ["digest"], "left_anti")
 
 
 def refresh(jobs: DataFrame, meta_columns: DataFrame, store: str, version: str = "") -> DataFrame:
@@ -49,12 +51,13 @@ def refresh(jobs: DataFrame, meta_columns: DataFrame, store: str, version: str =
     """
     fresh = keep(unseen(jobs, store, version))
     if not fresh.isEmpty():
-        lines = trace_lines(table_refs(fresh), meta_columns)
+        lines = trace_lines(table_refs(use_all_cores(fresh)), meta_columns)
         names = fresh.select(F.col("id").alias("job_id"), "digest")
-        lines.join(names, "job_id").select("digest", *(f.split(" ")[0] for f in LINES.split(", ")[1:])).write.mode("append").parquet(f"{store}/lines")
+        sorted_join(lines, names, ["job_id"]).select("digest", *(f.split(" ")[0] for f in LINES.split(", ")[1:])).write.mode("append").parquet(f"{store}/lines")
         fresh.select("digest").write.mode("append").parquet(f"{store}/scripts")
     known = stored(jobs, store, "lines").dropDuplicates(["digest", "stmt_no", "to_table", "pos"])
-    return with_digest(jobs, version).select(F.col("id").alias("job_id"), "digest").join(known, "digest").drop("digest")
+    named = with_digest(jobs, version).select(F.col("id").alias("job_id"), "digest")
+    return sorted_join(named, known, ["digest"]).drop("digest")
 
 
 def relations(lines: DataFrame, meta_columns: DataFrame) -> DataFrame:
