@@ -102,3 +102,17 @@ def test_running_totals_of_two_batches(spark, sf_dir):
     totals = latest_by_key(run_batches(ST.running_totals(folder_stream(spark, landing, events.schema)), "totals", "update"), ["user_id"])
     want = {r["user_id"]: r["n"] for r in events.groupBy("user_id").agg(F.count("*").alias("n")).collect()}
     assert {r["user_id"]: r["n"] for r in totals.collect()} == want
+
+
+def test_scripts_of_a_batch_are_dealt(spark, sf_dir, monkeypatch):
+    from tracewell.streaming import event_queries
+    dealt = []
+
+    def counting(df, *args):
+        dealt.append(df.count())
+        return real(df, *args)
+
+    real = event_queries.use_all_cores
+    monkeypatch.setattr(event_queries, "use_all_cores", counting)
+    assert event_queries.st_foreach_batch(spark, sf_dir).count() > 0
+    assert len(dealt) == 2 and all(dealt)

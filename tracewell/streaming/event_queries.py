@@ -5,14 +5,14 @@ from tracewell.operators import graph as G
 from tracewell.operators import scripts as S
 from tracewell.operators import statements as T
 from tracewell.registry import query
-from tracewell.sources import fixture, table
+from tracewell.sources import table, use_all_cores
 from tracewell.sources.files import write_new
 from tracewell.storage import scratch_path
 from tracewell.streaming import state as ST
 from tracewell.streaming.runner import (
     AppendRun, event_stream, folder_stream, last_batch, latest_by_key, run_append, run_batches, run_foreach, table_stream)
 
-from tracewell.plans.table_lineage import STMTS
+from tracewell.plans.table_lineage import STMTS, jobs_of
 
 TEXT = "yyyy-MM-dd HH:mm:ss"
 
@@ -189,7 +189,7 @@ def st_state_timeout(spark, d):
 @query("st_foreach_batch", STMTS.rstrip() + "\nSELECT concat(src_db, '.', src_table) AS src, concat(dst_db, '.', dst_table) AS dst FROM edges", ("f_jobs",))
 def st_foreach_batch(spark, d):
     """New scripts arrive twice; each batch is merged into the edge table as its next version."""
-    jobs = fixture(spark, d, "f_jobs")
+    jobs = jobs_of(spark, d)
     landing = write_new(jobs.filter("run_type = 'hive'"), "scripts")
     tables, checkpoint = scratch_path(spark, "edges"), scratch_path(spark, "edges-checkpoint")
 
@@ -197,7 +197,7 @@ def st_foreach_batch(spark, d):
         return spark.read.schema("src string, dst string, props string").parquet(f"{tables}/version={number}")
 
     def upsert(batch, batch_id):
-        new = G.table_name_edges(T.table_edges(T.table_refs(S.scheduled_jobs(batch)))).withColumn("props", F.lit(f"batch {batch_id}"))
+        new = G.table_name_edges(T.table_edges(T.table_refs(use_all_cores(S.scheduled_jobs(batch))))).withColumn("props", F.lit(f"batch {batch_id}"))
         merged = G.merge_edges(version(batch_id - 1), new) if batch_id else new
         merged.write.mode("overwrite").parquet(f"{tables}/version={batch_id}")
 
