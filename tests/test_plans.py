@@ -178,3 +178,12 @@ def test_tables_bucketed_alike_join_without_a_shuffle(spark, sf_dir):
     assert "SortMergeJoin" in text and "Exchange" not in text
     for name in (orders, lines):
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_xpath_rows_are_dealt_in_small_tasks(spark, tmp_path):
+    """Every path parses its row's XML anew, so a task gets a bounded number of rows however large the table."""
+    rows = spark.range(60_000).selectExpr("id as o_orderkey", "id as o_custkey", "'F' as o_orderstatus", "'1-URGENT' as o_orderpriority")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    sizes = QUERIES["fn_xpath"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 60_000
+    assert max(r["count"] for r in sizes) <= 2_600
