@@ -119,6 +119,36 @@ def test_substrings_of_crowds(spark, monkeypatch):
     assert rows_of(suffixes.dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.substrings(rows))
 
 
+def test_only_tied_lms_suffixes_are_sorted_again(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = rng.integers(1, 200, 20_000).astype(np.uint8)
+    text[15_000:16_000] = text[2_000:3_000]
+    text[9_000:9_100] = 7
+    sizes, real = [], suffixes.refined
+    monkeypatch.setattr(suffixes, "refined", lambda names, tied, then: (sizes.append(len(tied)), real(names, tied, then))[1])
+    places = suffixes.lms_places(suffixes.classes(text))
+    found = suffixes.sorted_lms(text, places, suffixes.LENGTH)
+    starts = [text[p:p + suffixes.LENGTH].tobytes() for p in found]
+    assert sorted(found) == places.tolist() and starts == sorted(starts)
+    assert sizes[0] == len(places) and max(sizes[1:]) < len(places) / 8
+
+
+def test_entries_of_a_document_are_packed_without_a_row_each():
+    rng = np.random.default_rng(4)
+    ids, tags, starts = rng.integers(0, 40, 500), rng.integers(0, 2, 500), np.arange(500, dtype=np.uint32)
+    table = suffixes.by_document("mark", ids, tags, [starts, (starts % 7).astype(np.uint8)])
+    assert table.schema == suffixes.found_batch([]).schema
+    got = {(r["id"], r["tag"]): (np.frombuffer(r["starts"], np.uint32), np.frombuffer(r["counts"], np.uint8), r["grams"], r["data"]) for r in table.to_pylist()}
+    assert len(got) == table.num_rows == len(set(zip(ids.tolist(), tags.tolist())))
+    for (i, t), (own, counts, *rest) in got.items():
+        assert sorted(own.tolist()) == starts[(ids == i) & (tags == t)].tolist() and (counts == own % 7).all() and rest == [b"", b""]
+    assert suffixes.by_document("mark", ids[:0], tags[:0], [starts[:0], starts[:0]]).num_rows == 0
+    grams, hashes = rng.integers(0, 300, 500).astype(np.uint64), rng.integers(0, 3, 500).astype(np.uint64)
+    order = suffixes.in_order(grams, hashes, ids)
+    rows = list(zip(grams[order], hashes[order], ids[order]))
+    assert rows == sorted(rows) and sorted(order) == list(range(500))
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for trial in range(60):
