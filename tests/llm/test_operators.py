@@ -8,6 +8,7 @@ import pytest
 from conftest import prose
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tracewell.llm import bpe, chat, decontaminate, licenses, lines, pii, quality, secrets, simhash, suffixes
 from tracewell.llm.license_templates import TEMPLATES
 from tracewell.llm.queries import tokenizer_file
@@ -35,6 +36,15 @@ def test_bpe_equals_library(edge_docs, plain_rows, library):
     assert rows_of(bpe.round_trip(edge_docs, tokenizer_file()), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
 
 
+def test_bpe_uses_one_worker_a_task(spark, edge_docs, sf_dir):
+    path = tokenizer_file()
+    both = bpe.encode_and_decode(edge_docs, path, keep_text=True)
+    assert rows_of(both.withColumn("ids", F.col("ids").cast("string")), *both.columns) == rows_of(
+        bpe.decode(bpe.encode(edge_docs, path, keep_text=True), path).withColumn("ids", F.col("ids").cast("string")), *both.columns)
+    for df in (corpus_pipeline.tokens(spark, edge_docs, sf_dir), bpe.round_trip(edge_docs, path)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_bpe_streams_long_pieces(library):
     own = bpe.tokenizer(tokenizer_file())
     rng = random.Random(2)

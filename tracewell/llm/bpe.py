@@ -24,7 +24,7 @@ import heapq
 import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from struct import pack
 
@@ -33,9 +33,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tracewell.llm.common import texts, with_columns
+from tracewell.llm.common import adding, texts, with_columns
 
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the tokenizer's own pattern
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\x09-\x0D\x20A-Za-z0-9]+|[\x09-\x0D\x20]+(?![^\x09-\x0D\x20])|[\x09-\x0D\x20]+"  # what it matches in texts without other characters
@@ -209,10 +209,13 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def encode(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
-    """(doc_id, ids), and text if asked: the token ids of every text. ``path`` is a tokenizer file that every executor has."""
-    rows = texts(docs)
+def encoded_schema(keep_text: bool) -> StructType:
+    text = [StructField("text", StringType())] if keep_text else []
+    return StructType([StructField("doc_id", LongType()), *text, StructField("ids", ArrayType(IntegerType()))])
+
 
+def encoder(path: str, keep_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What ``encode`` does with batches of (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
@@ -233,21 +236,41 @@ def encode(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
         columns = {"doc_id": part.column("doc_id"), "text": part.column("text")} if keep_text else {"doc_id": part.column("doc_id")}
         return pa.RecordBatch.from_arrays([*columns.values(), ids], names=[*columns, "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>" if keep_text else "doc_id long, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds ``decoded``, the text of ``ids``."""
+def decoder(path: str) -> Callable[[pa.RecordBatch], list]:
+    """What ``decode`` computes of a batch with ``ids``."""
     def compute(batch: pa.RecordBatch) -> list:
         own = tokenizer(path)
         return [[own.decode(ids.values.to_numpy().tolist()) for ids in batch.column("ids")]]
 
-    return with_columns(encoded, [StructField("decoded", StringType())], compute)
+    return compute
+
+
+DECODED = StructField("decoded", StringType())
+
+
+def encode(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
+    """(doc_id, ids), and text if asked: the token ids of every text. ``path`` is a tokenizer file that every executor has."""
+    return texts(docs).mapInArrow(encoder(path, keep_text), encoded_schema(keep_text))
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """Adds ``decoded``, the text of ``ids``."""
+    return with_columns(encoded, [DECODED], decoder(path))
+
+
+def encode_and_decode(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
+    """``decode`` of ``encode``, batch by batch in one worker a task: one tokenizer in memory in place of two, and ids are not sent twice."""
+    schema = StructType([*encoded_schema(keep_text).fields, DECODED])
+    encoding, decoding = encoder(path, keep_text), adding(schema, decoder(path))
+    return texts(docs).mapInArrow(lambda batches: decoding(encoding(batches)), schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Every text's ids and what they decode to, as counts and digests."""
-    both = decode(encode(docs, path), path)
+    both = encode_and_decode(docs, path)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
