@@ -1,6 +1,7 @@
 """The near-duplicates stage of the pipeline against all pairs."""
 import random
 
+import numpy as np
 import pytest
 from conftest import prose
 
@@ -211,3 +212,49 @@ def test_joins_by_key_grow_with_a_crowd_and_touch_its_rows_twice(spark, monkeypa
     jaccard.placed_rows(spark.createDataFrame(crowd_rows(300, 6), "doc_id long, text string")).count()
     assert voted and all(rows == entries for rows, entries in voted)
     assert seen["juries"] < seen["counted"] < 3 * 300 * jaccard.BANDS
+
+
+def test_members_of_an_open_crowd_all_stay(spark, monkeypatch):
+    """Members of a crowded band of differences that are not connected in the end meet under one centre on the next level."""
+    rng = random.Random(11)
+    base = prose(rng, 100, 10**6).split()
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(100), 7):
+            words[at] = f"changed{rng.random()}"
+        rows.append((i, " ".join(words)))
+    for name in ("CROWD", "WIDE"):
+        monkeypatch.setattr(jaccard, name, 3, raising=False)
+    monkeypatch.setattr(jaccard, "LEVELS", 3)
+    keys, placed, real, parting = [], [], jaccard.counted, jaccard.differences
+    monkeypatch.setattr(jaccard, "counted", lambda frame: (out := real(frame), keys.append(out.select("key", "fp").collect()))[0])
+    monkeypatch.setattr(jaccard, "differences", lambda members, sets: (placed.append({(r.fp, r.centre) for r in members.select("fp", "centre").collect()}), parting(members, sets))[1])
+    roots = {r.fp: r.root for r in jaccard.placed_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    checked = 0
+    for found, stayed in zip(keys[1:], placed[1:]):
+        centres, members = {}, {}
+        for fp, centre in stayed:
+            centres.setdefault(fp, set()).add(centre)
+        for r in found:
+            members.setdefault(r.key, []).append(r.fp)
+        for fps in (fps for fps in members.values() if len(fps) > 3):
+            apart = [(a, b) for a in fps for b in fps if a < b and roots[a] != roots[b]]
+            assert all(centres.get(a, set()) & centres.get(b, set()) for a, b in apart)
+            checked += len(apart)
+    assert checked > 100
+
+
+def test_pairs_of_a_band_are_dropped_only_where_they_cannot_be_linked(spark):
+    rng = random.Random(12)
+    centre, rows, sets = set(range(300)), [], {}
+    for fp in range(90):
+        group = random.Random(fp // 3)
+        common = set(group.sample(range(300), 60)) | {1000 * (1 + fp // 3) + i for i in range(40)}
+        left = common ^ set(rng.sample(range(300), rng.choice([2, 8, 20])))
+        sets[fp] = centre ^ left
+        rows.append((7, fp, fp, len(sets[fp]) - jaccard.FAR * len(left), len(left), jaccard.marks_of(np.array(sorted(left), np.uint64)).tolist()))
+    few = spark.createDataFrame(rows, "key long, fp long, root long, slack long, far int, marks array<long>")
+    found = {(r.a, r.b) for r in jaccard.paired(few).collect()}
+    linked = {(a, b) for a in sets for b in sets if a > b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(linked) > 20 and linked <= found and len(found) < 90 * 89 / 8
