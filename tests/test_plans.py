@@ -1,4 +1,5 @@
 """What the physical plans must and must not contain, and a few known values."""
+import hashlib
 import io
 import zlib
 from contextlib import redirect_stdout
@@ -187,3 +188,22 @@ def test_xpath_rows_are_dealt_in_small_tasks(spark, tmp_path):
     sizes = QUERIES["fn_xpath"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 60_000
     assert max(r["count"] for r in sizes) <= 2_600
+
+
+def test_page_files_are_listed_folder_by_folder(spark, tmp_path, monkeypatch):
+    """The driver never lists the files of all pages at once; a page is a file, also where an id comes twice or is missing."""
+    import tracewell.plans.sources_sinks as sinks
+
+    rows = [(i, f"<p>page {i}\n</p>") for i in range(35)] + [(7, "again"), (None, "no id"), (40, None)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    listed, real = [], sinks.whole_files
+    monkeypatch.setattr(sinks, "FOLDER_FILES", 10, raising=False)
+    monkeypatch.setattr(sinks, "whole_files", lambda session, path: (out := real(session, path), listed.append(len(out.inputFiles())))[0])
+    found = QUERIES["src_script_files"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(((i, len(t or ""), hashlib.md5((t or "").encode()).hexdigest()) for i, t in rows), key=repr)
+    assert sum(listed) == len(rows) and max(listed) <= 10
+
+
+def test_no_page_gives_no_file(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["src_script_files"](spark, str(tmp_path)).collect() == []
