@@ -93,3 +93,14 @@ def test_refresh_traces_only_changed_scripts(spark, tmp_path):
     assert R.unseen(before, store, "metadata of tomorrow").count() == 35
     row = R.relations(second, meta).filter("job_id = 3").first()
     assert (row.src, row.dst, row.from_column_id, row.from_table_id, row.column_id, row.condition) == ("ods.t1.v", "dw.a3.x", 4, 1, None, "")
+
+
+def test_steps_are_kept_in_columns_and_not_as_checkpoints(spark, monkeypatch):
+    """Tokens, sources and expressions take far more room as rows of a checkpoint than as compressed columns."""
+    def refused(self, *args, **more):
+        raise AssertionError("a checkpoint")
+
+    jobs = spark.createDataFrame([(1, "insert into dw.d select a.k, sum(b.v) as v from ods.a a join ods.b b on a.k = b.k")], "id long, script string")
+    monkeypatch.setattr(type(jobs), "checkpoint", refused)
+    lines = S.trace_lines(T.table_refs(jobs), spark.createDataFrame([], "database_name string, table_name string, column_name string"))
+    assert sorted((r.to_table, r.pos, r.to_name, tuple(r.sources)) for r in lines.collect()) == [("dw.d", 0, "k", ("ods.a.k",)), ("dw.d", 1, "v", ("ods.b.v",))]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.columns import SPECIAL_JOIN_NAMES, SQL_WORDS
 from tracewell.operators.skew import lookup_join, sorted_join
 from tracewell.operators.statements import LITERAL
-from tracewell.storage import cut
+from tracewell.storage import keep
 
 # Fixed words.
 CLAUSES = ("select", "from", "where", "on", "join", "group", "order", "having", "sort", "cluster", "distribute", "limit", "lateral", "union", "insert", "create", "with", "using", "window")
@@ -131,21 +131,21 @@ def trace_lines(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
     ``database.table.column``; a star of a table without metadata stays ``database.table.*``. ``expr`` is the item with its columns
     in full, branches of a UNION joined with ``&``. ``conditions`` hold WHERE and JOIN texts of all queries of the statement.
     """
-    rows = cut(token_rows(refs))
+    rows = keep(token_rows(refs))
     if rows.isEmpty():
         return empty_lines(refs)
     sources = rows.select(*KEYS, "database_name", F.inline("named")).withColumn("table", F.when(F.col("child").isNull(), F.when(
         F.contains("name", F.lit(".")), F.col("name")).otherwise(F.concat_ws(".", "database_name", "name"))))
-    sources = cut(sources.select(*KEYS, "scope", F.col("branch").alias("s_branch"), F.col("p").alias("place"), "table", F.col("child").alias("s_child"), "alias"))
-    exprs = cut(aliased(expressions(rows)))
+    sources = keep(sources.select(*KEYS, "scope", F.col("branch").alias("s_branch"), F.col("p").alias("place"), "table", F.col("child").alias("s_child"), "alias"))
+    exprs = keep(aliased(expressions(rows)))
     columns = meta_columns if "ordinal" in meta_columns.columns else meta_columns.withColumn("ordinal", F.lit(0))
     known = columns.select(F.lower(F.concat_ws(".", "database_name", "table_name")).alias("_table"), F.lower("column_name").alias("_column"), "column_name", "ordinal").distinct()
 
     # sources of a branch: its own, else those before the first INSERT
     with_own = sources.select(*KEYS, "scope", F.col("s_branch").alias("branch"), F.lit(True).alias("own")).distinct()
     at = sorted_join(exprs.select(*KEYS, "scope", "height", "branch").distinct(), with_own, [*KEYS, "scope", "branch"], "left")
-    seen = cut(sorted_join(at, sources, [*KEYS, "scope"]).filter("own AND s_branch = branch OR own IS NULL AND s_branch = 0").drop("own", "s_branch"))
-    named = cut(column_tokens(exprs))
+    seen = keep(sorted_join(at, sources, [*KEYS, "scope"]).filter("own AND s_branch = branch OR own IS NULL AND s_branch = 0").drop("own", "s_branch"))
+    named = keep(column_tokens(exprs))
 
     # a reference and the sources it may mean
     parts = F.split(F.lower("ref"), r"\.")
@@ -164,22 +164,22 @@ def trace_lines(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
     hits = hits.withColumn("open", F.count(F.lit(1)).over(Window.partitionBy(*spot)) > 1)
     base = hits.filter("s_child IS NULL").withColumn("_table", F.lower("table")).withColumn("_column", F.lower("column"))
     sure = base.filter("NOT open").unionByName(lookup_join(base.filter("open"), known.select("_table", "_column").distinct(), ["_table", "_column"], "left_semi"))
-    sure = cut(sure.select(*spot, "height", F.concat_ws(".", "table", "column").alias("source")))
-    inner = cut(hits.filter("s_child IS NOT NULL").select(*spot, "height", F.col("s_child").alias("from_scope"), F.lower("column").alias("key"))
+    sure = keep(sure.select(*spot, "height", F.concat_ws(".", "table", "column").alias("source")))
+    inner = keep(hits.filter("s_child IS NOT NULL").select(*spot, "height", F.col("s_child").alias("from_scope"), F.lower("column").alias("key"))
                 .unionByName(named.filter("child IS NOT NULL").select(*spot, "height", F.col("child").alias("from_scope"), F.lit(None).cast("string").alias("key"))))
 
     starred = exprs.filter("star").select(*KEYS, "scope", "height", "branch", "eid", F.lower(F.substring_index(F.element_at("toks", 1)["t"], ".*", 1)).alias("star_of"))
     stars = sorted_join(starred, seen.drop("height"), [*KEYS, "scope", "branch"]).filter("star_of = '*' OR star_of = alias OR star_of = lower(table)")
     table_stars = lookup_join(stars.filter("s_child IS NULL").withColumn("_table", F.lower("table")), known.select("_table", "column_name", "ordinal"), ["_table"], "left")
-    table_stars = cut(table_stars.select(*KEYS, "scope", "height", "branch", "eid", "place", F.coalesce("ordinal", F.lit(0)).alias("sub"), F.coalesce("column_name", F.lit("")).alias("name"),
+    table_stars = keep(table_stars.select(*KEYS, "scope", "height", "branch", "eid", "place", F.coalesce("ordinal", F.lit(0)).alias("sub"), F.coalesce("column_name", F.lit("")).alias("name"),
                                          F.array(F.concat_ws(".", "table", F.coalesce("column_name", F.lit("*")))).alias("sources")))
-    query_stars = cut(stars.filter("s_child IS NOT NULL").select(*KEYS, "scope", "height", "branch", "eid", "place", F.col("s_child").alias("from_scope")))
+    query_stars = keep(stars.filter("s_child IS NOT NULL").select(*KEYS, "scope", "height", "branch", "eid", "place", F.col("s_child").alias("from_scope")))
 
     targets = rows.select(*KEYS, "database_name", F.explode("full").alias("x")).filter(
         f"x.scope = -1 AND x.clause.l IN ('insert', 'create') AND x.prv IN ('table', 'into', 'overwrite', 'exists') AND x.t RLIKE '^[A-Za-z_$]' AND NOT {_in('x.l', (*WORDS, 'if', 'directory', 'local'))}")
     targets = targets.select(*KEYS, F.col("x.branch").alias("t_branch"), F.when(F.contains("x.t", F.lit(".")), F.col("x.t")).otherwise(F.concat_ws(".", "database_name", "x.t")).alias("to_table"))
     branches = sorted_join(exprs.filter("scope = -1 AND kind = 'select'").select(*KEYS, "branch").distinct(), targets, KEYS, "left").filter("t_branch IS NULL OR t_branch <= branch")
-    branches = cut(branches.groupBy(*KEYS, "branch").agg(F.max_by("to_table", "t_branch").alias("to_table")))
+    branches = keep(branches.groupBy(*KEYS, "branch").agg(F.max_by("to_table", "t_branch").alias("to_table")))
 
     highest = exprs.agg(F.max("height")).first()[0]
     outs, texts = None, []
@@ -199,14 +199,14 @@ def trace_lines(refs: DataFrame, meta_columns: DataFrame) -> DataFrame:
         whole = sorted_join(exprs.filter((F.col("height") == height) & ~F.col("star")), by_expr, spot[:-1], "left").select(
             *KEYS, "scope", "branch", "kind", "eid", "name", F.coalesce("sources", none).alias("sources"),
             tidy(F.array_join(F.transform("toks", lambda x: F.coalesce(F.concat(F.when(x["query"], "(").otherwise(""), F.try_element_at("said", x["p"])), x["t"])), " ")).alias("text"))
-        whole = cut(whole)
+        whole = keep(whole)
         texts.append(whole.filter("kind <> 'select'").select(*KEYS, "kind", "text"))
         items = items.withColumn("text", F.get("sources", F.lit(0))).unionByName(whole.filter("kind = 'select'").select(
             *KEYS, "scope", "branch", "eid", F.lit(0).alias("place"), F.lit(0).alias("sub"), "name", "sources", "text"))
         numbered = items.withColumn("pos", F.row_number().over(Window.partitionBy(*KEYS, "scope", "branch").orderBy("eid", "place", "sub")) - 1)
         placed = sorted_join(numbered, branches.withColumn("scope", F.lit(-1)), [*KEYS, "scope", "branch"], "left")
         merged = placed.groupBy(*KEYS, "scope", "to_table", "pos").agg(F.array_sort(F.collect_list(F.struct("branch", "name", "sources", "text"))).alias("parts"))  # branches
-        now = cut(merged.select(*KEYS, "scope", "to_table", "pos", F.coalesce(F.get(F.filter("parts", lambda b: b["name"] != ""), F.lit(0))["name"], F.lit("")).alias("name"),
+        now = keep(merged.select(*KEYS, "scope", "to_table", "pos", F.coalesce(F.get(F.filter("parts", lambda b: b["name"] != ""), F.lit(0))["name"], F.lit("")).alias("name"),
                                 F.array_sort(F.array_distinct(F.flatten(F.transform("parts", lambda b: b["sources"])))).alias("sources"),
                                 F.array_join(F.transform("parts", lambda b: b["text"]), "&").alias("expr")))
         outs = now if outs is None else outs.unionByName(now)
